@@ -86,7 +86,8 @@ def test_chunks_of_a_long_text(monkeypatch):
 def test_empty_and_odd_rows(spark):
     empty = spark.createDataFrame([], DDL)
     assert S.remove_repeats(empty).count() == 0 and S.dedup_documents(empty).count() == 0
-    long = "passage " * 3 + "".join(random.Random(3).choice("abc ") for _ in range(200))
+    r = random.Random(3)
+    long = "passage " * 3 + "".join(r.choice("abc ") for _ in range(200))
     odd = spark.createDataFrame([(None, long, None, None, None), (3, long, None, None, None), (3, long, None, None, None), (4, None, None, None, None)], DDL)
     got = sorted((str(r.doc_id), r.n_removed) for r in S.remove_repeats(odd).collect())
     assert got == [("3", len(long)), ("3", len(long)), ("4", 0), ("None", 0)]
