@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import corpus_queries as Q
 
 
 def queries():
-    return {name: f for name, f in vars(Q).items() if name.startswith("op") and callable(f)}
+    found = {name: f for name, f in vars(Q).items() if name.startswith("op") and callable(f)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return dict(Q.SQL)
+    return dict(Q.SQL) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
