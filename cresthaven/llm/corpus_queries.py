@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, kneser_ney, language_id, quality, simhash_dedup, suffix_dedup
+from . import bpe, decontaminate, kneser_ney, language_id, media, page_text, quality, quotation, simhash_dedup, suffix_dedup
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -31,6 +31,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return page_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation in reply order, without quotes, as role-marked text."""
+    out = quotation.conversations(table(spark, sf_dir, "conversations"))
+    line = lambda m: F.concat(F.lit("<|"), F.coalesce(m.role, F.lit("")), F.lit("|>\n"), m.text)
+    return out.select("conv_id", "segment", "n_messages", "n_linked", F.array_join(F.transform("messages", lambda m: F.coalesce(m.turn.cast("string"), F.lit("null"))), ",").alias("reply_order"), F.array_join(F.transform("messages", line), "\n").alias("chat"))
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     import public_tokenizers
@@ -38,6 +50,11 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False).drop("ids", "decoded")
 
 
+def op8_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes stored as samples, referred to by digest and read back."""
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log probability."""
     return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
