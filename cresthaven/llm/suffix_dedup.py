@@ -4,13 +4,16 @@ A byte is removed if a ``length``-byte string that covers it also starts earlier
 earlier in the same one.  All ``length``-byte strings of a document fall into runs that share an *anchor*, the
 leftmost ``gram``-byte string of least hash within them, so equal strings have equal anchors at equal offsets.
 
-1. Each document's runs are hashed; of equal runs the first stays (a map-side, then a shuffled, minimum).
-2. A run whose anchor no other kind of run has is new as a whole.  Only runs that share an anchor with a different
-   run go on, as the suffixes that start at the anchor, with the bytes before it.
+1. Spark counts the anchors' hashes.  A run whose anchor occurs once holds nothing that occurs elsewhere; it goes no
+   further.  A Bloom filter of the repeated anchors (at most ``MOST_BITS`` bits; beyond what these can hold it lets more
+   rows pass) thins out the rest before an exact semi-join, so only suspect runs are shuffled.
+2. Of equal suspect runs the first stays.  Where an anchor has different runs, their firsts go on, as the suffixes that
+   start at the anchor, with the bytes before it.
 3. Spark samples splitters and range-partitions these suffixes by their leading bytes (ties: document, offset, so a
    hot anchor spreads over many buckets).  Each bucket sorts the strings of its suffixes by multikey quicksort and
    finds the first of each.  What touches a bucket's first or last anchor is compared across boundaries by a minimum.
-4. Each document gets the starts of its first runs and the strings found to be repeats, and drops covered bytes.
+4. Each document gets its suspect runs, which of them are first, and the strings found to be repeats, and drops the
+   bytes that repeats cover.
 """
 
 from __future__ import annotations
@@ -26,21 +29,23 @@ from pyspark.sql import functions as F
 from .common import NO_ID, batch, release, utf8, written
 
 GRAM = 32
+MOST_BITS = 1 << 29
 CHUNK = 1 << 22  # starts handled at once, so that memory does not follow a text's length
 _BITS = np.uint64(24)
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
+COUNTS = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
 RUNS = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64())])
 SUFFIXES = pa.schema([("suffix", pa.binary()), ("before", pa.binary()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64())])
 FOUND = pa.schema([("border", pa.bool_()), ("gram", pa.binary()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64())])
 
 
-def runs(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, anchors) of the maximal runs: strings that start in [start, end) share the anchor."""
+def runs(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(starts, ends, anchors, anchors' hashes) of the maximal runs: strings that start in [start, end) share the anchor."""
     n = len(data) - length + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 3
+        return (*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64))
     parts = [_runs(np.frombuffer(data, np.uint8, min(n - at, CHUNK) + length - 1, at), length, gram, at) for at in range(0, n, CHUNK)]
     return tuple(np.concatenate(c) for c in zip(*parts))
 
@@ -54,6 +59,7 @@ def _runs(raw: np.ndarray, length: int, gram: int, at: int):
         h = h[: len(h) - (gram - size)] * _ODD[5] + h[gram - size :]
     h ^= h >> np.uint64(29)
     h *= _ODD[0]
+    whole = h
     h = (h >> _BITS << _BITS) | np.arange(len(h), dtype=np.uint64)  # ties: the leftmost
     window, size = length - gram + 1, 1
     while size * 2 <= window:
@@ -63,36 +69,23 @@ def _runs(raw: np.ndarray, length: int, gram: int, at: int):
         h = np.minimum(h[: len(h) - (window - size)], h[window - size :])
     anchor = (h & np.uint64((1 << 24) - 1)).astype(np.int64)
     first = np.append(0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1)
-    return first + at, np.append(first[1:], len(anchor)) + at, anchor[first] + at
+    return first + at, np.append(first[1:], len(anchor)) + at, anchor[first] + at, whole[anchor[first]]
 
 
-def _earliest(cols: list[np.ndarray], per: int) -> list[np.ndarray]:
-    """Of rows equal in the first ``per`` columns the first by the others."""
-    order = np.lexsort(cols[::-1])
-    cols = [c[order] for c in cols]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:per]])
-    return [c[fresh] for c in cols]
-
-
-def _run_rows(length: int, gram: int, flush: int = 1 << 19):
+def _anchor_counts(length: int, gram: int, flush: int = 1 << 20):
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
         held, n = [], 0
 
         def emit():
-            return batch(RUNS, *_earliest([np.concatenate(c) for c in zip(*held)], 2))
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            return batch(COUNTS, values.view(np.int64), counts)
 
         for b in batches:
-            for text, doc, key in zip(utf8(b.column("text")), b.column("doc").to_pylist(), b.column("key").to_pylist()):
-                starts, ends, anchors = runs(text, length, gram)
-                m = len(starts)
-                if not m:
-                    continue
-                a = np.fromiter([digest(text[x : x + gram]) for x in anchors.tolist()], np.uint64, m).view(np.int64)
-                r = np.fromiter([digest(text[s : e + length - 1]) for s, e in zip(starts.tolist(), ends.tolist())], np.uint64, m).view(np.int64)
-                held.append((a, r, np.full(m, doc, np.int64), np.full(m, key, np.int64), starts))
-                n += m
+            for text in utf8(b.column("text")):
+                h = runs(text, length, gram)[3]
+                if len(h):
+                    held.append(h)
+                    n += len(h)
                 if n > flush:
                     yield emit()
                     held, n = [], 0
@@ -102,12 +95,65 @@ def _run_rows(length: int, gram: int, flush: int = 1 << 19):
     return run
 
 
+def spark_hash(a: np.ndarray, salt: int) -> np.ndarray:
+    """Spark's xxhash64(bigint a, int salt)."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+    def mixed(h):
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    with np.errstate(over="ignore"):
+        h = mixed(turn((np.uint64(42) + p5 + np.uint64(8)) ^ (turn(a * p2, 31) * p1), 27) * p1 + p4)
+        return mixed(turn((h + p5 + np.uint64(4)) ^ (np.uint64(salt) * p1), 23) * p2 + p3)
+
+
+def _bloom(repeated: DataFrame, count: int) -> tuple[np.ndarray, int, int]:
+    """(words, log2 of the bits, probes) of a Bloom filter; Spark sets the bits, the driver gets at most MOST_BITS of them."""
+    size = max(16, min(MOST_BITS.bit_length() - 1, (12 * max(count, 1)).bit_length()))
+    probes = max(1, min(4, round(0.69 * (1 << size) / max(count, 1))))
+    bits = repeated.select(F.explode(F.array(*(F.shiftrightunsigned(F.xxhash64("anchor", F.lit(i)), 64 - size) for i in range(probes)))).alias("bit"))
+    one = F.lit(1).cast("bigint")
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", one, F.col("bit").bitwiseAND(F.lit(63).cast("bigint")).cast("int"))).alias("value"))
+    t = words.toArrow()
+    out = np.zeros(1 << (size - 6), np.uint64)
+    out[t["word"].to_numpy()] = t["value"].to_numpy().view(np.uint64)
+    return out, size, probes
+
+
+def _run_rows(length: int, gram: int, shared):
+    def run(batches):
+        words, size, probes = shared.value
+        digest = xxhash.xxh3_64_intdigest
+        for b in batches:
+            out: list[list] = [[] for _ in RUNS]
+            for text, doc, key in zip(utf8(b.column("text")), b.column("doc").to_pylist(), b.column("key").to_pylist()):
+                starts, ends, _, h = runs(text, length, gram)
+                pick = np.ones(len(h), bool)
+                for i in range(probes):
+                    bit = spark_hash(h, i) >> np.uint64(64 - size)
+                    pick &= (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+                at = np.flatnonzero(pick)
+                s = starts[at].tolist()
+                r = [digest(text[x : y + length - 1]) for x, y in zip(s, ends[at].tolist())]
+                for c, v in zip(out, (h[at].view(np.int64).tolist(), np.array(r, np.uint64).view(np.int64).tolist(), [doc] * len(s), [key] * len(s), s)):
+                    c += v
+                if len(s) and len(out[0]) > 50_000:
+                    yield batch(RUNS, *out)
+                    out = [[] for _ in RUNS]
+            yield batch(RUNS, *out)
+
+    return run
+
+
 def _suffix_rows(length: int, gram: int):
     def run(batches):
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for text, doc, key, wanted in zip(utf8(b.column("text")), b.column("doc").to_pylist(), b.column("key").to_pylist(), b.column("starts").to_pylist()):
-                starts, ends, anchors = runs(text, length, gram)
+                starts, ends, anchors, _ = runs(text, length, gram)
                 at = np.searchsorted(starts, np.array(wanted, np.int64))
                 for s, e, a in zip(starts[at].tolist(), ends[at].tolist(), anchors[at].tolist()):
                     for c, v in zip(out, (text[a : e + length - 1], text[s:a], doc, key, s)):
@@ -213,12 +259,16 @@ def _covered(n: int, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.nd
     return starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + length
 
 
-def cut(text: bytes, firsts, repeats, length: int = 100, gram: int = GRAM) -> tuple[bytes, int, int]:
-    """(kept bytes, removed, spans) of a text, of whose runs those at ``firsts`` are first but for the strings at ``repeats``."""
-    starts, ends, _ = runs(text, length, gram)
-    again = ~np.isin(starts, np.asarray(firsts, np.int64))
-    s, n = starts[again], (ends - starts)[again]
-    every = np.repeat(s - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+def cut(text: bytes, suspects, firsts, repeats, length: int = 100, gram: int = GRAM) -> tuple[bytes, int, int]:
+    """(kept bytes, removed, spans) of a text: of the runs at ``suspects`` all but those at ``firsts`` go, and the strings at ``repeats``."""
+    again = np.setdiff1d(np.asarray(suspects, np.int64), np.asarray(firsts, np.int64))
+    if not len(again) and not len(repeats):
+        return text, 0, 0
+    every = np.zeros(0, np.int64)
+    if len(again):
+        starts, ends, *_ = runs(text, length, gram)
+        n = ends[np.searchsorted(starts, again)] - again
+        every = np.repeat(again - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
     begin, end = _covered(len(text), np.unique(np.concatenate([every, np.asarray(repeats, np.int64)])), length)
     kept, at = [], 0
     for b, e in zip(begin.tolist(), end.tolist()):
@@ -237,7 +287,7 @@ def _cut_rows(schema: pa.Schema, length: int, gram: int, keep: bool):
             out = []
             for text, mark in zip(texts, marks):
                 mark = mark or ()
-                out.append(cut(text, [m >> 1 for m in mark if not m & 1], [m >> 1 for m in mark if m & 1], length, gram))
+                out.append(cut(text, *([m >> 2 for m in mark if m & 3 == k] for k in range(3)), length, gram))
             more = [[None if t is None else k[0].decode("utf-8", "ignore") for t, k in zip(b.column("text").to_pylist(), out)]] if keep else [none]
             rest = [b.column(f.name) for f in schema if f.name not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")]
             yield batch(schema, *rest, [len(t) for t in texts], [o[1] for o in out], [o[2] for o in out], [hashlib.sha256(o[0]).hexdigest() for o in out], *more)
@@ -261,21 +311,28 @@ def _removed(rows: DataFrame, carry: list[str], length: int, keep_text: bool, gr
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = "struct<doc:bigint,key:bigint,start:bigint>"
+    least_place = F.min(F.struct("doc", "key", "start")).cast(place).alias("p")
     own = rows.select("doc", "key", "text")
-    found = own.mapInArrow(_run_rows(length, gram), "anchor bigint, run bigint, doc bigint, key bigint, start bigint")
-    first = found.groupBy("anchor", "run").agg(F.min(F.struct("doc", "key", "start")).cast(place).alias("p"))
+    counts = own.select("text").mapInArrow(_anchor_counts(length, gram), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    repeated = written(counts.where("n > 1").select("anchor"), "repeated")
+    shared = spark.sparkContext.broadcast(_bloom(repeated, repeated.count()))
+    found = own.mapInArrow(_run_rows(length, gram, shared), "anchor bigint, run bigint, doc bigint, key bigint, start bigint")
+    suspect = written(found.join(repeated, "anchor", "left_semi"), "suspects")
+    first = suspect.groupBy("anchor", "run").agg(least_place)
     first = written(first.select("anchor", "run", "p.doc", "p.key", "p.start"), "runs")
-    shared = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = first.join(shared, "anchor").groupBy("doc", "key").agg(F.collect_list("start").alias("starts"))
+    shared_anchor = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    wanted = first.join(shared_anchor, "anchor").groupBy("doc", "key").agg(F.collect_list("start").alias("starts"))
     suffixes = own.join(wanted, ["doc", "key"]).mapInArrow(_suffix_rows(length, gram), "suffix binary, before binary, doc bigint, key bigint, start bigint")
     suffixes = written(suffixes, "suffixes")
     buckets = max(parts, -(-suffixes.count() // 20_000))
     ranged = suffixes.repartitionByRange(buckets, "suffix", "doc", "key", "start")
     local = written(ranged.mapInArrow(_sorted_bucket(length, gram), "border boolean, gram binary, doc bigint, key bigint, start bigint"), "sorted")
     border = local.where("border")
-    least = border.groupBy("gram").agg(F.min(F.struct("doc", "key", "start")).cast(place).alias("p"))
+    least = border.groupBy("gram").agg(least_place)
     lost = border.select("doc", "key", "start").exceptAll(least.select("p.doc", "p.key", "p.start"))
-    marks = first.select("doc", "key", (F.col("start") * 2).alias("mark")).unionByName(local.where("not border").unionByName(lost, allowMissingColumns=True).select("doc", "key", (F.col("start") * 2 + 1).alias("mark")))
+    again = local.where("not border").select("doc", "key", "start").unionByName(lost)
+    mark = lambda df, kind: df.select("doc", "key", (F.col("start") * 4 + kind).alias("mark"))
+    marks = mark(suspect, 0).unionByName(mark(first, 1)).unionByName(mark(again, 2))
     by_doc = marks.groupBy("doc", "key").agg(F.collect_list("mark").alias("marks"))
     joined = rows.join(by_doc, ["doc", "key"], "left").select(*carry, "text", "marks")
     kinds = dict(joined.dtypes)

@@ -97,3 +97,15 @@ def test_multikey_quicksort():
     words = np.random.default_rng(0).integers(0, 3, (6000, 5)).astype(np.uint64)
     order = S.multikey_quicksort(words, small=16)
     assert words[order].tolist() == sorted(words.tolist())
+
+
+def test_small_bloom_filter_only_lets_more_pass(spark, monkeypatch):
+    docs = corpus(8)
+    monkeypatch.setattr(S, "MOST_BITS", 1 << 10)
+    assert run(spark, docs, 40, 12) == {d[0]: b for d, b in zip(docs, brute(docs, 40))}
+
+
+def test_hash_is_sparks(spark):
+    a = [5, -7, 2**62 + 3]
+    want = [r.h for r in spark.createDataFrame([(x,) for x in a], "a bigint").selectExpr("xxhash64(a, 3) h").collect()]
+    assert S.spark_hash(np.array(a).view(np.uint64), 3).view(np.int64).tolist() == want
