@@ -10,34 +10,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LINE = Window.partitionBy("line_id").orderBy("idx")
 LENGTH = "decimal(18,6)"
 
 
+def along():
+    """A line's vertices in order."""
+    return Window.partitionBy("line_id").orderBy("idx")
+
+
 def norm(x: Column, y: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
 def segments(vertices: DataFrame) -> DataFrame:
     """Consecutive vertices: line_id, type, idx (of the first), x0, y0, x1, y1, seg, cum0, cum1 (lengths before and after)."""
-    nxt = lambda c: F.lead(c).over(LINE)
+    nxt = lambda c: F.lead(c).over(along())
     s = vertices.select("line_id", "type", "idx", F.col("x").alias("x0"), F.col("y").alias("y0"), nxt("x").alias("x1"), nxt("y").alias("y1")).where("x1 is not null")
     s = s.withColumn("seg", norm(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast(LENGTH))
-    s = s.withColumn("cum1", F.sum("seg").over(LINE.rowsBetween(Window.unboundedPreceding, 0)).cast(LENGTH))
+    s = s.withColumn("cum1", F.sum("seg").over(along().rowsBetween(Window.unboundedPreceding, 0)).cast(LENGTH))
     return s.withColumn("cum0", (F.col("cum1") - F.col("seg")).cast(LENGTH))
 
 
 def lengths(vertices: DataFrame) -> DataFrame:
     """line_id, type, n (vertices), length."""
-    prev = lambda c: F.lag(c).over(LINE)
+    prev = lambda c: F.lag(c).over(along())
     s = vertices.select("line_id", "type", F.coalesce(norm(F.col("x") - prev("x"), F.col("y") - prev("y")).cast(LENGTH), F.lit(0).cast(LENGTH)).alias("seg"))
     return s.groupBy("line_id", "type").agg(F.count("*").alias("n"), F.sum("seg").cast("double").alias("length"))
 
 
 def cumulative(vertices: DataFrame) -> DataFrame:
     """line_id, idx, cum: length from the line's start to each vertex."""
-    s = vertices.select("line_id", "idx", F.coalesce(norm(F.col("x") - F.lag("x").over(LINE), F.col("y") - F.lag("y").over(LINE)).cast(LENGTH), F.lit(0).cast(LENGTH)).alias("seg"))
-    return s.select("line_id", "idx", F.sum("seg").over(LINE.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("cum"))
+    s = vertices.select("line_id", "idx", F.coalesce(norm(F.col("x") - F.lag("x").over(along()), F.col("y") - F.lag("y").over(along())).cast(LENGTH), F.lit(0).cast(LENGTH)).alias("seg"))
+    return s.select("line_id", "idx", F.sum("seg").over(along().rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("cum"))
 
 
 def resample(vertices: DataFrame, step: float, end: str = "always") -> DataFrame:

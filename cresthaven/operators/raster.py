@@ -62,16 +62,27 @@ def closing(mask: DataFrame, pairs) -> DataFrame:
     return erode(dilate(mask, pairs), pairs)
 
 
+def border(cells: DataFrame) -> DataFrame:
+    """Valued cells beside a cell without a value: the nearest valued cell of any other cell is one of them."""
+    s = scatter(cells.where("z is not null"), [(0, 0), *COMPASS], "z")
+    return s.groupBy(CELL).agg(F.count("*").alias("n"), here().alias("own"), at(0, 0).alias("z")).where("own and n < 9").select(*CELL, "z")
+
+
 def fill(cells: DataFrame, radius: float) -> DataFrame:
-    """Every cell within ``radius`` of a valued one: the nearest value (ties: the least row, col) and its squared distance."""
-    s = scatter(cells.where("z is not null"), disk(radius), "z")
-    s = s.withColumn("d2", F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))
-    return s.groupBy(CELL).agg(F.min_by("z", F.struct("d2", F.col("row") + F.col("dr"), F.col("col") + F.col("dc"))).alias("z"), F.min("d2").alias("d2"))
+    """Every cell within ``radius`` of a valued one: the nearest value (ties: the least row, col) and its squared distance.
+
+    Only border cells are scattered, so the work follows the length of the edges of holes, not the whole area.
+    """
+    s = scatter(border(cells), [p for p in disk(radius) if p != (0, 0)], "z")
+    source = [F.col("row") + F.col("dr"), F.col("col") + F.col("dc")]
+    s = s.select(*CELL, "z", (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"), source[0].alias("sr"), source[1].alias("sc"))
+    own = cells.where("z is not null").select(*CELL, "z", F.lit(0).alias("d2"), F.col("row").alias("sr"), F.col("col").alias("sc"))
+    return own.unionByName(s).groupBy(CELL).agg(F.min_by("z", F.struct("d2", "sr", "sc")).alias("z"), F.min("d2").alias("d2"))
 
 
 def region(cells: DataFrame, radius: float = 3.0) -> DataFrame:
     """Cells within ``radius`` cells of a valued one."""
-    return dilate(cells.where("z is not null"), disk(radius))
+    return fill(cells, radius).select(CELL)
 
 
 def median3(cells: DataFrame) -> DataFrame:

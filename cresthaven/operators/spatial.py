@@ -79,12 +79,13 @@ def nearest_samples(samples: DataFrame, radius: float) -> DataFrame:
     return g.select("type", "first", "k", "second", "m.k2", "m.d")
 
 
-def anchors(guides: DataFrame, vertices: DataFrame, heights: DataFrame, max_dist: float = 50.0, max_gap: float = 100.0, max_dz: float | None = None) -> DataFrame:
+def anchors(guides: DataFrame, vertices: DataFrame, heights: DataFrame, max_dist: float = 50.0, max_gap: float = 100.0, max_dz: float | None = None, limits: DataFrame | None = None) -> DataFrame:
     """Guides (guide_id, type, sx, sy, ex, ey) with the best pair of lines to hang on to.
 
     Each end takes the lines of the type whose nearest point is within ``max_dist``; pairs of different lines with
     anchors 1 m to ``max_gap`` apart and a height difference (where both are known) of at most ``max_dz`` compete by
-    d1 + d2 + 0.03 gap; ties: the lesser start line, then end line.
+    d1 + d2 + 0.03 gap; ties: the lesser start line, then end line.  limits (guide_id, ms, me, mg, mz) holds a guide's
+    own distances to start and end, gap and height difference, where they differ.
     """
     def side(x, y, p):
         q = guides.select(F.col("guide_id").alias("query_id"), "type", F.col(x).alias("qx"), F.col(y).alias("qy"))
@@ -94,6 +95,8 @@ def anchors(guides: DataFrame, vertices: DataFrame, heights: DataFrame, max_dist
     j = side("sx", "sy", "a").join(side("ex", "ey", "b"), "guide_id").where("aline_id != bline_id")
     j = j.withColumn("gap", norm(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).withColumn("dz", F.abs(F.col("az") - F.col("bz")))
     j = j.where(F.col("gap").between(1.0, max_gap))
+    if limits is not None:
+        j = j.join(limits, "guide_id").where((F.col("adistance") <= F.col("ms")) & (F.col("bdistance") <= F.col("me")) & (F.col("gap") <= F.col("mg")) & (F.col("dz").isNull() | (F.col("dz") <= F.col("mz"))))
     if max_dz is not None:
         j = j.where(F.col("dz").isNull() | (F.col("dz") <= max_dz))
     best = j.groupBy("guide_id").agg(F.min(F.struct((F.col("adistance") + F.col("bdistance") + 0.03 * F.col("gap")).alias("score"), F.col("aline_id").alias("start_line"), F.col("bline_id").alias("end_line"), "gap", "dz", "ax", "ay", "bx", "by", F.col("adistance").alias("start_dist"), F.col("bdistance").alias("end_dist"))).alias("m"))

@@ -2,10 +2,88 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import lines as L
+from ..operators import components, polyline, raster, routing, selection
+from ..sources.frames import terrace
+from . import job_queries, line_queries, pipeline, raster_queries
+from .config import Config
+
+
+def q_chain(spark, d):
+    """Chains of the platforms' boundary cells."""
+    edge = raster.boundary(components.cut(raster_queries.labelled(spark, d)))
+    return selection.chains(edge, ["label"], 8)
+
+
+def q_simplify(spark, d):
+    """Douglas-Peucker with 100 m on the event lines."""
+    return polyline.simplified(line_queries.vertices(spark, d), 100.0)
+
+
+def q_match(spark, d):
+    """Greedy one-to-one matching of the enhanced candidates."""
+    return selection.match(line_queries.enhanced(spark, d), ["pre_score"]).select("first", "second", "first_line", "second_line", F.round("pre_score", 6).alias("pre_score"))
+
+
+def q_route(spark, d):
+    """Least-cost paths over the cells between matched line ends; cost: 1 and the height difference to the start."""
+    ends = line_queries.on_grid(line_queries.ends(spark, d)).select("end_id", "row", "col")
+    side = lambda n, k: ends.select(F.col("end_id").alias(n), F.col("row").alias(f"r{k}"), F.col("col").alias(f"c{k}"))
+    pairs = selection.match(line_queries.enhanced(spark, d), ["pre_score"]).join(side("first", 0), "first").join(side("second", 1), "second")
+    c = pairs.select(F.xxhash64("first", "second").alias("cid"), "first", "second", "r0", "c0", "r1", "c1")
+    w = routing.windows(c, raster_queries.cells(spark, d).select("row", "col", "z"), F.lit(4))
+    out = routing.route(w.withColumn("cost", 1 + F.abs(F.col("z"))))
+    return out.join(c, "cid").select("first", "second", F.round("path_cost", 6).alias("path_cost"), "n")
+
+
+def q_nms(spark, d):
+    """Non-maximum suppression of the 2000 best gap candidates."""
+    c = line_queries.candidates(spark, d).withColumns({"first_line": F.col("first"), "second_line": F.col("second"), "cid": F.xxhash64("first", "second", "k"), "score": F.round(1 / (1 + F.col("d")), 9)})
+    best = c.orderBy(F.desc("score"), "cid").limit(2000)
+    return selection.thin(best, 20.0, 60)
+
+
+def q_multiscale(spark, d):
+    """Lines of strict and relaxed platforms on the terrace."""
+    c = Config(platform_slope_deg=3.0, multiscale_slope_deg=12.0)
+    s = pipeline.surface(terrace(spark), c)
+    out = pipeline.multiscale(pipeline.extract(s, c), s, c)
+    return out.select("line_id", "type", F.round("length", 3).alias("length"), "source")
+
+
+def q_pipeline(spark, d):
+    """The report of the whole pipeline on the synthetic terraces."""
+    return L.counts(pipeline.lines_of(terrace(spark, wavy=True), Config(link_gap_m=30.0, auto_gap_enabled=True)))
+
+
+def q_terrace_slope(spark, d):
+    """Slopes of the terrace's one-metre cells."""
+    from ..operators import grid
+
+    cells, meta = grid.build(terrace(spark), 1.0)
+    cells = cells.withColumn("z", F.round("z", 6)).crossJoin(F.broadcast(meta.select("nx", "ny")))
+    s = raster.slope(cells, 1.0)
+    return s.select("row", "col", "z", F.round("slope", 4).alias("slope"), (F.coalesce(F.round("slope", 4), F.lit(90.0)) < 10).alias("platform"))
+
+
+_TERRACE = raster_queries.BASE.replace(raster_queries.PTS, """raw AS (SELECT (i%450)*0.4::DOUBLE x, (i//450)*0.4::DOUBLE y FROM range(135000) t(i)), pts AS (SELECT x, y, (least(greatest((x-30.0)/8.0::DOUBLE,0.0),1.0)+least(greatest((x-75.0)/8.0::DOUBLE,0.0),1.0)+least(greatest((x-120.0)/8.0::DOUBLE,0.0),1.0))*12.0::DOUBLE z, 0 red, 0 green, 0 blue FROM raw)""")
+
+OWN = {f.__name__: f for f in (q_chain, q_simplify, q_match, q_route, q_nms, q_multiscale, q_pipeline, q_terrace_slope)}
+SQL = {"q_terrace_slope": f'WITH {_TERRACE}, {raster_queries.SLOPE} SELECT "row", col, z, slope, coalesce(slope, 90.0) < 10 platform FROM slopes'}
+Q = OWN
+
 
 def queries():
-    return {}
+    return raster_queries.Q | line_queries.Q | job_queries.Q | OWN
 
 
 def oracle_sql():
-    return {}
+    return raster_queries.SQL | line_queries.SQL | job_queries.SQL | SQL
+
+
+def flagship(spark, d):
+    """Lineitem's cloud as cells with slope and platform flag."""
+    s = raster_queries.slopes(spark, d)
+    return s.select("row", "col", "z", "slope", (F.col("slope") < 10).alias("platform"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import lines as L
 from ..operators import polyline as P
 from ..operators import spatial as S
+from ..operators.relief import relief
 from ..sources.frames import event_vertices
 from .config import Config
 from .raster_queries import BASE, RES, SLOPE, cells, disk_sql, slopes
@@ -278,17 +279,6 @@ def q_relief(spark, d):
     return rounded(relief(P.sample_tangents(P.resample(v, 200.0, "never"), v), cells(spark, d), on_grid))
 
 
-def relief(samples, grid_cells, place):
-    """Samples with directions -> line_id, relief: the median drop below crests (rise above toes) within 2 to 8 m on both sides."""
-    probes = F.explode(F.array(*map(F.lit, (0, *range(2, 9), *range(-8, -1)))))
-    p = samples.select("line_id", "type", "k", "x", "y", "tx", "ty", probes.alias("o"))
-    p = place(p.select("line_id", "type", "k", "o", (F.col("x") - F.col("ty") * F.col("o")).alias("x"), (F.col("y") + F.col("tx") * F.col("o")).alias("y")))
-    z = p.join(grid_cells.select("row", "col", "z").where("z is not null"), ["row", "col"])
-    s = z.groupBy("line_id", "type", "k").agg(F.max(F.when(F.col("o") == 0, F.col("z"))).alias("z0"), F.min(F.when(F.col("o") != 0, F.col("z"))).alias("low"), F.max(F.when(F.col("o") != 0, F.col("z"))).alias("high"), F.count_if(F.col("o") > 0).alias("l"), F.count_if(F.col("o") < 0).alias("r"))
-    s = s.where("z0 is not null and l > 0 and r > 0")
-    return s.groupBy("line_id").agg(F.median(F.when(F.col("type") == "crest", F.col("z0") - F.col("low")).otherwise(F.col("high") - F.col("z0"))).alias("relief"))
-
-
 _ED = "((\"first\"*37+\"second\"*11)%101)/100.0::DOUBLE"
 
 

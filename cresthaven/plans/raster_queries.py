@@ -243,6 +243,6 @@ def q_step_edges(spark, d):
     return raster.step_edges(slopes(spark, d), drop=2.0)
 
 
-@register("q_seed_rect", f'WITH {BASE} SELECT "row", col, z FROM cells WHERE "row">=20 AND "row"<75 AND col>=30 AND col<110')
+@register("q_seed_rect", f'WITH {BASE} SELECT "row", col, z FROM cells WHERE "row">=18 AND "row"<74 AND col>=34 AND col<114')
 def q_seed_rect(spark, d):
-    return raster.in_rectangle(cells(spark, d), (112.0, 103.8, 32.0, 48.8), -2.0, 121.9 + 2.0, RES).select("row", "col", "z")
+    return raster.in_rectangle(cells(spark, d), (112.0, 103.8, 32.0, 48.8), -2.0, 121.9, RES).select("row", "col", "z")
