@@ -42,7 +42,7 @@ def sequence(page: str) -> list[dict]:
         nonlocal caption
         text = " ".join(html.unescape(raw).split())
         if caption is not None:
-            caption += text
+            caption = f"{caption} {text}".strip()
         elif text:
             add("text", text, None)
 
