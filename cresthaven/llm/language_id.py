@@ -69,7 +69,7 @@ def train(wins: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int =
     net = Network(langs, r.normal(0, 0.5, (256, EMBED)), [r.normal(0, (2 / (w * EMBED)) ** 0.5, (w * EMBED, FILTERS)) for w in WIDTHS], [np.zeros(FILTERS) for _ in WIDTHS], r.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(langs))), np.zeros(len(langs)))
     params = [net.embed, *net.kernels, *net.bias, net.out, net.out_bias]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-200 * size // max(1, len(wins))))):  # few windows: at least some 200 steps
         order = r.permutation(len(wins))
         for at in range(0, len(order), size):
             pick = order[at : at + size]
