@@ -75,6 +75,6 @@ def route(costed: DataFrame) -> DataFrame:
         if not found:
             return pd.DataFrame({"cid": [], "path_cost": [], "n": [], "path": []})
         path = [{"row": int(a + top), "col": int(b + left)} for a, b in found[0]]
-        return pd.DataFrame({"cid": [f.cid], "path_cost": [found[1]], "n": [len(path)], "path": [path]})
+        return pd.DataFrame({"cid": [g["cid"].iloc[0]], "path_cost": [found[1]], "n": [len(path)], "path": [path]})
 
     return costed.select("cid", "r0", "c0", "r1", "c1", "row", "col", "cost").groupBy("cid").applyInPandas(one, "cid bigint, path_cost double, n int, path array<struct<row:int,col:int>>")

@@ -194,7 +194,7 @@ def routed(candidates: DataFrame, s: Surface, edges: DataFrame, taken: DataFrame
         if tolerance is not None:
             kept = xy[1:-1]
             kept = kept[polyline.simplify(kept, tolerance)] if tolerance and len(kept) > 2 else kept
-        return pd.DataFrame({"cid": [f.cid], "path_cost": [found[1]], "n": [len(path)], "edge_fraction": [float((d_edge[at] <= near_m).mean())], "novelty": [float((d_line[at] * res >= 3.0).mean())], "path_length": [float(np.hypot(*np.diff(xy, axis=0).T).sum())], "path": [[{"x": x, "y": y} for x, y in kept.tolist()]]})
+        return pd.DataFrame({"cid": [g["cid"].iloc[0]], "path_cost": [found[1]], "n": [len(path)], "edge_fraction": [float((d_edge[at] <= near_m).mean())], "novelty": [float((d_line[at] * res >= 3.0).mean())], "path_length": [float(np.hypot(*np.diff(xy, axis=0).T).sum())], "path": [[{"x": x, "y": y} for x, y in kept.tolist()]]})
 
     return w.groupBy("cid").applyInPandas(one, ROUTED)
 

@@ -146,3 +146,17 @@ def test_config():
 def test_png():
     data = outputs.png(np.zeros((3, 5, 3), np.uint8))
     assert data.startswith(b"\x89PNG") and data.endswith(b"IEND\xaeB`\x82")
+
+
+def test_routes_in_windows(spark):
+    """A wall with one opening inside the window; candidate numbers of 64 bits survive."""
+    wall = [(r, c, 100.0 if c == 70 and r != 66 else 1.0) for r in range(55, 75) for c in range(55, 85)]
+    cells = spark.createDataFrame(wall, "row int, col int, cost double")
+    big = 2**62 + 1
+    cand = spark.createDataFrame([(big, 60, 60, 60, 80), (-7, 70, 62, 70, 62)], "cid bigint, r0 int, c0 int, r1 int, c1 int")
+    from pyspark.sql import functions as F
+
+    got = {r.cid: r for r in routing.route(routing.windows(cand, cells, F.lit(8))).collect()}
+    path = [(p.row, p.col) for p in got[big].path]
+    assert path[0] == (60, 60) and path[-1] == (60, 80) and (66, 70) in path and got[big].n == len(path)
+    assert got[-7].n == 1 and got[-7].path_cost == 0.0
