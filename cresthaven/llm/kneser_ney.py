@@ -9,9 +9,11 @@ come from the counts of counts of each level (Chen and Goodman).
 where n(w) is the number of different histories of w (lower order), and V + 1 leaves room for the unknown word.  A
 history never seen passes all its mass to p(w).
 
-Spark counts hashed tokens and bigrams, computes discounts and back-off weights, deals the rows by hash range and
-writes each range as a sorted array file into the shared folder; tasks map these files into memory and look hashes up
-by binary search, so that neither the driver nor a worker holds the model.
+1. Tasks count hashed words of their rows, Spark adds the counts up; words get dense numbers by hash range.
+2. Tasks count pairs of word numbers, Spark deals them by history; each task adds its histories' pairs up and writes
+   them as a sorted array.  What follows of histories and words goes into one more sum.
+3. Everything lies as sorted arrays in the shared folder.  Tasks map these files into memory and look up by binary
+   search, so that neither the driver nor a worker holds the model.
 """
 
 from __future__ import annotations
@@ -26,70 +28,155 @@ import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import batch, held_out, release, shared_dir, utf8, written
+
+END, BEGIN = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (b"\n", b"\n\n"))  # no word holds white space
+COUNTS = pa.schema([("hash", pa.int64()), ("c", pa.int64())])
+PAIRS = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("c", pa.int64())])
+STATS = pa.schema([("id", pa.int64()), ("n", pa.int64()), *((f"n{k}", pa.int64()) for k in (1, 2, 3, 4)), ("more", pa.int64())])
+FILES = pa.schema([("low", pa.int64()), ("high", pa.int64()), ("name", pa.string())])
+IDS = [("key", "<u8"), ("id", "<i8")]
+WORDS = [("key", "<u8"), ("count", "<i8"), ("lower", "<f8"), ("backoff", "<f8")]
+BIGRAMS = [("key", "<u8"), ("c", "<u4")]
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-from .common import batch, held_out, shared_dir, utf8, written
 
-END, BEGIN = "\n", "\n\n"  # no word holds white space
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORDS = [("hash", "<u8"), ("count", "<i8"), ("lower", "<f8"), ("backoff", "<f8")]
-PAIRS = [("hash", "<u8"), ("high", "<f4")]
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+class Hasher:
+    """Words -> XXH64 (seed 42), remembering up to ``most``."""
+
+    def __init__(self, most: int = 300_000):
+        self.known: dict[bytes, int] = {}
+        self.most = most
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all tokens, ends included; the place after each text's end)."""
+        words = [t.lower().split() for t in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        known, digest = self.known, xxhash.xxh64_intdigest
+        ends = np.cumsum(np.array([len(w) + 1 for w in words], np.int64))
+        out = np.full(int(ends[-1]) if len(ends) else 0, END, np.uint64)
+        for ws, e in zip(words, ends.tolist()):
+            if ws:
+                try:
+                    h = list(map(known.__getitem__, ws))
+                except KeyError:
+                    for w in set(ws):
+                        if w not in known:
+                            known[w] = digest(w, 42)
+                    h = list(map(known.__getitem__, ws))
+                out[e - 1 - len(ws) : e - 1] = h
+        return out, ends
+
+
+def _combine(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.append(0, np.flatnonzero(k[1:] != k[:-1]) + 1)
+    return k[first], np.add.reduceat(c, first)
+
+
+class Counter:
+    """Adds up keys in numpy; hands sums over when they hold ``most`` keys, which bounds memory."""
+
+    def __init__(self, most: int = 1 << 21):
+        self.keys, self.counts, self.n, self.most = [], [], 0, most
+
+    def add(self, keys: np.ndarray):
+        k, c = np.unique(keys, return_counts=True)
+        self.keys.append(k)
+        self.counts.append(c)
+        self.n += len(k)
+        if self.n > self.most:
+            k, c = _combine(self.keys, self.counts)
+            if len(k) * 2 > self.most:
+                self.keys, self.counts, self.n = [], [], 0
+                return k, c
+            self.keys, self.counts, self.n = [k], [c], len(k)
+        return None
+
+    def rest(self):
+        return _combine(self.keys, self.counts) if self.keys else None
+
+
+def _word_counts(batches):
+    hashes, counter = Hasher(), Counter()
+    for b in batches:
+        texts = utf8(b.column("text"))
+        for at in range(0, len(texts), 512):
+            part = hashes(texts[at : at + 512])[0]
+            if len(part) and (full := counter.add(part)):
+                yield batch(COUNTS, full[0].view(np.int64), full[1])
+    if full := counter.rest():
+        yield batch(COUNTS, full[0].view(np.int64), full[1])
 
 
-def token_hashes(text: Column) -> Column:
-    """A text's token hashes: words as XXH64, then the end."""
-    words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(F.concat(words, F.array(F.lit(END))), lambda w: F.xxhash64(w))
-
-
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """XXH64 (seed 42) of two 64-bit numbers one after the other, as Spark's xxhash64(a, b) chains it."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    seed = np.uint64(42)
-    with np.errstate(over="ignore"):
-        for x in (a, b):
-            h = (seed + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
-            h = turn(h, 27) * p1 + p4
-            h = (h ^ (h >> np.uint64(33))) * p2
-            h = (h ^ (h >> np.uint64(29))) * p3
-            seed = h ^ (h >> np.uint64(32))
-    return seed
-
-
-def _discounts(counts: DataFrame, column: str) -> tuple[float, float, float]:
-    """D1, D2, D3+ from the counts of counts; 0.5, 1, 1.5 where these are missing or leave the allowed range."""
-    n = counts.agg(*(F.count_if(F.col(column) == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-    y = n.n1 / (n.n1 + 2 * n.n2) if n.n1 and n.n2 else 0
-    found = [k - (k + 1) * y * n[f"n{k + 1}"] / n[f"n{k}"] if y and n[f"n{k}"] else 0 for k in (1, 2, 3)]
-    return tuple(d if 0 < d < k else k / 2 for k, d in zip((1, 2, 3), found))
+def _file_system(uri: str):
+    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
-def _discounted(c: str, d: tuple) -> Column:
-    return F.when(F.col(c) == 1, F.lit(d[0])).when(F.col(c) == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
+def _write(folder: str, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Write arrays one after the other, keys (sorted) first; the file's name appears when it is whole, so a task that is run again does no harm."""
+    fs, path = _file_system(folder)
+    fs.create_dir(path, recursive=True)
+    name = uuid.uuid4().hex
+    with fs.open_output_stream(f"{path}/_{name}") as f:
+        for c in columns:
+            f.write(memoryview(np.ascontiguousarray(c)).cast("B"))
+    fs.move(f"{path}/_{name}", f"{path}/{name}")
+    low, high = columns[0][[0, -1]].view(np.int64).tolist()
+    return batch(FILES, [low], [high], [name])
 
 
-def _mass(c: str, d: tuple) -> Column:
-    """The summed discounts of a group."""
-    return F.count_if(F.col(c) == 1) * d[0] + F.count_if(F.col(c) == 2) * d[1] + F.count_if(F.col(c) > 2) * d[2]
+def _pieces(parts: np.ndarray):
+    """(begin, end) of each value in a sorted array."""
+    edges = np.concatenate([[0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)]])
+    return zip(edges[:-1].tolist(), edges[1:].tolist())
 
 
-def _file_system(uri: str):
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+def _writer(folder: str, kind: list[tuple[str, str]]):
+    """Write each partition's rows (columns as in ``kind``, keys as signed) sorted by key, a file for each range ``part``."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        key, parts = t["key"].to_numpy().view(np.uint64), t["part"].to_numpy()
+        order = np.lexsort((key, parts))
+        columns = [key[order], *(t[n].to_numpy()[order].astype(of) for n, of in kind[1:])]
+        for s, e in _pieces(parts[order]):
+            yield _write(folder, [c[s:e] for c in columns])
 
+    return run
+
+
+def _dealt(rows: DataFrame, part: str, parts: int) -> DataFrame:
+    """Rows dealt so that range k goes to task k: by a number that Spark's hash sends there."""
+    spark = rows.sparkSession
+    found = spark.range(parts * 32).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()  # a row for each task
+    number = {r.p: r.id for r in found}
+    table = F.lit([number.get(k, k) for k in range(parts)]).cast("array<bigint>")
+    return rows.repartition(parts, F.element_at(table, (F.col(part) + 1).cast("int")))
 
-class Model:
-    """The written model: file names and a few numbers; workers map the files."""
 
-    def __init__(self, folder: str, words: list, pairs: list, train_tokens: int, vocabulary: int, floor: float, begin: float):
-        self.folder, self.words, self.pairs = folder, words, pairs
-        self.train_tokens, self.vocabulary, self.floor, self.begin = train_tokens, vocabulary, floor, begin
+def _files(rows) -> list[tuple[int, int, str]]:
+    """(least key, greatest key, name) of the files, in order: a row for each partition."""
+    return sorted((f.low % 2**64, f.high % 2**64, f.name) for f in rows)
 
 
-_mapped: dict[str, np.ndarray] = {}
+def _by_range(rows: DataFrame, part: Column, folder: str, kind) -> list[tuple[int, int, str]]:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _files(_dealt(rows.withColumn("part", part), "part", parts).mapInArrow(_writer(folder, kind), "low bigint, high bigint, name string").collect())
+
+
+_mapped: dict[str, dict[str, np.ndarray]] = {}
 
 
-def _map(folder: str, name: str, kind) -> np.ndarray:
+def _map(folder: str, name: str, kind) -> dict[str, np.ndarray]:
     key = f"{folder}/{name}"
     if key not in _mapped:
         fs, path = _file_system(folder)
@@ -99,130 +186,183 @@ def _map(folder: str, name: str, kind) -> np.ndarray:
             with fs.open_input_stream(f"{path}/{name}") as f, os.fdopen(handle, "wb") as out:
                 while piece := f.read(1 << 24):
                     out.write(piece)
-        _mapped[key] = np.memmap(local, kind, "r")
+        rows = os.path.getsize(local) // np.dtype(kind).itemsize
+        at, columns = 0, {}
+        for field, of in kind:
+            columns[field] = np.memmap(local, of, "r", at, (rows,))
+            at += rows * np.dtype(of).itemsize
+        _mapped[key] = columns
     return _mapped[key]
 
 
-def _look_up(folder: str, files: list, kind, wanted: np.ndarray, fields: list[str]) -> list[np.ndarray]:
-    """For sorted distinct hashes the fields' values, 0 where there is none."""
-    out = [np.zeros(len(wanted), kind_of) for kind_of in (dict(kind)[f] for f in fields)]
-    for i, (low, high, name) in enumerate(files):
-        lo, hi = np.searchsorted(wanted, [np.uint64(low), np.uint64(high)], side="left")
-        hi = np.searchsorted(wanted, np.uint64(high), side="right")
+def look_up(folder: str, files: list, kind, wanted: np.ndarray, fields: list[str], missing: int = 0) -> list[np.ndarray]:
+    """For sorted distinct keys the fields' values, ``missing`` where there is none."""
+    out = [np.full(len(wanted), missing, dict(kind)[f]) for f in fields]
+    for low, high, name in files:
+        lo, hi = np.searchsorted(wanted, np.uint64(low)), np.searchsorted(wanted, np.uint64(high), side="right")
         if lo == hi:
             continue
         a = _map(folder, name, kind)
-        hashes = a["hash"]
-        at = np.minimum(np.searchsorted(hashes, wanted[lo:hi]), len(a) - 1)
-        known = hashes[at] == wanted[lo:hi]
+        keys = a["key"]
+        at = np.minimum(np.searchsorted(keys, wanted[lo:hi]), len(keys) - 1)
+        known = keys[at] == wanted[lo:hi]
         for o, f in zip(out, fields):
             o[lo:hi][known] = a[f][at[known]]
     return out
 
 
-def train(docs: DataFrame) -> Model:
-    """Count and write the model of all texts of ``docs`` (text); null counts as empty, no text at all gives an empty model."""
-    spark = docs.sparkSession
-    begin = F.xxhash64(F.lit(BEGIN))
-    tokens = docs.select(token_hashes(F.col("text")).alias("t"))
-    pairs = tokens.select(F.explode(F.zip_with(F.concat(F.array(begin), F.slice("t", 1, F.size("t") - 1)), "t", lambda v, w: F.struct(v.alias("v"), w.alias("w")))).alias("p"))
-    counted = written(pairs.groupBy(F.col("p.v").alias("v"), F.col("p.w").alias("w")).agg(F.count("*").cast("int").alias("c")), "bigrams", "lz4")
-    d = _discounts(counted, "c")
-    left = counted.groupBy("w").agg(F.sum("c").alias("count"), F.count("*").alias("n"))
-    right = counted.groupBy("v").agg(F.sum("c").alias("total"), _mass("c", d).alias("freed"))
-    left = written(left, "words")
-    low = _discounts(left, "n")
-    sums = left.agg(F.sum("count").alias("tokens"), F.count("*").alias("v"), F.sum("n").alias("n"), _mass("n", low).alias("freed")).first()
-    n, vocabulary = sums.n or 1, sums.v
-    floor = (sums.freed or 0.0) / n / (vocabulary + 1) if vocabulary else 1.0
-    lower = (F.col("n") - _discounted("n", low)) / n + floor
-    words = left.join(right, left.w == right.v, "left").select(left.w.alias("hash"), "count", lower.alias("lower"), F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0)).alias("backoff"))
-    start = right.where(F.col("v") == begin).select((F.col("freed") / F.col("total")).alias("b")).first()
-    high = counted.join(right.select("v", "total"), "v").select(F.xxhash64("v", "w").alias("hash"), ((F.col("c") - _discounted("c", d)) / F.col("total")).alias("high"))
-    folder = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
-    return Model(folder, _ranges(words, folder, WORDS), _ranges(high, folder, PAIRS), int(sums.tokens or 0), int(vocabulary or 0), floor, start.b if start else 1.0)
+def _histories(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(history of each token, 0 for the beginning; starts of the texts)."""
+    starts = np.append(0, ends[:-1])
+    v = np.empty_like(ids)
+    v[1:] = ids[:-1]
+    v[starts] = 0
+    return v, starts
 
 
-def _ranges(rows: DataFrame, folder: str, kind) -> list[tuple[int, int, str]]:
-    """Range-partition rows by hash and write a file for each range: (least hash, greatest hash, name), unsigned."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # equal ranges of the hash need no sample: hashes are uniform
-    part = F.shiftrightunsigned("hash", 40).cast("int")
-    dealt = rows.withColumn("part", F.floor(part * F.lit(parts) / F.lit(float(1 << 24))).cast("int"))
-    files = dealt.repartition(parts, "part").mapInArrow(_range_writer(folder, kind), "low bigint, high bigint, name string").collect()
-    unsigned = lambda x: x % 2**64
-    return sorted((unsigned(f.low), unsigned(f.high), f.name) for f in files)
+def _pair_counts(folder: str, files: list):
+    def run(batches):
+        hashes, counter = Hasher(), Counter()
+
+        def rows(full):
+            return batch(PAIRS, (full[0] >> np.uint64(32)).astype(np.int64), (full[0] & np.uint64(0xFFFFFFFF)).astype(np.int64), full[1])
+
+        for b in batches:
+            texts = utf8(b.column("text"))
+            for at in range(0, len(texts), 512):
+                h, ends = hashes(texts[at : at + 512])
+                if not len(h):
+                    continue
+                kinds, back = np.unique(h, return_inverse=True)
+                ids = look_up(folder, files, IDS, kinds, ["id"])[0][back]
+                v, _ = _histories(ids, ends)
+                if full := counter.add(v.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)):
+                    yield rows(full)
+        if full := counter.rest():
+            yield rows(full)
+
+    return run
 
 
-def _range_writer(folder: str, kind):
-    schema = pa.schema([("low", pa.int64()), ("high", pa.int64()), ("name", pa.string())])
+def _pair_files(folder: str, width: int):
+    """Add up a partition's pairs, write them, and pass on: of each history how many pairs it has once, twice, ..., of each word its histories."""
+    schema = pa.schema([*STATS, *FILES])
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        a = np.empty(t.num_rows, kind)
-        for name, of in kind:
-            v = t[name].to_numpy()
-            a[name] = v.view(np.uint64) if name == "hash" else v.astype(of)
-        parts = t["part"].to_numpy()
-        order = np.lexsort((a["hash"], parts))
-        a, parts = a[order], parts[order]
-        fs, path = _file_system(folder)
-        fs.create_dir(path, recursive=True)
-        edges = np.concatenate([[0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(a)]])
-        for s, e in zip(edges[:-1], edges[1:]):  # several ranges can share a task; each is its own file
-            name = uuid.uuid4().hex
-            with fs.open_output_stream(f"{path}/_{name}") as f:
-                f.write(memoryview(np.ascontiguousarray(a[s:e])).cast("B"))
-            fs.move(f"{path}/_{name}", f"{path}/{name}")
-            ends = a["hash"][[s, e - 1]].view(np.int64)
-            yield batch(schema, [int(ends[0])], [int(ends[1])], [name])
+        del held
+        key, c = _combine([t["v"].to_numpy().astype(np.uint64) << np.uint64(32) | t["w"].to_numpy().astype(np.uint64)], [t["c"].to_numpy()])
+        del t
+        v, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.append(0, np.flatnonzero(v[1:] != v[:-1]) + 1)
+        total = lambda x: np.add.reduceat(x.astype(np.int64), first)
+        zero = np.zeros(len(first), np.int64)
+        blank = lambda n, kind: pa.nulls(n, kind)
+        yield pa.RecordBatch.from_arrays([pa.array(v[first]), pa.array(zero), *(pa.array(total(c == k)) for k in (1, 2, 3, 4)), pa.array(total(c > 4)), *(blank(len(first), f.type) for f in FILES)], schema=schema)
+        word, n = np.unique(w, return_counts=True)
+        zero = np.zeros(len(word), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n), *(pa.array(zero) for _ in range(5)), *(blank(len(word), f.type) for f in FILES)], schema=schema)
+        for s, e in _pieces(v // width):
+            file = _write(folder, [key[s:e], np.minimum(c[s:e], 2**32 - 1).astype("<u4")])
+            yield pa.RecordBatch.from_arrays([*(blank(1, pa.int64()) for _ in STATS), *file.columns], schema=schema)
 
     return run
 
 
+def discounts(n1, n2, n3, n4) -> tuple[float, float, float]:
+    """D1, D2, D3+ from the counts of counts; half of 1, 2, 3 where these are missing or leave the allowed range."""
+    n = [n1 or 0, n2 or 0, n3 or 0, n4 or 0]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0
+    found = [k - (k + 1) * y * n[k] / n[k - 1] if y and n[k - 1] else 0 for k in (1, 2, 3)]
+    return tuple(d if 0 < d < k else k / 2 for k, d in zip((1, 2, 3), found))
+
+
+class Model:
+    """The written model: file names and a few numbers; workers map the files."""
+
+    def __init__(self, folder: str, ids: list, words: list, pairs: list, train_tokens: int, vocabulary: int, floor: float, begin: float, documents: int, high: tuple):
+        self.folder, self.ids, self.words, self.pairs = folder, ids, words, pairs
+        self.train_tokens, self.vocabulary, self.floor, self.begin, self.documents, self.high = train_tokens, vocabulary, floor, begin, documents, high
+
+
+def train(docs: DataFrame) -> Model:
+    """Count and write the model of all texts of ``docs`` (text); null counts as empty, no text at all gives an empty model.
+
+    Word numbers have 32 bits: up to four thousand million different words.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
+    texts = docs.select("text")
+    counted = texts.mapInArrow(_word_counts, "hash bigint, c bigint").groupBy("hash").agg(F.sum("c").alias("count"))
+    counted = written(counted.withColumn("part", F.floor(F.shiftrightunsigned("hash", 40) * F.lit(parts) / F.lit(float(1 << 24))).cast("int")), "words")
+    # dense numbers from 1: ranges of the hash in order, then the order within a range;
+    per = counted.groupBy("part").agg(F.count("*").alias("rows"))
+    before = per.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each range
+    numbered = counted.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("hash")))
+    numbered = written(numbered.join(F.broadcast(before), "part").select("hash", "count", "part", (F.col("before") + F.col("place")).alias("id")), "numbers")
+    ids = _by_range(numbered.select(F.col("hash").alias("key"), "id", "part"), F.col("part"), folder, IDS)
+    pairs = texts.mapInArrow(_pair_counts(folder, ids), "v bigint, w bigint, c bigint")
+    top = counted.agg(F.sum("count").alias("tokens"), F.count("*").alias("v")).first()
+    vocabulary = top.v or 0
+    width = vocabulary // parts + 1  # numbers 0 (the beginning) to vocabulary, in ``parts`` ranges
+    ranged = _dealt(pairs.withColumn("part", F.floor(F.col("v") / width).cast("int")), "part", parts)
+    dealt = ranged.mapInArrow(_pair_files(folder, width), "id bigint, n bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint, low bigint, high bigint, name string")
+    found = written(dealt, "pairs")
+    files = _files(found.where("name is not null").collect())
+    names = ["n", "n1", "n2", "n3", "n4", "more"]
+    sums = written(found.where("name is null").groupBy("id").agg(*(F.sum(c).alias(c) for c in names)), "sums")
+    all_ = sums.agg(*(F.sum(c).alias(c) for c in names), *(F.count_if(F.col("n") == k).alias(f"k{k}") for k in (1, 2, 3, 4)), F.count_if(F.col("n") > 0).alias("v")).first()
+    d, low = discounts(all_.n1, all_.n2, all_.n3, all_.n4), discounts(all_.k1, all_.k2, all_.k3, all_.k4)
+    n = all_.n or 1
+    freed_low = (all_.k1 or 0) * low[0] + (all_.k2 or 0) * low[1] + ((all_.v or 0) - (all_.k1 or 0) - (all_.k2 or 0)) * low[2]
+    floor = freed_low / n / (vocabulary + 1) if vocabulary else 1.0
+    cut = F.when(F.col("n") == 1, low[0]).when(F.col("n") == 2, low[1]).otherwise(low[2])
+    freed = F.col("n1") * d[0] + F.col("n2") * d[1] + (F.col("n3") + F.col("n4") + F.col("more")) * d[2]
+    documents = counted.where(F.col("hash") == F.lit(int(END.view(np.int64)))).select("count").first()
+    documents = documents[0] if documents else 0
+    start = sums.where("id = 0").select(freed.alias("b")).first()
+    words = numbered.join(sums, "id").select(F.col("id").alias("key"), "count", ((F.col("n") - cut) / n + floor).alias("lower"), F.when(F.col("n1") + F.col("n2") + F.col("n3") + F.col("n4") + F.col("more") > 0, freed / F.col("count")).otherwise(1.0).alias("backoff"))
+    word_files = _by_range(words, F.floor(F.col("key") / width).cast("int"), folder, WORDS)
+    release(spark)
+    return Model(folder, ids, word_files, files, int(top.tokens or 0), int(vocabulary), floor, start.b / documents if start and documents else 1.0, int(documents), d)
+
+
 def _score_rows(model: Model):
     def run(batches):
-        hashes: dict[bytes, int] = {}
-        end, begin = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (END.encode(), BEGIN.encode()))
-        digest = xxhash.xxh64_intdigest
-        unknown = model.floor
+        hashes = Hasher()
         base = np.log10(model.train_tokens + model.vocabulary + 1)
+        d = np.array([0.0, *model.high])
         for b in batches:
             texts = utf8(b.column("text"))
-            for at in range(0, len(texts), 256):
-                words = [t.lower().split() for t in texts[at : at + 256]]
-                if len(hashes) > 500_000:
-                    hashes.clear()
-                for ws in words:
-                    for w in set(ws).difference(hashes):
-                        hashes[w] = digest(w, 42)
-                sizes = np.array([len(ws) + 1 for ws in words])
-                ends = np.cumsum(sizes)
-                w = np.full(int(ends[-1]), end, np.uint64)
-                for ws, e in zip(words, ends.tolist()):
-                    if ws:
-                        w[e - 1 - len(ws) : e - 1] = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
-                v = np.empty_like(w)
-                v[1:] = w[:-1]
-                starts = ends - sizes
-                v[starts] = begin
-                kinds, back = np.unique(w, return_inverse=True)
-                count, lower, backoff = _look_up(model.folder, model.words, WORDS, kinds, ["count", "lower", "backoff"])
-                known = count > 0
-                lower = np.where(known, lower, unknown)[back]
-                after = np.where(known, backoff, 1.0)[back]
-                weight = np.empty_like(after)
-                weight[1:] = after[:-1]
-                weight[starts] = model.begin
-                pair, which = np.unique(_mix(v, w), return_inverse=True)
-                high = _look_up(model.folder, model.pairs, PAIRS, pair, ["high"])[0][which].astype(np.float64)
-                log = np.log10(high + weight * lower)
+            for at in range(0, len(texts), 512):
+                h, ends = hashes(texts[at : at + 512])
+                kinds, back = np.unique(h, return_inverse=True)
+                kind_ids = look_up(model.folder, model.ids, IDS, kinds, ["id"])[0]
+                order = np.argsort(kind_ids)
+                count, lower, backoff = (np.zeros(len(kinds), x) for x in ("i8", "f8", "f8"))
+                found = look_up(model.folder, model.words, WORDS, kind_ids[order].astype(np.uint64), ["count", "lower", "backoff"])
+                for x, y in zip((count, lower, backoff), found):
+                    x[order] = y
+                known = kind_ids > 0
+                lower[~known], backoff[~known] = model.floor, 1.0
+                ids = kind_ids[back]
+                v, starts = _histories(ids, ends)
+                after, seen = backoff[back], count[back].astype(np.float64)
+                weight, total = np.empty_like(after), np.empty_like(seen)
+                weight[1:], total[1:] = after[:-1], seen[:-1]
+                weight[starts], total[starts] = model.begin, model.documents
+                fresh = (ids == 0) | ((v == 0) & (np.arange(len(v)) != np.repeat(starts, ends - starts)))  # an unknown word on either side: no such pair
+                pair, which = np.unique(np.where(fresh, 0, v.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)), return_inverse=True)
+                c = look_up(model.folder, model.pairs, BIGRAMS, pair, ["c"])[0][which].astype(np.int64)
+                high = (c - d[np.minimum(c, 3)]) / np.maximum(total, 1)
+                log = np.log10(high + weight * lower[back])
                 plain = (np.log10(count + 1.0) - base)[back]
                 add = lambda x: np.add.reduceat(x, starts)
-                yield batch(RESULT, b.column("doc_id").slice(at, 256), sizes, add(known[back].astype(np.int64)), add(plain), add(log))
+                yield batch(RESULT, b.column("doc_id").slice(at, 512), ends - starts, add(known[back].astype(np.int64)), add(plain), add(log))
 
     return run
 
@@ -239,5 +379,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def score_documents(docs: DataFrame) -> DataFrame:
     """Train on the documents outside the held-out seventh and score all."""
     test = held_out(modulus=7, remainder=2)
-    model = train(docs.where(~test).select("text"))
+    model = train(docs.where(~test))
     return score(docs, model).select("doc_id", held_out(modulus=7, remainder=2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
