@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, utf8
+from .common import batch, utf8, written
 
 ITEM = "struct<position:int,kind:string,text:string,digest:string>"
 STORED = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 UNIT = 64  # payloads are padded with zero bytes to a positive multiple of this
 RATE = 8000
+LEAST_HOT = 100  # a digest with fewer references is never hot
 
 _TAG = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -151,11 +152,24 @@ def interleave(pages: DataFrame) -> DataFrame:
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     """(key, items), (digest, ...) -> a row per media item: key, position, caption, digest and the media columns.
 
-    A reference whose digest is not stored keeps its row, with nulls.  Only references and the media table's columns
-    are shuffled; Spark splits hot digests (adaptive skew join).
+    A reference whose digest is not stored keeps its row, with nulls.  A digest with more than a partition's share of
+    the references (so there are at most as many of them as partitions) is hot: its references are dealt over salts,
+    its media row is copied to each salt.  All other references join by the digest alone.
     """
+    spark = sequences.sparkSession
     refs = sequences.select("key", F.explode("items").alias("i")).where("i.kind = 'media'").select("key", "i.position", F.col("i.text").alias("caption"), "i.digest")
-    return refs.join(media, "digest", "left").select("key", "position", "caption", "digest", *(c for c in media.columns if c != "digest"))
+    refs = written(refs, "references")
+    columns = ["key", "position", "caption", "digest", *(c for c in media.columns if c != "digest")]
+    share = max(refs.count() // int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_HOT)
+    hot = written(refs.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > share).select("digest", F.ceil(F.col("n") / share).cast("int").alias("_salts")), "hot-digests")
+    if hot.isEmpty():
+        return refs.join(media, "digest", "left").select(columns)
+    tagged = refs.join(F.broadcast(hot), "digest", "left")
+    cold = tagged.where("_salts is null").join(media, "digest", "left").select(columns)
+    copies = media.join(F.broadcast(hot), "digest").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    # the row number within a partition of the written table deals even references that repeat in every column
+    dealt = tagged.where("_salts is not null").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), "_salts").cast("int"))
+    return cold.unionByName(dealt.join(copies, ["digest", "_salt"], "left").select(columns))
 
 
 def _document_page(batches):

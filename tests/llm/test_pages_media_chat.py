@@ -103,6 +103,14 @@ def test_sequences_stay_aligned(spark):
     assert got == [(1, 1, True, a), (1, 3, True, b), (1, 4, True, a), (3, 0, False, "00")]
 
 
+def test_hot_digest_loses_nothing(spark):
+    ddl = "doc_id bigint, text string, _salt string, n int"
+    rows = [(7 if k % 3 else k, "copied" if k % 2 else f"text {k}", "s", 1) for k in range(1500)]
+    got = M.document_media(spark.createDataFrame(rows, ddl)).collect()
+    want = sorted((i, len(t), M.feature(M.padded(t.encode()))) for i, t, _, _ in rows)
+    assert sorted((r.doc_id, r.n_bytes, r.feature) for r in got) == want
+
+
 CHAT = "conv_id bigint, turn bigint, role string, text string, said string, before int"
 
 
