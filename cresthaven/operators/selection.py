@@ -6,21 +6,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .components import cut
+from .components import connected, cut
 
 
 def match(pairs: DataFrame, order: list[str], most: int = 100) -> DataFrame:
     """Greedy one-to-one matching of lines: pairs (first_line, second_line, ...) in a strict total ``order``, each line once.
 
     Round by round a pair is taken if it is the best of both its lines, and what it uses is removed; with a strict
-    order that is what going down the sorted list gives, but distributed.
+    order that is what going down the sorted list gives, but distributed.  Where rounds take little (chains of ever
+    better pairs) or ``most`` are done, what is left is walked in order, each connected part by itself.
     """
     strict = [*order, "first_line", "second_line", "first", "second"]
     strict = [c for c in strict if c in pairs.columns]
-    rest, taken = cut(pairs), None
+    rest, taken = cut(pairs.where("first_line is not null and second_line is not null")), None
+    left = rest.count()
     for _ in range(most):
-        if rest.isEmpty():
+        if not left:
             break
         key = F.struct(*strict)
         lines = rest.select(F.explode(F.array("first_line", "second_line")).alias("line"), key.alias("key")).groupBy("line").agg(F.min("key").alias("best"))
@@ -30,9 +33,33 @@ def match(pairs: DataFrame, order: list[str], most: int = 100) -> DataFrame:
         taken = now if taken is None else taken.unionByName(now)
         used = now.select(F.explode(F.array("first_line", "second_line")).alias("used"))
         rest = cut(rest.join(used, F.col("first_line") == F.col("used"), "left_anti").join(used, F.col("second_line") == F.col("used"), "left_anti"))
+        before, left = left, rest.count()
+        if left * 10 > before * 9:
+            break
+    if left:
+        taken = taken.unionByName(walked(rest, strict)) if taken is not None else walked(rest, strict)
     return taken if taken is not None else pairs.limit(0)
 
 
+def walked(pairs: DataFrame, strict: list[str]) -> DataFrame:
+    """The greedy matching, each connected part of the lines walked in order by one task; a part's rows are four numbers each."""
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("rank")
+        used, out = set(), []
+        for a, b, n in zip(g["first_line"].tolist(), g["second_line"].tolist(), g["n"].tolist()):
+            if a not in used and b not in used:
+                used.update((a, b))
+                out.append(n)
+        return pd.DataFrame({"n": out})
+
+    numbered = cut(pairs.withColumn("_n", F.monotonically_increasing_id()))
+    roots = connected(numbered.select(F.col("first_line").alias("a"), F.col("second_line").alias("b")))
+    named = numbered.join(roots, F.col("first_line") == F.col("node"), "left").withColumn("root", F.coalesce("root", "first_line"))
+    ranked = named.select("root", "first_line", "second_line", F.col("_n").alias("n"), F.row_number().over(Window.partitionBy("root").orderBy(*strict)).alias("rank"))
+    kept = ranked.groupBy("root").applyInPandas(one, "n bigint")
+    return cut(numbered.join(kept, F.col("_n") == F.col("n"), "left_semi").select(*pairs.columns))
+
+
 def thin(candidates: DataFrame, radius: float, most: int) -> DataFrame:
     """Non-maximum suppression: candidates (cid, type, first_line, second_line, mx, my, score) by falling score (ties: cid).
 

@@ -91,6 +91,15 @@ def test_match_equals_sorted_greedy(spark):
     assert selection.match(df.limit(0), ["score"]).count() == 0
 
 
+def test_match_of_a_long_chain(spark):
+    """Ties and rising scores let a round take one pair only; none may be left over."""
+    ddl = "first_line bigint, second_line bigint, first bigint, second bigint, score double"
+    tied = [(i, i + 1, 2 * i, 2 * i + 1, 1.0) for i in range(600)]
+    rising = [(i, i + 1, 2 * i, 2 * i + 1, float(i)) for i in range(1000, 1400)]
+    got = {(x.first_line, x.second_line) for x in selection.match(spark.createDataFrame(tied + rising, ddl), ["score"]).collect()}
+    assert got == {(i, i + 1) for i in [*range(0, 600, 2), *range(1000, 1400, 2)]}
+
+
 def test_thin_keeps_distance(spark):
     r = random.Random(5)
     rows = [(i, r.choice(["crest", "toe"]), r.randrange(40), 50 + r.randrange(40), r.random() * 100, r.random() * 100, r.random()) for i in range(200)]
