@@ -84,38 +84,43 @@ def before(rows: DataFrame, keys: list[str], order: list[str], value: str) -> Da
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, ...) -> a row per message: conv_id, turn, role, said, n_quotes, n_linked, reply_to (turn).
+    """(conv_id, turn, role, text, ...) -> a row per message: conv_id, place, turn, role, said, n_quotes, n_linked, reply_to (turn), reply_place.
 
-    Null conversation ids form one conversation; a null turn comes first and replies to nothing.  Rows that repeat
-    conversation and turn are one message: the greatest role and text of them counts.  An empty table gives no rows;
-    extra columns are ignored.  Quotes of passages that nobody said before are dropped from the text but link nowhere.
+    Only rows equal in conv_id, turn, role and text are one message.  A conversation's messages are ordered by turn,
+    then role, then the digest of the text, and ``place`` is the number in that order, from 0; "earlier" means a lesser
+    place, also within a turn.  Null conversation ids form one conversation; messages without a turn come first, reply
+    to nothing and are replied to by nothing.  An empty table gives no rows; extra columns are ignored.  Quotes of
+    passages that nobody said before are dropped from the text but link nowhere.
     """
-    one = messages.groupBy("conv_id", "turn").agg(F.max(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
-    own = written(parse(one), "parsed")
-    quotes = own.select("conv_id", "turn", F.posexplode("quoted").alias("place", "q")).select("conv_id", F.xxhash64(normal(F.col("q.text"))).alias("hash"), "turn", F.lit(0).alias("kind"), "place", F.col("q.level").alias("level"), F.lit(None).cast("bigint").alias("source"))
+    one = messages.select("conv_id", "turn", "role", "text").distinct().withColumn("digest", F.sha2("text", 256))
+    one = before(one, ["conv_id"], ["turn", "role", "digest"], "turn").withColumnsRenamed({"n_before": "at", "max_before": "turn_before"})
+    own = written(parse(one).drop("text", "digest"), "parsed")
+    quotes = own.select("conv_id", "at", F.posexplode("quoted").alias("nth", "q")).select("conv_id", F.xxhash64(normal(F.col("q.text"))).alias("hash"), "at", F.lit(0).alias("kind"), "nth", F.col("q.level").alias("level"), F.lit(None).cast("bigint").alias("source"))
     # only conversations with a quote have their passages hashed
     asked = quotes.select(F.col("conv_id").alias("c")).distinct()
     parts = F.array_distinct(F.concat(F.array(F.col("said")), F.split("said", r"\n\s*\n")))
-    said = own.join(asked, own.conv_id.eqNullSafe(asked.c), "left_semi").select("conv_id", "turn", F.explode(parts).alias("part")).where((F.trim("part") != "") & F.col("turn").isNotNull())
-    said = said.select("conv_id", F.xxhash64(normal(F.col("part"))).alias("hash"), "turn", F.lit(1).alias("kind"), F.lit(0).alias("place"), F.lit(0).alias("level"), F.col("turn").alias("source")).distinct()
+    said = own.join(asked, own.conv_id.eqNullSafe(asked.c), "left_semi").where("turn is not null").select("conv_id", "at", F.explode(parts).alias("part")).where(F.trim("part") != "")
+    said = said.select("conv_id", F.xxhash64(normal(F.col("part"))).alias("hash"), "at", F.lit(1).alias("kind"), F.lit(0).alias("nth"), F.lit(0).alias("level"), F.col("at").alias("source")).distinct()
     # the latest earlier message that says a quoted passage: a running maximum, never all pairs
-    linked = before(quotes.unionByName(said), ["conv_id", "hash"], ["turn", "kind", "place"], "source").where("kind = 0 and max_before is not null")
-    per = linked.groupBy("conv_id", "turn").agg(F.count("*").alias("linked"), F.max_by("max_before", F.struct(-F.col("level"), "place")).alias("to"))
-    placed = before(own.select("conv_id", "turn", "role", "said", F.size("quoted").alias("n_quotes")), ["conv_id"], ["turn"], "turn")
-    p = per.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "linked", "to")
-    out = placed.join(p, placed.conv_id.eqNullSafe(p.c) & placed.turn.eqNullSafe(p.t), "left")
-    return out.select("conv_id", "turn", "role", "said", "n_quotes", F.coalesce("linked", F.lit(0)).alias("n_linked"), F.coalesce("to", "max_before").alias("reply_to"))
+    linked = before(quotes.unionByName(said), ["conv_id", "hash"], ["at", "kind", "nth"], "source").where("kind = 0 and max_before is not null")
+    per = linked.groupBy("conv_id", "at").agg(F.count("*").alias("linked"), F.max_by("max_before", F.struct(-F.col("level"), "nth")).alias("target"))
+    # the turn of the message replied to
+    t = own.select(F.col("conv_id").alias("c"), F.col("at").alias("t"), F.col("turn").alias("to_turn"))
+    p = per.join(t, per.conv_id.eqNullSafe(t.c) & (per.target == t.t)).select("c", F.col("at").alias("p"), "linked", "target", "to_turn")
+    out = own.join(p, own.conv_id.eqNullSafe(p.c) & (own.at == p.p), "left")
+    last = F.when(F.col("turn_before").isNotNull(), F.col("at") - 1)
+    return out.select("conv_id", F.col("at").alias("place"), "turn", "role", "said", F.size("quoted").alias("n_quotes"), F.coalesce("linked", F.lit(0)).alias("n_linked"), F.coalesce("to_turn", "turn_before").alias("reply_to"), F.coalesce("target", last).alias("reply_place"))
 
 
 def conversations(messages: DataFrame, segment: int = 256) -> DataFrame:
     """Conversations in reply order, in segments of at most ``segment`` messages, so that no row is unbounded.
 
     Columns: conv_id, segment (0 on), n_messages, n_linked, messages (array of turn, role, reply_to, text).  Messages
-    are ordered by what they reply to, then by turn: replies to a message stand together, after all replies to earlier
+    are ordered by what they reply to, then by place: replies to a message stand together, after all replies to earlier
     ones, and the first message comes first.  Texts are without quotes.
     """
-    rows = link(messages).withColumn("after", F.coalesce("reply_to", F.lit(-(2**63))))
-    placed = before(rows, ["conv_id"], ["after", "turn"], "turn")
-    each = F.struct(F.col("n_before").alias("place"), "turn", "role", "reply_to", F.col("said").alias("text"))
+    rows = link(messages).withColumn("after", F.coalesce("reply_place", F.lit(-1)))
+    placed = before(rows, ["conv_id"], ["after", "place"], "place")
+    each = F.struct(F.col("n_before").alias("nth"), "turn", "role", "reply_to", F.col("said").alias("text"))
     out = placed.groupBy("conv_id", F.floor(F.col("n_before") / segment).alias("segment")).agg(F.count("*").alias("n_messages"), F.sum("n_linked").alias("n_linked"), F.sort_array(F.collect_list(each)).alias("m"))
     return out.select("conv_id", "segment", "n_messages", "n_linked", F.transform("m", lambda x: F.struct(x.turn.alias("turn"), x.role.alias("role"), x.reply_to.alias("reply_to"), x.text.alias("text"))).alias("messages"))

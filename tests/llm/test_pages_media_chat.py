@@ -160,3 +160,18 @@ def test_odd_chats(spark):
     assert len(got) == 4 and got[3, 2].reply_to == 1 and got[3, 2].n_linked == 1 and got[None, None].said == ""
     plan = C.link(chat(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_messages_of_one_turn_are_all_kept(spark):
+    """Null and repeated keys drop no text; links run in the order of turn, role and digest of the text."""
+    rows = [(None, 1, "u", f"text {k}") for k in range(5)] + [(4, None, "u", f"no turn {k}") for k in range(5)]
+    rows += [(5, 0, "a", "one"), (5, 0, "b", "two"), (5, 0, "b", "two"), (5, 0, "b", None), (5, 1, "c", "> one\nyes"), (5, 2, "d", "plain")]
+    linked = C.link(chat(spark, rows)).collect()
+    assert sorted((str(r.conv_id), str(r.turn), r.role, r.said) for r in linked) == sorted({(str(c), str(t), r, x or "") if x != "> one\nyes" else ("5", "1", "c", "yes") for c, t, r, x in rows})
+    mine = sorted((r for r in linked if r.conv_id == 5), key=lambda r: r.place)
+    assert [(r.place, r.turn, r.role, r.said) for r in mine] == [(0, 0, "a", "one"), (1, 0, "b", ""), (2, 0, "b", "two"), (3, 1, "c", "yes"), (4, 2, "d", "plain")]
+    assert [(r.reply_place, r.reply_to, r.n_linked) for r in mine] == [(None, None, 0), (0, 0, 0), (1, 0, 0), (0, 0, 1), (3, 1, 0)]
+    assert all(r.reply_place is None for r in linked if r.turn is None)
+    parts = C.conversations(chat(spark, rows)).collect()
+    assert sorted(p.n_messages for p in parts) == [5, 5, 5]
+    assert [m.text for p in parts if p.conv_id == 5 for m in p.messages] == ["one", "", "yes", "two", "plain"]
