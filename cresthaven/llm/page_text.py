@@ -1,9 +1,9 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page's tokens are its element openings, told apart by their path.  For every host, Spark adds up each token's
-occurrence vector over the host's pages as a digest (the exclusive or of hashed page and count), so tokens with equal
-vectors share a digest; they form an equivalence class.  Classes seen on enough pages, no deeper than the elements
-they stand in, nest into the host's template.  Its slots are the elements' contents; slots that are menus, headers,
+occurrence vector over the host's pages as a digest (sums of hashed page and count, which repeated pages do not
+cancel), so tokens with equal vectors share a digest; they form an equivalence class.  Classes seen on enough pages, no
+deeper than the elements they stand in, nest into the host's template.  Its slots are the elements' contents; slots that are menus, headers,
 footers, sidebars, notices, adverts, forms, scripts or comments are left out, the main slot is extracted.
 """
 
@@ -106,15 +106,15 @@ def left_out(path: str) -> bool:
 def deduce(rows: list[tuple]) -> set[str]:
     """(token, sig, support, most, chars, links) of a host -> the paths of its template's main slots.
 
-    A class (equal sig) is valid if it is on at least half of the host's pages; it nests if every token's parent is in
-    a valid class too.  Main slots: elements ``article`` or ``main`` of the template; without these the element with
+    A class (equal sig) is valid if every token of it is on at least half of the host's pages; a token nests if its
+    parent is in a valid class too.  Main slots: elements ``article`` or ``main`` of the template; without these the element with
     the most text outside links, children's included.
     """
     pages = max((r[2] for r in rows), default=0)
     classes: dict[int, list[tuple]] = {}
     for r in rows:
         classes.setdefault(r[1], []).append(r)
-    valid = {r[0] for c in classes.values() if c[0][2] * 2 >= pages for r in c}
+    valid = {r[0] for c in classes.values() if min(r[2] for r in c) * 2 >= pages for r in c}
     nested = {t for t in valid if "/" not in t or t.rpartition("/")[0] in valid}
     slots = [t for t in nested if t.rpartition("/")[2].partition(".")[0] in CONTAINERS and not left_out(t)]
     named = [t for t in slots if t.rpartition("/")[2].partition(".")[0] in ("article", "main") or ".main" in t.rpartition("/")[2]]
@@ -182,7 +182,9 @@ def templates(pages: DataFrame) -> DataFrame:
     before the shuffle, so a host with very many pages is no hot key.
     """
     rows = pages.select("url", "html").mapInArrow(_token_rows, "host string, token string, page bigint, n bigint, chars bigint, links bigint")
-    each = rows.groupBy("host", "token").agg(F.expr("bit_xor(xxhash64(page, n))").alias("sig"), F.count("*").alias("support"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    # the two halves are summed apart: no overflow for 2^31 pages of a host
+    seen = F.xxhash64("page", "n")
+    each = rows.groupBy("host", "token").agg(F.xxhash64(F.sum(F.shiftright(seen, 32)), F.sum(seen.bitwiseAND(0xFFFFFFFF))).alias("sig"), F.count("*").alias("support"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     each = written(each, "tokens")
     most = each.groupBy("host").agg(F.max("support").alias("pages"))
     kept = each.join(most, "host").where("support * 4 >= pages")

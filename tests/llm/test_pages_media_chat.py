@@ -62,6 +62,27 @@ def test_equal_vectors_share_a_class():
     assert T.deduce(rows) == {"html/body/article"}
 
 
+def test_doubled_pages_keep_their_classes(spark):
+    """Every page twice: the vectors must not cancel, and rare tokens must stay out of the template."""
+    one = lambda i: f'<html><body><div id="text"><p>{"word " * 40}{i}</p></div>{"<div id=odd>rare text</div>" if i == 0 else ""}{"<ul><li>x</ul>" if i < 2 else ""}</body></html>'
+    once = [(i, f"http://h/{i}", one(i)) for i in range(5)]
+    sets = []
+    for copies in (1, 2, 3, 4):
+        (t,) = T.templates(pages(spark, once * copies)).collect()
+        kinds = {}
+        for r in t.tokens:
+            assert r.sig != 0
+            kinds.setdefault(r.sig, set()).add(r.token)
+        sets.append(sorted(sorted(k) for k in kinds.values()))
+    assert sets[0] == sets[1] == sets[2] == sets[3] and len(sets[0]) == 2
+    assert extract(spark, once * 2) == extract(spark, once)
+
+
+def test_a_class_is_judged_as_a_whole():
+    rows = [("html", 7, 8, 1, 0, 0), ("html/body", 7, 8, 1, 0, 0), ("html/body/main", 7, 8, 1, 300, 0), ("html/body/article", 9, 8, 1, 900, 0), ("html/body/div.c", 9, 2, 1, 9000, 0)]
+    assert T.deduce(rows) == T.deduce(rows[::-1]) == {"html/body/main"}
+
+
 def test_media_of_documents(spark):
     ddl = "doc_id bigint, text string, digest string, feature int"
     docs = [(1, "abc"), (2, ""), (3, None), (4, "é" * 40), (5, "x" * 64), (6, "x" * 65), (7, "abc"), (None, "abc"), (7, "abc"), (8, "long " * 50_000)]
