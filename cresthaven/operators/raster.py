@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -143,6 +145,55 @@ def distance(mask: DataFrame, cells: DataFrame, reach: int) -> DataFrame:
     return best.select(*CELL, F.when(F.col("d2") <= reach * reach, F.col("d2")).alias("d2"))
 
 
+def nearest(points: DataFrame, nx: int, ny: int, kind: str = "kind") -> DataFrame:
+    """(kind, row, col) -> for every kind and every cell of the ny x nx grid the nearest point of the kind, however far: (kind, row, col, d2, sr, sc).
+
+    Exact and separable: windows give each column's nearest point, then every row is swept once (lower envelope of
+    parabolas).  Ties: the least row, col.  Points off the grid do not count; a kind without points has no cells.  A task holds a row of the grid.
+    """
+    points = points.where((F.col("row") >= 0) & (F.col("row") < ny) & (F.col("col") >= 0) & (F.col("col") < nx))
+    at_rows, at_cols = F.sequence(F.lit(0), F.lit(ny - 1)), F.sequence(F.lit(0), F.lit(nx - 1))
+    grid = points.select(F.col(kind).alias("kind")).distinct().select("kind", F.explode(at_rows).alias("row")).select("kind", "row", F.explode(at_cols).alias("col"))
+    there = points.select(F.col(kind).alias("kind"), *CELL, F.col("row").alias("at")).distinct()
+    every = grid.join(there, ["kind", *CELL], "left")
+    w = Window.partitionBy("kind", "col")
+    up, down = F.last("at", True).over(w.orderBy("row")), F.last("at", True).over(w.orderBy(F.desc("row")))
+    every = every.select("kind", *CELL, up.alias("up"), down.alias("down"))
+    first = F.col("down").isNull() | (F.col("row") - F.col("up") <= F.col("down") - F.col("row"))
+    every = every.select("kind", *CELL, F.when(F.col("up").isNotNull() & first, F.col("up")).otherwise(F.col("down")).cast("double").alias("sr"))
+    big = nx * ny  # d2 * big + place of the point orders by distance, then row, col
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("col")
+        row, places, cols = int(g["row"].iloc[0]), g["sr"].tolist(), g["col"].tolist()
+        best: list[tuple[int, int, int]] = []  # from which column on, column, constant of its parabola
+        for q, sr in zip(cols, places):
+            if math.isnan(sr):
+                continue
+            c = (row - int(sr)) ** 2 * big + int(sr) * nx + q
+            start = 0
+            while best:
+                since, v, b = best[-1]
+                start = ((c + big * q * q) - (b + big * v * v)) // (2 * big * (q - v)) + 1
+                if start > since:
+                    break
+                best.pop()
+                start = 0
+            if start < nx:
+                best.append((start, q, c))
+        k, source = 0, []
+        for i in cols:
+            while k + 1 < len(best) and best[k + 1][0] <= i:
+                k += 1
+            source.append(best[k][1])
+        sc = np.array(source)
+        sr = g["sr"].to_numpy()[sc].astype("int64")
+        col = g["col"].to_numpy()
+        return pd.DataFrame({"kind": g["kind"].to_numpy(), "row": row, "col": col, "d2": (sr - row) ** 2 + (sc - col) ** 2, "sr": sr, "sc": sc})
+
+    return every.groupBy("kind", "row").applyInPandas(one, f"kind {dict(points.dtypes)[kind]}, row int, col int, d2 bigint, sr int, sc int")
+
+
 def boundary(labels: DataFrame) -> DataFrame:
     """Cells of a component (row, col, label) with at least one of the eight neighbours outside it."""
     s = scatter(labels, [(0, 0), *COMPASS], "label")

@@ -147,20 +147,23 @@ def edt(mask: np.ndarray) -> np.ndarray:
 
 
 ROUTED = "cid bigint, path_cost double, n int, edge_fraction double, novelty double, path_length double, path " + POINTS
-HALO = 12  # cells of edges and lines around a window that its distances know of
+
+
+def distances(cells: DataFrame, s: Surface, name: str) -> DataFrame:
+    """(type, row, col) -> (row, col, crest_<name>, toe_<name>): distance, in cells, to the nearest of the type in the whole grid; only types that have cells."""
+    d = raster.nearest(cells.select("type", "row", "col"), s.nx, s.ny, "type")
+    return cut(d.groupBy("row", "col").agg(*(F.max(F.when(F.col("kind") == t, F.sqrt("d2"))).alias(f"{t}_{name}") for t in ("crest", "toe"))))
 
 
 def routed(candidates: DataFrame, s: Surface, edges: DataFrame, taken: DataFrame, filled: DataFrame, pad, cost, near_m: float, tolerance: float | None) -> DataFrame:
     """Least-cost paths of candidates (cid, type, x0, y0, z0, x1, y1, z1, r0, c0, r1, c1), each in its window.
 
     cost(edge, line, z, x, y, candidate) gives the window's costs from distances (in cells) to step edges and lines of
-    the type; edges and lines beyond ``HALO`` cells around the window are not seen.
+    the type, ``edges`` and ``taken`` as of ``distances``; a type without any counts as the grid's diagonal away.
     """
-    flags = edges.select("type", "row", "col", F.lit(True).alias("edge"), F.lit(False).alias("line")).unionByName(taken.select("type", "row", "col", F.lit(False).alias("edge"), F.lit(True).alias("line")))
-    flags = flags.groupBy("row", "col").agg(*(F.max(F.when(F.col("type") == t, F.col(k))).alias(f"{t}_{k}") for t in ("crest", "toe") for k in ("edge", "line")))
-    cells = filled.select("row", "col", "z").join(flags, ["row", "col"], "left")
-    w = routing.windows(candidates.withColumn("pad", pad), cells, F.col("pad") + HALO)
-    own = lambda k: F.coalesce(F.when(F.col("type") == "crest", F.col(f"crest_{k}")).otherwise(F.col(f"toe_{k}")), F.lit(False)).alias(k)
+    cells = edges.join(taken, ["row", "col"], "full").join(filled.select("row", "col", "z"), ["row", "col"], "full")
+    w = routing.windows(candidates.withColumn("pad", pad), cells, F.col("pad"))
+    own = lambda k: F.when(F.col("type") == "crest", F.col(f"crest_{k}")).otherwise(F.col(f"toe_{k}")).alias(k)
     names = ["cid", "pad", "x0", "y0", "z0", "x1", "y1", "z1", "r0", "c0", "r1", "c1"]
     w = w.select(*names, "row", "col", "z", own("edge"), own("line"))
     res, xmin, ymax, ny, nx = s.res, s.xmin, s.ymax, s.ny, s.nx
@@ -171,16 +174,13 @@ def routed(candidates: DataFrame, s: Surface, edges: DataFrame, taken: DataFrame
         pad_ = int(f["pad"])
         top, left = max(0, int(min(f.r0, f.r1)) - pad_), max(0, int(min(f.c0, f.c1)) - pad_)
         bottom, right = min(ny - 1, int(max(f.r0, f.r1)) + pad_), min(nx - 1, int(max(f.c0, f.c1)) + pad_)
-        a, b = top - HALO, left - HALO
-        z = np.full((bottom - a + 1 + HALO, right - b + 1 + HALO), np.nan)
-        edge, line = np.zeros(z.shape, bool), np.zeros(z.shape, bool)
-        r, c_ = g["row"].to_numpy() - a, g["col"].to_numpy() - b
+        z = np.full((bottom - top + 1, right - left + 1), np.nan)
+        far = float(np.hypot(ny, nx))
+        d_edge, d_line = np.full(z.shape, far), np.full(z.shape, far)
+        r, c_ = g["row"].to_numpy() - top, g["col"].to_numpy() - left
         ok = (r >= 0) & (c_ >= 0) & (r < z.shape[0]) & (c_ < z.shape[1])
         r, c_ = r[ok], c_[ok]
-        z[r, c_], edge[r, c_], line[r, c_] = g["z"][ok], g["edge"][ok], g["line"][ok]
-        far = float(np.hypot(*z.shape))
-        inner = (slice(HALO, z.shape[0] - HALO), slice(HALO, z.shape[1] - HALO))
-        d_edge, d_line, z = np.minimum(edt(edge), far)[inner], np.minimum(edt(line), far)[inner], z[inner]
+        z[r, c_], d_edge[r, c_], d_line[r, c_] = g["z"][ok], g["edge"][ok].fillna(far), g["line"][ok].fillna(far)
         yy, xx = np.mgrid[top : bottom + 1, left : right + 1]
         price = cost(d_edge, d_line, z, xmin + (xx + 0.5) * res, ymax - (yy + 0.5) * res, f)
         price[~np.isfinite(z)] = routing.NO_DATA
@@ -210,7 +210,7 @@ def link(lines: DataFrame, s: Surface, c: Config, enhanced: bool = True) -> Data
     if c.link_gap_m <= 0:
         return lines
     filled = cut(raster.fill(s.dsm.select("row", "col", "z"), 6.0))
-    edges = cut(step_mask(s, c, c.min_step_drop_m, c.platform_slope_deg + 10.0))
+    edges = distances(step_mask(s, c, c.min_step_drop_m, c.platform_slope_deg + 10.0), s, "edge")
     w_dist, w_z, w_edge = c.link_w_dist, c.link_w_z, c.link_w_edge if enhanced else 0.0
 
     def cost(edge, line, z, x, y, f):
@@ -236,7 +236,7 @@ def link(lines: DataFrame, s: Surface, c: Config, enhanced: bool = True) -> Data
         side = lambda e, k: ends.select(F.col("end_id").alias(e), F.col("which").alias(f"which{k}"), *(F.col(n).alias(f"{m}{k}") for n, m in (("x", "x"), ("y", "y"), ("z", "z"), ("row", "r"), ("col", "c"))))
         cand = cut(pairs.join(side("first", 0), "first").join(side("second", 1), "second"))
         pad = F.floor(0.5 * F.col("gap") / s.res).cast("int") + (4 if enhanced else 3)
-        taken = s.place(v).select("type", "row", "col").distinct()
+        taken = distances(s.place(v), s, "line")
         paths = routed(cand, s, edges, taken, filled, pad, cost, c.link_edge_dist_m, max(0.8, c.simplify_tol_m * 0.8) if enhanced else 0.0)
         scored = cand.join(paths, "cid")
         per = F.col("path_cost") / F.greatest("n", F.lit(1))
@@ -312,7 +312,10 @@ def bridge(lines: DataFrame, s: Surface, c: Config) -> DataFrame:
     q = cut(q.orderBy("quick", "cid").limit(max(1, int(c.auto_gap_max_path_candidates))))
     if q.isEmpty():
         return lines
-    filled = cut(raster.fill(s.dsm.select("row", "col", "z"), 8.0))
+    # heights without limit: the nearest known one, however far
+    known = s.dsm.where("z is not null").select("row", "col", "z")
+    source = raster.nearest(known.select(F.lit(0).alias("kind"), "row", "col"), s.nx, s.ny).select("row", "col", "sr", "sc")
+    filled = cut(source.join(known.select(F.col("row").alias("sr"), F.col("col").alias("sc"), "z"), ["sr", "sc"]).select("row", "col", "z"))
     at = lambda p: s.place(q.select("cid", F.col(f"x{p}").alias("x"), F.col(f"y{p}").alias("y"))).join(filled.select("row", "col", "z"), ["row", "col"], "left").select("cid", F.col("row").alias(f"r{p}"), F.col("col").alias(f"c{p}"), F.col("z").alias(f"z{p}"))
     cand = cut(q.join(at(0), "cid").join(at(1), "cid"))
     res = s.res
@@ -322,7 +325,7 @@ def bridge(lines: DataFrame, s: Surface, c: Config) -> DataFrame:
         lateral = np.abs((x - f.x0) * vy - (y - f.y0) * vx) / np.sqrt(max(vx * vx + vy * vy, 1e-9))
         return 1 + 4.0 * edge * res + 0.03 * lateral + 0.5 * np.abs(z - (f.z0 + along(None, f, x, y) * (f.z1 - f.z0)))
 
-    paths = routed(cand, s, edges, taken, filled, F.lit(int(20.0 / s.res) + 4), cost, 2.0 / s.res, None)
+    paths = routed(cand, s, distances(edges, s, "edge"), distances(taken, s, "line"), filled, F.lit(int(20.0 / s.res) + 4), cost, 2.0 / s.res, None)
     r = cand.join(paths, "cid").withColumn("ratio", F.col("path_length") / F.greatest("gap", F.lit(1e-9)))
     limits = lambda a, b, m: (F.col("edge_fraction") >= a) & (F.col("novelty") >= b) & (F.col("ratio") <= m)
     strict = limits(c.auto_gap_edge_support_2m_min, c.auto_gap_novelty_min, c.auto_gap_length_ratio_max)

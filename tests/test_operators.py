@@ -4,11 +4,12 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cresthaven.operators import components, grid, polyline, raster, routing, selection
 from cresthaven.plans import outputs
 from cresthaven.plans.config import Config, checked_request
-from cresthaven.plans.pipeline import edt
+from cresthaven.plans.pipeline import Surface, distances, edt, routed
 
 
 def mask_df(spark, cells):
@@ -59,6 +60,31 @@ def test_edt():
             assert edt(mask)[i, j] == pytest.approx(np.sqrt(((points - (i, j)) ** 2).sum(axis=1).min()))
 
 
+def test_nearest_is_unbounded(spark):
+    r = random.Random(7)
+    points = {(k, r.randrange(25), r.randrange(40)) for k, n in (("crest", 6), ("toe", 60), ("one", 1)) for _ in range(n)}
+    df = spark.createDataFrame([*points, ("crest", -1, 3), ("off", 25, 0)], "kind string, row int, col int")
+    got = {(x.kind, x.row, x.col): (x.d2, x.sr, x.sc) for x in raster.nearest(df, 40, 25).collect()}
+    assert len(got) == 3 * 25 * 40
+    for (kind, i, j), found in got.items():
+        assert found == min(((i - a) ** 2 + (j - b) ** 2, a, b) for k, a, b in points if k == kind)
+
+
+def test_routes_are_priced_by_far_edges(spark):
+    """An edge and a line 50 cells off the window count with their true distances."""
+    ny, nx = 30, 90
+    s = Surface(None, 1.0, 0.0, 0.0, nx, ny)
+    edges = spark.createDataFrame([("crest", 0, 85)], "type string, row int, col int")
+    taken = spark.createDataFrame([("crest", 29, 80), ("toe", 10, 10)], edges.schema)
+    flat = spark.createDataFrame([(i, j, 1.0) for i in range(ny) for j in range(nx)], "row int, col int, z double")
+    cand = spark.createDataFrame([(1, "crest", 10.5, -9.5, 1.0, 20.5, -11.5, 1.0, 9, 10, 11, 20)], "cid bigint, type string, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, r0 int, c0 int, r1 int, c1 int")
+    price = lambda edge, line, z, x, y, f: 1 + 2 * edge + line
+    got = routed(cand, s, distances(edges, s, "edge"), distances(taken, s, "line"), flat, F.lit(5), price, 1.0, None).first()
+    to = lambda r, c: np.hypot(np.arange(ny)[:, None] - r, np.arange(nx)[None] - c)
+    cost = (1 + 2 * to(0, 85) + to(29, 80))[4:17, 5:26]
+    assert got.path_cost == pytest.approx(routing.dijkstra(cost, (5, 5), (7, 15))[1])
+
+
 def test_dijkstra_is_cheapest():
     cost = np.random.default_rng(3).random((9, 11)) + 0.1
     path, total = routing.dijkstra(cost, (0, 0), (8, 10))
