@@ -102,22 +102,29 @@ def feature(payload: bytes) -> str:
     return f"mean={x.mean():.4f};rms={square**0.5:.4f};crossings={int((high[1:] != high[:-1]).sum())}"
 
 
-def _stored_rows(keep: bool):
+def _media_rows(batches):
+    schema = pa.schema([("digest", pa.string()), ("media", pa.binary())])
+    for b in batches:
+        payloads = b.column("payload")
+        for at in range(0, len(payloads), 256):
+            raws = [x or b"" for x in payloads.slice(at, 256).to_pylist()]
+            yield batch(schema, [hashlib.sha256(x).hexdigest() for x in raws], [wav(padded(x)) for x in raws])
+
+
+def _read_rows(keep: bool):
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     schema = pa.schema(list(zip(names, kinds)) + [("media", pa.binary())] * keep)
 
     def run(batches):
         for b in batches:
-            payloads = b.column("payload").to_pylist()
-            for at in range(0, len(payloads), 256):
+            digests, stored = b.column("digest"), b.column("media")
+            for at in range(0, len(stored), 256):
                 out: list[list] = [[] for _ in schema]
-                for raw in payloads[at : at + 256]:
-                    raw = raw or b""
-                    media = wav(padded(raw))
+                for digest, media in zip(digests.slice(at, 256).to_pylist(), stored.slice(at, 256).to_pylist()):
                     back = samples(media)
                     sha = lambda x: hashlib.sha256(x).hexdigest()
-                    row = [sha(raw), len(back), sha(back), zlib.crc32(back[-UNIT:]), len(media), sha(media), feature(back)]
+                    row = [digest, len(back), sha(back), zlib.crc32(back[-UNIT:]), len(media), sha(media), feature(back)]
                     for c, v in zip(out, row + [media] * keep):
                         c.append(v)
                 yield batch(schema, *out)
@@ -128,11 +135,13 @@ def _stored_rows(keep: bool):
 def store_media(payloads: DataFrame, keep: bool = True) -> DataFrame:
     """(payload: binary) -> a row per different payload: digest, what is computed from the stored bytes, and ``media`` (the stored bytes) if ``keep``.
 
-    The payload is padded, stored as 8-bit samples and read back.  Null counts as empty.  The rows of equal payloads
-    are the same and are merged before the shuffle, so a payload with very many copies moves once per task.
+    Payloads are padded and written as 8-bit samples to a table (digest, media) in the shared folder; all other columns
+    come from the bytes read back from it.  Null counts as empty.  Copies of a payload are stored as often as they
+    come, so that its bytes are not shuffled; of what is read, one row per digest is kept, merged before the shuffle.
     """
     ddl = STORED + (", media binary" if keep else "")
-    rows = payloads.select("payload").mapInArrow(_stored_rows(keep), ddl)
+    stored = written(payloads.select("payload").mapInArrow(_media_rows, "digest string, media binary"), "media")
+    rows = stored.mapInArrow(_read_rows(keep), ddl)
     rest = [c for c in rows.columns if c != "digest"]
     return rows.groupBy("digest").agg(*(F.first(c).alias(c) for c in rest))
 

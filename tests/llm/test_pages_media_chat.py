@@ -8,6 +8,7 @@ from html import unescape
 from cresthaven.llm import media as M
 from cresthaven.llm import page_text as T
 from cresthaven.llm import quotation as C
+from cresthaven.llm.common import written
 
 PAGES = "page_id bigint, url string, html string, text string, host string"
 
@@ -99,6 +100,15 @@ def test_media_of_documents(spark):
     assert M.document_media(spark.createDataFrame([], ddl)).count() == 0
 
 
+def test_media_bytes_are_stored(spark, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(M, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    got = M.document_media(spark.createDataFrame([(1, "abc"), (2, "abc"), (3, None)], "doc_id bigint, text string")).collect()
+    stored = {r.digest: bytes(r.media) for r in tables["media"].collect()}
+    assert stored == {hashlib.sha256(x).hexdigest(): M.wav(M.padded(x)) for x in (b"abc", b"")}
+    assert {r.media_sha256 for r in got} == {hashlib.sha256(x).hexdigest() for x in stored.values()}
+
+
 def test_wav_is_read_by_the_standard_library():
     import io
     import wave
