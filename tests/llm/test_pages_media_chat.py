@@ -60,7 +60,7 @@ def test_odd_pages(spark):
 
 def test_equal_vectors_share_a_class():
     rows = [("html", 7, 4, 1, 0, 0), ("html/body", 7, 4, 1, 0, 0), ("html/body/article", 7, 4, 1, 900, 0), ("html/body/nav", 7, 4, 1, 40, 40), ("html/body/div.x", 9, 1, 1, 5000, 0)]
-    assert T.deduce(rows) == {"html/body/article"}
+    assert T.deduce(rows) == ({"html/body/article"}, set())
 
 
 def test_doubled_pages_keep_their_classes(spark):
@@ -69,7 +69,7 @@ def test_doubled_pages_keep_their_classes(spark):
     once = [(i, f"http://h/{i}", one(i)) for i in range(5)]
     sets = []
     for copies in (1, 2, 3, 4):
-        (t,) = T.templates(pages(spark, once * copies)).collect()
+        (t,) = T.classes(pages(spark, once * copies)).collect()
         kinds = {}
         for r in t.tokens:
             assert r.sig != 0
@@ -81,7 +81,49 @@ def test_doubled_pages_keep_their_classes(spark):
 
 def test_a_class_is_judged_as_a_whole():
     rows = [("html", 7, 8, 1, 0, 0), ("html/body", 7, 8, 1, 0, 0), ("html/body/main", 7, 8, 1, 300, 0), ("html/body/article", 9, 8, 1, 900, 0), ("html/body/div.c", 9, 2, 1, 9000, 0)]
-    assert T.deduce(rows) == T.deduce(rows[::-1]) == {"html/body/main"}
+    assert T.deduce(rows) == T.deduce(rows[::-1]) == ({"html/body/main"}, set())
+
+
+def shop(i, words):
+    """Pages without article or telling names: a box that is the same everywhere, the text, and on some pages a longer box of tips."""
+    text = " ".join(words.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(60))
+    tips = " ".join(words.choice(["amet", "elit", "nunc"]) for _ in range(90))
+    lines = "".join(f"<p>{text} {k}</p>" for k in range(1 + i % 3))
+    page = f"<html><body><div class=a><h2>About us</h2>{'We sell things to people everywhere. ' * 20}</div><div class=b><h1>Title {i}</h1>{lines}</div>{f'<div class=c><p>{tips}</p><p>{tips}</p><p>{tips}</p></div>' if i % 4 == 1 else ''}</body></html>"
+    return page, "\n".join([f"Title {i}", *(f"{text} {k}" for k in range(1 + i % 3))])
+
+
+def test_classes_decide_what_a_page_alone_cannot(spark):
+    r = random.Random(4)
+    made = [shop(i, r) for i in range(8)]
+    rows = [(i, f"http://shop/{i}", page) for i, (page, _) in enumerate(made)]
+    assert extract(spark, rows) == {i: want for i, (_, want) in enumerate(made)}
+    alone = extract(spark, [(i, f"http://shop{i}/", page) for i, _, page in rows])
+    assert any(alone[i] != want for i, (_, want) in enumerate(made))
+
+
+def test_disturbed_vectors_change_the_template(spark):
+    r = random.Random(4)
+    (t,) = T.classes(pages(spark, [(i, f"http://shop/{i}", shop(i, r)[0]) for i in range(8)])).collect()
+    rows = [tuple(x[k] for k in ("token", "sig", "support", "most", "chars", "links", "constant")) for x in t.tokens]
+    assert T.deduce(rows)[0] == {"html/body/div.b"}
+    assert T.deduce([(x[0], k, *x[2:]) for k, x in enumerate(rows)])[0] == {""}  # every vector another: no class, no template
+    assert T.deduce([(x[0], 1, *x[2:]) for x in rows])[0] == {""}  # all vectors one: the class is not on equally many pages
+
+
+def test_small_parts_that_never_change_are_boilerplate(spark):
+    one = lambda i: f"<html><body><div class=b><h1>Title {i}</h1><p>{f'word{i} ' * 80}</p><div class=z>Tell all your friends</div><div class=y>Part {i}</div></div></body></html>"
+    got = extract(spark, [(i, f"http://z/{i}", one(i)) for i in range(4)])
+    assert got[2] == f"Title 2\n{('word2 ' * 80).strip()}\nPart 2"
+    same = [(i, f"http://y/{i}", one(7)) for i in range(4)]  # copies of one page: nothing varies, nothing goes
+    assert extract(spark, same)[0].split("\n")[2:] == ["Tell all your friends", "Part 7"]
+
+
+def test_nothing_else_is_dropped(spark):
+    page = '<article><header><h1>Title</h1></header><section class="related-work"><p>Earlier work.</p></section><p>Area <math>a*b</math> holds.</p><section id="search"><p>How we searched.</p></section><section class="widget-theory">W</section></article>'
+    want = "Title\nEarlier work.\nArea a*b holds.\nHow we searched.\nW"
+    assert extract(spark, [(1, "http://h/1", page)])[1] == want
+    assert extract(spark, [(i, f"http://h/{i}", f"<html><body><header>Site</header>{page}<footer>x</footer></body></html>") for i in range(3)]) == dict.fromkeys(range(3), want)
 
 
 def test_media_of_documents(spark):
