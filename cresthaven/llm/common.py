@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +18,45 @@ NO_ID = -(2**63)  # stands for a null id: before all others
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or a context's checkpoint folder where that is unset.
+
+    Only a local session may do without either; it gets a folder of its own, which a cluster's executors could not see.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="cresthaven-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cresthaven-"))
+        path = context.getCheckpointDir()
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
     return path.rstrip("/")
 
 
+_folders: set[str] = set()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder, removed when the process ends (where pyarrow knows the store)."""
+    folder = f"{shared_dir(spark)}/cresthaven-{spark.sparkContext.applicationId}"
+    if not _folders:
+        atexit.register(_remove_folders)
+    _folders.add(folder)
+    return folder
+
+
+def _remove_folders() -> None:
+    for folder in _folders:
+        with contextlib.suppress(OSError, pa.ArrowException):
+            fs, path = pa_fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+            fs.delete_dir(path)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
@@ -38,6 +68,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def wrapped(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The given columns, and every row of ``docs`` whole as the struct ``row``: no column of its own can clash with ours."""
+    return docs.select(*(c.alias(name) for name, c in columns.items()), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows as they were before ``wrapped``."""
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

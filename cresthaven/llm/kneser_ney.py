@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch, held_out, release, shared_dir, utf8, written
+from .common import batch, held_out, own_dir, release, utf8, written
 
 END, BEGIN = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (b"\n", b"\n\n"))  # no word holds white space
 COUNTS = pa.schema([("hash", pa.int64()), ("c", pa.int64())])
@@ -295,7 +295,7 @@ def train(docs: DataFrame) -> Model:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
+    folder = f"{own_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
     texts = docs.select("text")
     counted = texts.mapInArrow(_word_counts, "hash bigint, c bigint").groupBy("hash").agg(F.sum("c").alias("count"))
     counted = written(counted.withColumn("part", F.floor(F.shiftrightunsigned("hash", 40) * F.lit(parts) / F.lit(float(1 << 24))).cast("int")), "words")

@@ -92,3 +92,40 @@ def test_odd_tables(spark):
     assert sorted((str(r.doc_id), str(r.item_id)) for r in D.leaks(docs, items).collect()) == [("7", "None"), ("None", "1")]
     kept = D.drop_leaks(docs, items)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [8]
+
+
+def test_the_index_finds_the_items(spark, monkeypatch):
+    """The prefilter knows no items: without an item's rows in the index, or with another's fingerprint there, it is not found."""
+    docs, items = corpus(1)
+    want = run(spark, docs, items)
+    true = D.index_of
+    monkeypatch.setattr(D, "index_of", lambda i: true(i).where("item_id != 4"))
+    assert run(spark, docs, items) == {k: v for k, v in want.items() if k[1] != 4} != want
+    monkeypatch.setattr(D, "index_of", lambda i: true(i.withColumn("item_fp", D.F.expr("~item_fp"))))
+    assert run(spark, docs, items) == {}
+
+
+def test_index_holds_every_fingerprint_within_the_radius(spark):
+    r = random.Random(9)
+    rows = []
+    for k in range(300):
+        fp = r.getrandbits(64)
+        other = fp
+        for b in r.sample(range(64), r.choice([0, 1, 8, 16, 22, 23, 24, 30])):
+            other ^= 1 << b
+        rows.append((k, *(x - (1 << 64) if x >> 63 else x for x in (fp, other)), (fp ^ other).bit_count()))
+    df = spark.createDataFrame(rows, "item_id bigint, item_fp bigint, fp bigint, far int").selectExpr("*", "item_id as item_key", "7 as n_words", "5 as width", "item_id as doc", "0 as key", "0 as start")
+    met = D.near_items(df.select("doc", "key", "n_words", "width", "start", "fp"), D.index_of(df)).where("doc = item_id").collect()
+    assert sorted(m.doc for m in met) == [k for k, *_, far in rows if far <= 23]
+
+
+def test_long_items_and_clashing_columns(spark):
+    r = random.Random(3)
+    long = [f"w{r.randrange(4000)}" for _ in range(700)]
+    near = [*long[:300], "edit", *long[301:]]
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 150 + near), 7, "k", "e"), (1, "clean", 8, None, "e"), (2, None, 9, "k", "e"), (3, "a clean text", 9, "k", "e"), (3, "a clean text", 9, "k", "e")], "doc_id bigint, text string, leak int, row string, id string")
+    items = spark.createDataFrame([(5, " ".join(long))], "item_id bigint, text string")
+    (found,) = D.leaks(docs, items).collect()
+    assert (found.doc_id, found.start, found.n_words) == (1, 150, 700) and found.similarity > 0.95
+    kept = D.drop_leaks(docs, items)
+    assert kept.columns == docs.columns and sorted((x.doc_id, x.leak, x.row, x.id) for x in kept.collect()) == [(2, 9, "k", "e"), (3, 9, "k", "e"), (3, 9, "k", "e")]
