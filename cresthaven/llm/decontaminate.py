@@ -126,7 +126,8 @@ def fingerprints(found: DataFrame, one: DataFrame) -> DataFrame:
     for k in range(1, WIDTH):
         h = F.when(width == k, shingles(F.col("part"), k)).otherwise(h)
     cut = cut.withColumn("h", h)
-    prints = F.transform("starts", lambda s: F.struct(s.alias("start"), simhash(F.slice(F.col("h"), s - F.col("base") + 1, n - width + 1)).alias("fp")))
+    cuts = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice(F.col("h"), s - F.col("base") + 1, n - width + 1).alias("h")))
+    prints = F.transform(cuts, lambda x: F.struct(x.start.alias("start"), simhash(x.h).alias("fp")))
     return cut.select("doc", "key", "n_words", "width", F.explode(prints).alias("x")).select("doc", "key", "n_words", "width", "x.start", "x.fp")
 
 

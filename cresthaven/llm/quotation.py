@@ -2,14 +2,18 @@
 
 A message's lines carry quote levels: the number of leading ``>`` marks, which may be spaced.  Consecutive lines of a
 level form a passage.  Passages that were quoted (level 1 or more) are normalised (lower case, white space as one
-space, attribution lines like "... wrote:" left out) and hashed; so is every message's own text, whole and by
-paragraph.  A hash join inside the conversation links a quoted passage to the latest earlier message that says it;
-the message then replies to the one that its last linked level-1 passage comes from, or else to the message before.
-Conversations are built in reply order, without quotes.
+space) and hashed with SHA-256, whole and by line and sentence; so is every message's own text, whole and by paragraph,
+line and sentence.  Equal digests stand for equal texts, so nothing is left to verify.  A join by digest inside the
+conversation links a quoted passage to the latest earlier message that says it whole, or else to the one that is the
+latest to say most of its lines and sentences.  The message then replies to the one that its last linked passage of
+the lowest level comes from, or else to the message before.  Conversations are built in reply order, without quotes.
+A line like "... wrote:" goes with the quote that follows it; anywhere else it is text like any other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +21,13 @@ from pyspark.sql.window import Window
 from .common import written
 
 MARKS = r"^(?:[ \t]*>)+"
-ATTRIBUTION = r"(?i)^.{0,200}\b(wrote|schrieb|escribió|a écrit)\s*:\s*$"
+ATTRIBUTION = r"(?i)\b(?:wrote|schrieb|escribió|a écrit)\s*:\s*$"
+SENTENCE = r"(?<=[.!?\u2026])\s+"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def level(line: Column) -> Column:
@@ -29,37 +39,53 @@ def normal(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """The text's lines as structs of level and body; attribution lines have level -1."""
+    """The text's lines as structs of level, body and whether they are blank."""
     def line(x):
-        body = F.regexp_replace(x, MARKS + " ?", "")
-        return F.struct(F.when(body.rlike(ATTRIBUTION), F.lit(-1)).otherwise(level(x)).alias("level"), body.alias("body"))
+        return let(F.regexp_replace(x, MARKS + " ?", ""), lambda body: F.struct(level(x).alias("level"), body.alias("body"), (F.trim(body) == "").alias("blank")))
 
     return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), line)
 
 
-def passages(parsed: Column) -> Column:
-    """Consecutive lines of a level put together: structs of level and text; blank lines part a passage in two."""
-    none = F.array().cast("array<struct<level:int,text:string>>")
+def without_attributions(parsed: Column) -> Column:
+    """The lines but those that introduce a quote: the next line, or after a blank one the one behind it, is of a higher level."""
+    def opens(x, i):
+        after = F.get(parsed, i + 1)
+        deeper = F.when(after.blank & ~(after.level > x.level), F.get(parsed, i + 2).level).otherwise(after.level)
+        return x.body.rlike(ATTRIBUTION) & (F.coalesce(deeper, F.lit(0)) > x.level)
+
+    return F.filter(parsed, lambda x, i: ~opens(x, i))
 
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x.level.cast("int").alias("level"), F.concat_ws("\n", last.text, x.body).alias("text"))))
-        started = F.concat(acc, F.array(F.struct(x.level.cast("int").alias("level"), x.body.alias("text"))))
-        return F.when(last.isNotNull() & (last.level == x.level) & (F.trim(x.body) != "") & (F.trim(last.text) != ""), joined).otherwise(started)
 
-    return F.filter(F.aggregate(parsed, none, step), lambda p: F.trim(p.text) != "")
+def passages(parsed: Column) -> Column:
+    """Consecutive lines of a level put together: structs of level and text; blank lines part a passage in two.  Linear in the lines."""
+    at = lambda i: F.get(parsed, i)
+    apart = lambda i: (i == 0) | (i == F.size(parsed)) | F.coalesce(at(i - 1).blank | at(i).blank | (at(i - 1).level != at(i).level), F.lit(True))
+    places = F.sequence(F.lit(0), F.size(parsed))
+    begins = F.filter(places, lambda i: (i < F.size(parsed)) & ~at(i).blank & apart(i))
+    ends = F.filter(places, lambda i: (i > 0) & ~at(i - 1).blank & apart(i))
+    one = lambda b, e: F.struct(at(b).level.alias("level"), F.array_join(F.transform(F.slice(parsed, b + 1, e - b), lambda x: x.body), "\n").alias("text"))
+    return let(ends, lambda e: F.transform(begins, lambda b, k: one(b, F.get(e, k))))
 
 
 def parse(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> the same with said (own text without quotes) and quoted (array of level, text)."""
-    marked = F.col("text").rlike(r"(?m)^[ \t]*>") | F.col("text").rlike(ATTRIBUTION.replace("(?i)^", "(?im)^"))
+    marked = F.coalesce(F.col("text").rlike(r"(?m)^[ \t]*>"), F.lit(False))
     # a message without a quote mark needs no line-by-line pass
-    found = F.when(marked, passages(lines(F.col("text")))).otherwise(F.array().cast("array<struct<level:int,text:string>>"))
-    out = messages.withColumn("_passages", found)
+    whole = let(lines(F.col("text")), lambda p: let(without_attributions(p), passages))
+    out = messages.withColumn("_passages", F.when(marked, whole).otherwise(F.array().cast("array<struct<level:int,text:string>>")))
     plain = F.array_join(F.transform(F.filter("_passages", lambda p: p.level == 0), lambda p: p.text), "\n\n")
     return out.withColumn("said", F.when(marked, plain).otherwise(F.coalesce("text", F.lit("")))).withColumn("quoted", F.filter("_passages", lambda p: p.level > 0)).drop("_passages")
 
 
+def parts(text: Column) -> Column:
+    """A passage's normalised lines and sentences; sentences may run over line ends."""
+    return F.array_distinct(F.filter(F.concat(F.transform(F.split(text, r"\n"), normal), F.split(normal(text), SENTENCE)), lambda x: x != ""))
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def before(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Add n_before and max_before: how many rows of the same keys stand earlier in the order, and their greatest value.
 
@@ -95,15 +121,22 @@ def link(messages: DataFrame) -> DataFrame:
     one = messages.select("conv_id", "turn", "role", "text").distinct().withColumn("digest", F.sha2("text", 256))
     one = before(one, ["conv_id"], ["turn", "role", "digest"], "turn").withColumnsRenamed({"n_before": "at", "max_before": "turn_before"})
     own = written(parse(one).drop("text", "digest"), "parsed")
-    quotes = own.select("conv_id", "at", F.posexplode("quoted").alias("nth", "q")).select("conv_id", F.xxhash64(normal(F.col("q.text"))).alias("hash"), "at", F.lit(0).alias("kind"), "nth", F.col("q.level").alias("level"), F.lit(None).cast("bigint").alias("source"))
+    quotes = own.select("conv_id", "at", F.posexplode("quoted").alias("nth", "q"))
     # only conversations with a quote have their passages hashed
     asked = quotes.select(F.col("conv_id").alias("c")).distinct()
-    parts = F.array_distinct(F.concat(F.array(F.col("said")), F.split("said", r"\n\s*\n")))
-    said = own.join(asked, own.conv_id.eqNullSafe(asked.c), "left_semi").where("turn is not null").select("conv_id", "at", F.explode(parts).alias("part")).where(F.trim("part") != "")
-    said = said.select("conv_id", F.xxhash64(normal(F.col("part"))).alias("hash"), "at", F.lit(1).alias("kind"), F.lit(0).alias("nth"), F.lit(0).alias("level"), F.col("at").alias("source")).distinct()
-    # the latest earlier message that says a quoted passage: a running maximum, never all pairs
-    linked = before(quotes.unionByName(said), ["conv_id", "hash"], ["at", "kind", "nth"], "source").where("kind = 0 and max_before is not null")
-    per = linked.groupBy("conv_id", "at").agg(F.count("*").alias("linked"), F.max_by("max_before", F.struct(-F.col("level"), "nth")).alias("target"))
+    unit = lambda text, whole: F.struct(digest(text).alias("hash"), whole.alias("whole"))
+    units = F.concat(F.array(unit(normal(F.col("q.text")), F.lit(True))), F.transform(parts(F.col("q.text")), lambda x: unit(x, F.lit(False))))
+    asks = quotes.select("conv_id", "at", "nth", F.col("q.level").alias("level"), F.explode(units).alias("u"))
+    asks = asks.select("conv_id", "u.hash", "at", F.lit(0).alias("kind"), "nth", "level", "u.whole", F.lit(None).cast("bigint").alias("source"))
+    paragraphs = F.filter(F.split("said", r"\n\s*\n"), lambda p: F.trim(p) != "")
+    texts = F.concat(F.array(normal(F.col("said"))), F.flatten(F.transform(paragraphs, lambda p: F.concat(F.array(normal(p)), parts(p)))))
+    said = own.join(asked, own.conv_id.eqNullSafe(asked.c), "left_semi").where("turn is not null and said rlike '\\\\S'").select("conv_id", "at", F.explode(F.array_distinct(texts)).alias("text"))
+    said = said.select("conv_id", digest(F.col("text")).alias("hash"), "at", F.lit(1).alias("kind"), F.lit(0).alias("nth"), F.lit(0).alias("level"), F.lit(True).alias("whole"), F.col("at").alias("source"))
+    # the latest earlier message that says it: a running maximum, never all pairs
+    found = before(asks.unionByName(said), ["conv_id", "hash"], ["at", "kind", "nth", "whole"], "source").where("kind = 0 and max_before is not null")
+    votes = found.groupBy("conv_id", "at", "nth", "level", "max_before").agg(F.bool_or("whole").alias("whole"), F.count_if(~F.col("whole")).alias("n"))
+    linked = votes.groupBy("conv_id", "at", "nth", "level").agg(F.max_by("max_before", F.struct("whole", "n", "max_before")).alias("source"))
+    per = linked.groupBy("conv_id", "at").agg(F.count("*").alias("linked"), F.max_by("source", F.struct(-F.col("level"), "nth")).alias("target"))
     # the turn of the message replied to
     t = own.select(F.col("conv_id").alias("c"), F.col("at").alias("t"), F.col("turn").alias("to_turn"))
     p = per.join(t, per.conv_id.eqNullSafe(t.c) & (per.target == t.t)).select("c", F.col("at").alias("p"), "linked", "target", "to_turn")

@@ -248,3 +248,86 @@ def test_messages_of_one_turn_are_all_kept(spark):
     parts = C.conversations(chat(spark, rows)).collect()
     assert sorted(p.n_messages for p in parts) == [5, 5, 5]
     assert [m.text for p in parts if p.conv_id == 5 for m in p.messages] == ["one", "", "yes", "two", "plain"]
+
+
+def test_a_line_that_introduces_nothing_stays(spark):
+    rows = [(1, 0, "a", "As Ada wrote:\nthe engine weaves."), (1, 1, "b", "As Ada wrote:\nthe engine weaves.\n\nBob wrote:\n\n> the engine weaves.\nyes\nand Eve wrote:"), (1, 2, "c", "> Bob wrote:\n> > the engine weaves.\n> yes\nno")]
+    got = {r.turn: r for r in C.link(chat(spark, rows)).collect()}
+    assert got[0].said == rows[0][3] and got[1].said == "As Ada wrote:\nthe engine weaves.\n\nyes\nand Eve wrote:" and got[2].said == "no"
+    assert (got[1].n_linked, got[1].reply_to, got[2].n_quotes, got[2].n_linked, got[2].reply_to) == (1, 0, 2, 2, 1)
+
+
+def plain_parse(text):
+    """Lines to passages, by a plain loop."""
+    rows = []
+    for x in re.split(r"\r\n|\r|\n", text or ""):
+        marks = re.match(r"(?:[ \t]*>)+", x)
+        rows.append((marks[0].count(">") if marks else 0, re.sub(r"^(?:[ \t]*>)+ ?", "", x)))
+    kept = []
+    for i, (depth, body) in enumerate(rows):
+        after = rows[i + 1 :]
+        if after and not after[0][1].strip() and after[0][0] <= depth:
+            after = after[1:]
+        if not (re.search(r"\bwrote\s*:\s*$", body, re.I) and after and after[0][0] > depth):
+            kept.append((depth, body))
+    out, last = [], None
+    for depth, body in kept:
+        if not body.strip():
+            last = None
+        elif last == depth:
+            out[-1][1].append(body)
+        else:
+            out.append((depth, [body]))
+            last = depth
+    return [(d, "\n".join(b)) for d, b in out]
+
+
+def plain_link(messages):
+    """turn -> (said, quoted passages, linked, turn replied to), by comparing every passage with every earlier message."""
+    norm = lambda t: re.sub(r"\s+", " ", t.lower()).strip()
+    bits = lambda t: {x for x in [*map(norm, t.split("\n")), *re.split(r"(?<=[.!?\u2026])\s+", norm(t))] if x}
+    said, out = {}, {}
+    for turn, text in messages:
+        found = plain_parse(text)
+        quoted = [p for p in found if p[0]]
+        links = []
+        for nth, (depth, q) in enumerate(quoted):
+            whole = [t for t, (units, _) in said.items() if norm(q) in units]
+            votes = {}
+            for part in bits(q):
+                if mine := [t for t, (units, _) in said.items() if part in units]:
+                    votes[max(mine)] = votes.get(max(mine), 0) + 1
+            if whole or votes:
+                links.append((-depth, nth, max(whole) if whole else max(votes, key=lambda t: (votes[t], t))))
+        own = "\n\n".join(p for d, p in found if not d) if quoted or re.search(r"(?m)^[ \t]*>", text) else text
+        units = {norm(own)} | {u for p in re.split(r"\n\s*\n", own) for u in {norm(p)} | bits(p)}
+        earlier = max(said, default=None)
+        out[turn] = (own, len(quoted), len(links), max(links)[2] if links else earlier)
+        said[turn] = (units - {""}, own)
+    return out
+
+
+def test_threads_against_a_plain_search(spark):
+    r = random.Random(12)
+    word = lambda: r.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu".split())
+    sentence = lambda: " ".join(word() for _ in range(r.randrange(1, 6))).capitalize() + r.choice([".", "!", "?", " ..."])
+    quote = lambda t: "\n".join(r.choice(["> ", ">", "  > "]) + x if x.strip() else r.choice([">", ""]) for x in t.split("\n"))
+    rows, want = [], {}
+    for conv in range(25):
+        thread = []
+        for turn in range(r.randrange(2, 9)):
+            own = "\n\n".join("\n".join(" ".join(sentence() for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 3)))
+            cited = []
+            for _ in range(r.randrange(3) if thread else 0):
+                full = r.choice(thread)[1]
+                mode = r.randrange(5)
+                text = full if mode == 0 else r.choice(full.split("\n")) if mode == 1 else "\n".join(full.split("\n")[: r.randrange(1, 4)]) if mode == 2 else " ".join(full.split()) if mode == 3 else full.replace(". ", ".\n").upper()
+                cited.append(r.choice(["", "Somebody wrote:\n", "Somebody wrote:\n\n"]) + quote(text))
+            pieces = [*cited, own]
+            r.shuffle(pieces)
+            thread.append((turn, r.choice(["\n", "\n\n", "\r\n"]).join(pieces)))
+        rows += [(conv, t, "u", x) for t, x in thread]
+        want |= {(conv, t): v for t, v in plain_link(thread).items()}
+    got = {(x.conv_id, x.turn): (x.said, x.n_quotes, x.n_linked, x.reply_to) for x in C.link(chat(spark, rows)).collect()}
+    assert got == want
+    assert sum(v[2] for v in want.values()) > 60
