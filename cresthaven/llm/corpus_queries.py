@@ -8,7 +8,24 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, kneser_ney, language_id, media, page_text, quality, quotation, simhash_dedup, suffix_dedup
 from .common import table
 
-SQL: dict[str, str] = {}
+# the CRC-32 table, from its rule: eight shifts of each byte under the reversed polynomial
+_CRC = "[list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) FOR b IN range(256)]"
+_LITTLE = "lpad(to_hex({0} % 256), 2, '0') || lpad(to_hex({0} // 256 % 256), 2, '0') || lpad(to_hex({0} // 65536 % 256), 2, '0') || lpad(to_hex({0} // 16777216), 2, '0')"
+_WAVE = f"unhex('52494646' || {_LITTLE.format('(payload_bytes + 36)')} || '57415645666d74201000000001000100401f0000401f00000100080064617461' || {_LITTLE.format('payload_bytes')}) || payload"
+
+SQL: dict[str, str] = {
+    "op8_media_sequences": rf"""WITH crc AS (SELECT {_CRC} AS tab),
+ d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+ e AS (SELECT *, octet_length(encode(t)) AS n_bytes, regexp_replace(split_part(t, chr(10), 1), '\s+', ' ', 'g') AS head, regexp_replace(CASE WHEN contains(t, chr(10)) THEN substr(t, strpos(t, chr(10)) + 1) ELSE '' END, '\s+', ' ', 'g') AS rest FROM d),
+ p AS (SELECT *, encode(t) || unhex(repeat('00', CASE WHEN n_bytes = 0 THEN 64 ELSE (64 - n_bytes % 64) % 64 END)) AS payload FROM e),
+ q AS (SELECT *, octet_length(payload) AS payload_bytes, hex(payload) AS h FROM p),
+ r AS (SELECT *, {_WAVE} AS media, [strpos('0123456789ABCDEF', x[1]) * 16 + strpos('0123456789ABCDEF', x[2]) - 17 FOR x IN regexp_extract_all(h, '..')] AS v FROM q),
+ s AS (SELECT n, count(*) AS m, sum(x) AS total, sum((x - 128) * (x - 128)) AS squares, count(*) FILTER (was IS NOT NULL AND (x >= 128) <> (was >= 128)) AS crossings FROM (SELECT n, x, lag(x) OVER (PARTITION BY n ORDER BY i) AS was FROM (SELECT n, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM r)) GROUP BY n),
+ u AS (SELECT r.*, m, total, squares, crossings, CAST(trim(head) <> '' AS INT) AS a, CAST(trim(rest) <> '' AS INT) AS z FROM r JOIN s USING (n))
+ SELECT doc_id, n_bytes, payload_bytes, sha256(payload) AS payload_sha256, xor(list_reduce(list_prepend(4294967295, v[-64:]), lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])), 4294967295) AS tail_crc32,
+ octet_length(media) AS media_bytes, sha256(media) AS media_sha256, printf('mean=%.4f;rms=%.4f;crossings=%d', total::DOUBLE / m, sqrt(squares::DOUBLE / m), crossings) AS feature,
+ a + z + 2 AS n_items, length(trim(head)) + length(trim(rest)) AS text_chars, a::VARCHAR || ',' || (a + z + 1)::VARCHAR AS positions, n_bytes::VARCHAR || ',' || n_bytes::VARCHAR || ' bytes' AS captions FROM u, crc""",
+}
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

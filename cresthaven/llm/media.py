@@ -158,17 +158,23 @@ def interleave(pages: DataFrame) -> DataFrame:
     return pages.select("key", "html").mapInArrow(_sequence_rows, f"key bigint, items array<{ITEM}>")
 
 
+def references(sequences: DataFrame) -> DataFrame:
+    """(key, items) -> a row per media item: key, sequence (a number of its own for every row that came), n_items, text_chars (code points of the text items), position, caption, digest."""
+    numbered = sequences.select("key", F.monotonically_increasing_id().alias("sequence"), F.size("items").alias("n_items"), F.aggregate("items", F.lit(0).cast("bigint"), lambda n, i: n + F.when(i.kind == "text", F.length(i.text)).otherwise(0)).alias("text_chars"), F.filter("items", lambda i: i.kind == "media").alias("items"))
+    refs = numbered.select("key", "sequence", "n_items", "text_chars", F.explode("items").alias("i"))
+    return refs.select("key", "sequence", "n_items", "text_chars", "i.position", F.col("i.text").alias("caption"), "i.digest")
+
+
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
-    """(key, items), (digest, ...) -> a row per media item: key, position, caption, digest and the media columns.
+    """(key, items), (digest, ...) -> a row per media item: the columns of ``references`` and the media columns.
 
     A reference whose digest is not stored keeps its row, with nulls.  A digest with more than a partition's share of
     the references (so there are at most as many of them as partitions) is hot: its references are dealt over salts,
     its media row is copied to each salt.  All other references join by the digest alone.
     """
     spark = sequences.sparkSession
-    refs = sequences.select("key", F.explode("items").alias("i")).where("i.kind = 'media'").select("key", "i.position", F.col("i.text").alias("caption"), "i.digest")
-    refs = written(refs, "references")
-    columns = ["key", "position", "caption", "digest", *(c for c in media.columns if c != "digest")]
+    refs = written(references(sequences), "references")
+    columns = [*refs.columns, *(c for c in media.columns if c != "digest")]
     share = max(refs.count() // int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_HOT)
     hot = written(refs.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > share).select("digest", F.ceil(F.col("n") / share).cast("int").alias("_salts")), "hot-digests")
     if hot.isEmpty():
@@ -181,23 +187,38 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     return cold.unionByName(dealt.join(copies, ["digest", "_salt"], "left").select(columns))
 
 
+def page_of(raw: bytes, text: str) -> str:
+    """A document as a page: its first line, its bytes as one media payload with their number as caption, its other lines, and the payload once more."""
+    digest = hashlib.sha256(raw).hexdigest()
+    first, _, rest = text.partition("\n")
+    said = lambda t: f"<p>{html.escape(t)}</p>" if t else ""
+    return f'{said(first)}<figure><img src="sha256:{digest}"><figcaption>{len(raw)}</figcaption></figure>{said(rest)}<audio src="sha256:{digest}" alt="{len(raw)} bytes"></audio>'
+
+
 def _document_page(batches):
-    """A document as a page with its own text's bytes as one media payload."""
-    schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("html", pa.string())])
+    schema = pa.schema([("key", pa.int64()), ("html", pa.string())])
     for b in batches:
-        raw = utf8(b.column("text"))
-        pages = [f'<figure><img src="sha256:{hashlib.sha256(x).hexdigest()}"><figcaption>{len(x)}</figcaption></figure>' for x in raw]
-        yield batch(schema, b.column("doc_id"), [len(x) for x in raw], pages)
+        ids, texts = b.column("doc_id"), b.column("text")
+        for at in range(0, len(texts), 256):
+            raws = utf8(texts.slice(at, 256))
+            yield batch(schema, ids.slice(at, 256), [page_of(r, t or "") for r, t in zip(raws, texts.slice(at, 256).to_pylist())])
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> a row per row: doc_id, n_bytes and the stored payload's columns.
+    """(doc_id, text, ...) -> a row per row: doc_id, n_bytes, the stored payload's columns, n_items, text_chars, positions, captions.
 
-    Each document becomes a page that refers to its text's bytes by digest and carries their number as the caption;
-    sequences, media table and digest join are the general ones.  Null text counts as empty (64 zero bytes are
-    stored); ids may be null or repeat; extra columns are ignored.
+    Each document becomes a page: its first line, a figure that refers to its text's bytes by digest and carries their
+    number as the caption, its other lines, and a second reference.  Sequences, media table and digest join are the
+    general ones; both references are resolved and put together again by position.  n_bytes is the first one's caption,
+    text_chars counts the code points of the sequence's text items (white space as one space).  Null text counts as
+    empty (64 zero bytes are stored); ids may be null or repeat; extra columns are ignored; no documents, no rows.
     """
-    pages = docs.select("doc_id", "text").mapInArrow(_document_page, "key bigint, n_bytes bigint, html string")
+    pages = docs.select("doc_id", "text").mapInArrow(_document_page, "key bigint, html string")
     media = store_media(docs.select(F.col("text").cast("binary").alias("payload")), keep=False)
+    values = [c for c in media.columns if c != "digest"]
     out = resolve(interleave(pages), media)
-    return out.select(F.col("key").alias("doc_id"), F.col("caption").cast("bigint").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    order = F.sort_array(F.collect_list(F.struct("position", "caption", "digest")))
+    whole = out.groupBy("sequence", "key", "n_items", "text_chars").agg(order.alias("refs"), *(F.first(c).alias(c) for c in values))
+    one = F.size(F.array_distinct(F.transform("refs", lambda r: r.digest))) == 1
+    names = lambda f: F.array_join(F.transform("refs", f), ",")
+    return whole.select(F.col("key").alias("doc_id"), F.get("refs", F.lit(0)).caption.cast("bigint").alias("n_bytes"), *(F.when(one, F.col(c)).alias(c) for c in values), "n_items", "text_chars", names(lambda r: r.position.cast("string")).alias("positions"), names(lambda r: r.caption).alias("captions"))

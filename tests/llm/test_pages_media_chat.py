@@ -172,8 +172,17 @@ def test_sequences_stay_aligned(spark):
     seq = M.interleave(spark.createDataFrame([(1, page), (2, None), (3, "<img src='sha256:00'>")], "key bigint, html string"))
     store = M.store_media(spark.createDataFrame([(b"one",), (b"two",), (b"one",), (None,)], "payload binary"))
     assert store.count() == 3
-    got = sorted((r.key, r.position, r.media is not None, r.digest) for r in M.resolve(seq, store).collect())
+    rows = M.resolve(seq, store).collect()
+    got = sorted((r.key, r.position, r.media is not None, r.digest) for r in rows)
     assert got == [(1, 1, True, a), (1, 3, True, b), (1, 4, True, a), (3, 0, False, "00")]
+    assert {(r.key, r.n_items, r.text_chars) for r in rows} == {(1, 6, len("before & aftermiddleend")), (3, 1, 0)} and len({r.sequence for r in rows}) == 2
+
+
+def test_documents_are_interleaved(spark):
+    docs = [(1, "head <b>\nbody  of\ntext"), (2, "one line"), (3, "\nonly below"), (4, None), (1, "head <b>\nbody  of\ntext")]
+    rows = [(i, t, "d", 1) for i, t in docs]
+    got = [(r.doc_id, r.n_items, r.text_chars, r.positions, r.captions) for r in M.document_media(spark.createDataFrame(rows, "doc_id bigint, text string, digest string, sequence int")).collect()]
+    assert sorted(got) == [(1, 4, 20, "1,3", "22,22 bytes"), (1, 4, 20, "1,3", "22,22 bytes"), (2, 3, 8, "1,2", "8,8 bytes"), (3, 3, 10, "0,2", "11,11 bytes"), (4, 2, 0, "0,1", "0,0 bytes")]
 
 
 def test_hot_digest_loses_nothing(spark):
