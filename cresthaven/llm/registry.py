@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import corpus_queries as Q
+from . import stages
 
 
 def queries():
     found = {name: f for name, f in vars(Q).items() if name.startswith("op") and callable(f)}
-    return found | {"pipeline": corpus_pipeline.run}
+    return found | {"pipeline": stages.run}
 
 
 def oracle_sql():
-    return dict(Q.SQL) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return dict(Q.SQL) | ({"pipeline": stages.ORACLE_SQL} if stages.ORACLE_SQL else {})

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, groups, utf8, written
+from .common import batch, groups, unwrapped, utf8, wrapped, written
 from .components import components
 
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -133,12 +133,17 @@ def simhash_components(docs: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The documents, all columns, that have the least doc_id of their component; of rows that repeat an id one stays.
+    """The documents, all columns, that have the least doc_id of their component.
 
-    Rows with a null id stay only where their component has no other row.
+    Of rows that repeat an id the one whose columns come first stays (in the order of the whole row as JSON).  Rows
+    with a null id stay only where their component has no other row.  Null and empty texts are near copies of one
+    another; an empty table stays empty.  No column but doc_id and text is read, whatever the others are called.
     """
     labels = written(simhash_components(docs, radius), "components")
     keep = labels.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(keep.select(F.col("doc_id").alias("_keep")), F.col("_keep").eqNullSafe(docs["doc_id"]), "left_semi")
+    rows = wrapped(docs, id=F.col("doc_id"))
+    kept = rows.join(keep, rows["id"].eqNullSafe(keep["doc_id"]), "left_semi")
     repeated = labels.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    if not repeated.isEmpty():
+        kept = kept.groupBy("id").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return unwrapped(kept, docs)

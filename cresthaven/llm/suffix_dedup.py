@@ -26,10 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, batch, release, utf8, written
+from .common import NO_ID, batch, release, utf8, wrapped, written
 
 GRAM = 32
 MOST_BITS = 1 << 29
+LEAST_HOT = 500  # an anchor with fewer rows is never hot
 CHUNK = 1 << 22  # starts handled at once, so that memory does not follow a text's length
 _BITS = np.uint64(24)
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
@@ -41,6 +42,9 @@ SUFFIXES = pa.schema([("suffix", pa.binary()), ("before", pa.binary()), ("doc",
 FOUND = pa.schema([("border", pa.bool_()), ("gram", pa.binary()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64())])
 
 
+RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
+
+
 def runs(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(starts, ends, anchors, anchors' hashes) of the maximal runs: strings that start in [start, end) share the anchor."""
     n = len(data) - length + 1
@@ -289,12 +293,29 @@ def _cut_rows(schema: pa.Schema, length: int, gram: int, keep: bool):
                 mark = mark or ()
                 out.append(cut(text, *([m >> 2 for m in mark if m & 3 == k] for k in range(3)), length, gram))
             more = [[None if t is None else k[0].decode("utf-8", "ignore") for t, k in zip(b.column("text").to_pylist(), out)]] if keep else [none]
-            rest = [b.column(f.name) for f in schema if f.name not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")]
+            rest = [b.column(f.name) for f in list(schema)[:-5]]
             yield batch(schema, *rest, [len(t) for t in texts], [o[1] for o in out], [o[2] for o in out], [hashlib.sha256(o[0]).hexdigest() for o in out], *more)
 
     return run
 
 
+def _hot(counted: DataFrame, total: int, parts: int) -> DataFrame:
+    """(anchor, n) -> (anchor, salts) for anchors with over a partition's share of the rows: at most as many as partitions, so they are broadcast."""
+    share = max(total // parts, LEAST_HOT)
+    return F.broadcast(written(counted.where(F.col("n") > share).select("anchor", F.ceil(F.col("n") / share).cast("int").alias("salts")), "hot-anchors"))
+
+
+def _salted(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows (anchor, doc, key, start, ...) of hot anchors dealt over salts."""
+    salt = F.coalesce(F.pmod(F.xxhash64("doc", "key", "start"), "salts"), F.lit(0)).cast("int")
+    return rows.join(hot, "anchor", "left").withColumn("salt", salt).drop("salts")
+
+
+def _copied(anchors: DataFrame, hot: DataFrame) -> DataFrame:
+    """Hot anchors once for each salt."""
+    return anchors.select("anchor").join(hot, "anchor", "left").select("anchor", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True, gram: int = GRAM) -> DataFrame:
     """(doc_id, text, ...) -> a row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (null unless keep_text).
 
@@ -303,8 +324,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True, g
     text are one document, all with its result.  kept_text drops the bytes of characters that a cut has split.
     Extra columns are ignored.
     """
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("key"))
-    return _removed(rows.select("doc_id", "doc", "key", "text"), ["doc_id"], length, keep_text, gram)
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("key"), "text")
+    return _removed(rows, ["doc_id"], length, keep_text, gram)
 
 
 def _removed(rows: DataFrame, carry: list[str], length: int, keep_text: bool, gram: int) -> DataFrame:
@@ -314,14 +335,17 @@ def _removed(rows: DataFrame, carry: list[str], length: int, keep_text: bool, gr
     least_place = F.min(F.struct("doc", "key", "start")).cast(place).alias("p")
     own = rows.select("doc", "key", "text")
     counts = own.select("text").mapInArrow(_anchor_counts(length, gram), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
-    repeated = written(counts.where("n > 1").select("anchor"), "repeated")
-    shared = spark.sparkContext.broadcast(_bloom(repeated, repeated.count()))
+    repeated = written(counts.where("n > 1"), "repeated")
+    size = repeated.agg(F.count("*").alias("anchors"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    shared = spark.sparkContext.broadcast(_bloom(repeated, size.anchors))
+    hot = _hot(repeated, size.rows, parts)
     found = own.mapInArrow(_run_rows(length, gram, shared), "anchor bigint, run bigint, doc bigint, key bigint, start bigint")
-    suspect = written(found.join(repeated, "anchor", "left_semi"), "suspects")
+    suspect = written(_salted(found, hot).join(_copied(repeated, hot), ["anchor", "salt"], "left_semi").drop("salt"), "suspects")
     first = suspect.groupBy("anchor", "run").agg(least_place)
     first = written(first.select("anchor", "run", "p.doc", "p.key", "p.start"), "runs")
-    shared_anchor = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = first.join(shared_anchor, "anchor").groupBy("doc", "key").agg(F.collect_list("start").alias("starts"))
+    several = written(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    hot = _hot(several, several.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first().rows, parts)
+    wanted = _salted(first, hot).join(_copied(several, hot), ["anchor", "salt"], "left_semi").groupBy("doc", "key").agg(F.collect_list("start").alias("starts"))
     suffixes = own.join(wanted, ["doc", "key"]).mapInArrow(_suffix_rows(length, gram), "suffix binary, before binary, doc bigint, key bigint, start bigint")
     suffixes = written(suffixes, "suffixes")
     buckets = max(parts, -(-suffixes.count() // 20_000))
@@ -335,21 +359,22 @@ def _removed(rows: DataFrame, carry: list[str], length: int, keep_text: bool, gr
     marks = mark(suspect, 0).unionByName(mark(first, 1)).unionByName(mark(again, 2))
     by_doc = marks.groupBy("doc", "key").agg(F.collect_list("mark").alias("marks"))
     joined = rows.join(by_doc, ["doc", "key"], "left").select(*carry, "text", "marks")
-    kinds = dict(joined.dtypes)
-    columns = ", ".join([*(f"{c} {kinds[c]}" for c in carry), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"])
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(columns))
+    kinds = StructType([joined.schema[c] for c in carry] + StructType.fromDDL(RESULT).fields)
     release(spark)
-    return joined.mapInArrow(_cut_rows(schema, length, gram, keep_text), columns)
+    return joined.mapInArrow(_cut_rows(to_arrow_schema(kinds), length, gram, keep_text), kinds)
 
 
 def dedup_documents(docs: DataFrame, length: int = 100) -> DataFrame:
-    """Documents, all with their columns, without repeated passages; n_chars follows; documents left without a word go."""
-    names = docs.columns
-    rows = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "key": F.xxhash64("text")})
-    carry = [c for c in names if c not in ("text", "n_chars")]
-    out = _removed(rows, carry, length, True, GRAM)
+    """Documents, all with their columns, without repeated passages; n_chars (where there is one) follows; documents left without a word go.
+
+    Null texts stay null and empty ones empty, both stay; rows that repeat id and text each keep what their document
+    keeps; an empty table stays empty.  No other column is read or changed, whatever its name.
+    """
+    rows = wrapped(docs, doc=F.coalesce("doc_id", F.lit(NO_ID)), key=F.xxhash64("text"), text=F.col("text"))
+    out = _removed(rows, ["row"], length, True, GRAM)
     out = out.where(F.col("kept_text").rlike(r"\S") | (F.col("n_removed") == 0))
-    return out.select(*(F.col("kept_text").alias(c) if c == "text" else F.char_length("kept_text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in names))
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
+    return out.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -65,3 +65,29 @@ def test_odd_rows(spark):
     assert bpe.encode_documents(spark.createDataFrame([], ddl), PATH).count() == 0
     rows = bpe.encode_documents(spark.createDataFrame([(None, None, "x", 1), (1, "", None, None), (1, "a a", None, None), (1, "a a", None, None)], ddl), PATH, keep=False).collect()
     assert sorted(r.n_tokens for r in rows) == [0, 0, 2, 2] and all(r.ids is None for r in rows)
+
+
+def test_long_pieces_over_tasks(spark, both):
+    """Pieces that tasks share: the library's ids, whatever stands around them and however often the text comes."""
+    r = random.Random(8)
+    run = lambda n, alphabet: "".join(r.choice(alphabet) for _ in range(n))
+    a, b = run(40_000, "abcdefgh"), run(15_000, "漢字仮名")
+    texts = [f"start {a} middle {a.upper()} and {b}, end", a, run(70_001, "ab"), "x" * (bpe.FAR + 1), "short text", None, run(5000, "ab"), f"<|endoftext|>{a}<|endoftext|>"]
+    rows = [(k, t, "n", b"k") for k, t in enumerate([*texts, texts[0]])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, known string, piece binary")
+    got = {x.doc_id: x for x in bpe.encode_documents(docs, PATH).collect()}
+    assert len(got) == len(rows)
+    for k, t, *_ in rows:
+        ids = both[1].encode(t or "", add_special_tokens=False).ids
+        assert got[k].ids == " ".join(map(str, ids)) and got[k].n_tokens == len(ids) and got[k].decoded == both[1].decode(ids, skip_special_tokens=False)
+    plan = bpe.far_pieces(docs.where("length(text) > 5000"), spark.sparkContext.broadcast(open(PATH, encoding="utf-8").read())).collect()
+    assert sum(len(p.known) for p in plan) == 6
+
+
+def test_other_files_are_refused():
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    for change in ({"normalizer": None}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.Encoder(json.dumps(spec | change))
