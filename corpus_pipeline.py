@@ -1,56 +1,5 @@
-"""From raw documents to token ids: language ID, near-dedup, repeat removal, decontamination, BPE."""
+"""From raw documents to token ids: the stages and their run are in ``cresthaven.llm.stages``."""
 
-from __future__ import annotations
+from cresthaven.llm.stages import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from cresthaven.llm import bpe, decontaminate, language_id, simhash_dedup, suffix_dedup
-from cresthaven.llm.common import table, written
-
-ORACLE_SQL = None  # no stage can be written in SQL; tests/llm compare each with a brute-force version
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
-    return language_id.drop_unidentified(docs)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays, that of least doc_id."""
-    return simhash_dedup.drop_near_duplicates(docs, 4)
-
-
-def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each 100-byte passage stays where it comes first; documents of which nothing is left go."""
-    return suffix_dedup.dedup_documents(docs, 100)
-
-
-def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (joined by one space), their number and digests, and the decoded text's digest."""
-    import public_tokenizers
-
-    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=True).drop("decoded")
-
-
-STAGES = [
-    ("language_id", identify_language),
-    ("simhash_dedup", drop_near_duplicates),
-    ("suffix_dedup", remove_repeated_passages),
-    ("decontaminate", drop_benchmark_leaks),
-    ("bpe", encode),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents, each written and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
