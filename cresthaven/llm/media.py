@@ -150,7 +150,9 @@ def _sequence_rows(batches):
     item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string())])
     schema = pa.schema([("key", pa.int64()), ("items", pa.list_(item))])
     for b in batches:
-        yield batch(schema, b.column("key"), [sequence(x or "") for x in b.column("html").to_pylist()])
+        keys, pages = b.column("key"), b.column("html")
+        for at in range(0, len(pages), 256):
+            yield batch(schema, keys.slice(at, 256), [sequence(x or "") for x in pages.slice(at, 256).to_pylist()])
 
 
 def interleave(pages: DataFrame) -> DataFrame:
