@@ -14,8 +14,12 @@ from .raster import CELL
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder: lineage ends, lost executors do not matter."""
     spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cresthaven-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cresthaven-"))
     return df.checkpoint()
 
 
@@ -37,6 +41,16 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key) with its place, from 1, in the order of distinct keys: ranges of the keys are numbered by themselves, and start where the ranges before end."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.select(key).repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
+    per = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    before = per.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return dealt.withColumn("_place", place).join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.col("_place")).cast("int").alias(name))
+
+
 def runs(mask: DataFrame) -> DataFrame:
     """Horizontal runs of a mask: run (id from the first cell), row, c0, c1."""
     w = Window.partitionBy("row").orderBy("col")
@@ -58,8 +72,7 @@ def labels(mask: DataFrame, diagonal: bool = True) -> DataFrame:
     edges = upper.join(lower, ["row", "bucket"]).where((F.col("a0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("a1") + reach)).select("a", "b").distinct()
     roots = connected(edges)
     named = r.join(roots, r.run == roots.node, "left").select("row", "c0", "c1", F.coalesce("root", "run").alias("root"))
-    number = named.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")))  # one row a component
-    return named.join(number, "root").select("row", F.explode(F.sequence("c0", "c1")).alias("col"), "label")
+    return named.join(numbered(named.select("root").distinct(), "root", "label"), "root").select("row", F.explode(F.sequence("c0", "c1")).alias("col"), "label")
 
 
 def areas(labelled: DataFrame) -> DataFrame:

@@ -179,23 +179,25 @@ def nearest_on(queries: DataFrame, vertices: DataFrame, within: float | None = N
 
 
 def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Indices kept by Douglas-Peucker with distances to the segment."""
-    keep = np.zeros(len(points), bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(points) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        p, d = points[a + 1 : b] - points[a], points[b] - points[a]
-        l2 = float(d @ d)
-        t = np.clip(p @ d / l2, 0, 1) if l2 > 1e-12 else np.zeros(len(p))
-        off = np.hypot(*(p - t[:, None] * d).T)
-        k = int(off.argmax())
-        if off[k] > tolerance:
-            keep[a + 1 + k] = True
-            todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    return np.flatnonzero(keep)
+    """Indices kept by Douglas-Peucker with distances to the segment.
+
+    All spans between kept points are looked at together, level by level: each span whose farthest point lies beyond the
+    tolerance keeps that point (the first of equal ones), until no span does.
+    """
+    kept = np.arange(len(points))[[0, -1]] if len(points) > 1 else np.arange(len(points))
+    while len(kept) < len(points):
+        span = np.repeat(np.arange(len(kept) - 1), np.diff(kept))  # of the points kept[0] to kept[-1] - 1
+        begin, chord = points[kept[span]], points[kept[span + 1]] - points[kept[span]]
+        offset, square = points[kept[0] : kept[-1]] - begin, (chord**2).sum(axis=1)
+        share = np.clip(np.divide((offset * chord).sum(axis=1), square, out=np.zeros(len(span)), where=square > 0), 0, 1)
+        off = np.hypot(*(offset - share[:, None] * chord).T)
+        farthest = np.maximum.reduceat(off, kept[:-1] - kept[0])
+        hit = np.flatnonzero((off == farthest[span]) & (off > tolerance))
+        if not len(hit):
+            break
+        _, first = np.unique(span[hit], return_index=True)
+        kept = np.union1d(kept, hit[first] + kept[0])
+    return kept
 
 
 def simplified(vertices: DataFrame, tolerance: float) -> DataFrame:

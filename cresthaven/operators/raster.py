@@ -47,21 +47,31 @@ def shift(cells: DataFrame, dr: int, dc: int) -> DataFrame:
     return s.groupBy(CELL).agg(here().alias("own"), at(dr, dc).alias("z")).where("own").drop("own")
 
 
-def dilate(mask: DataFrame, pairs) -> DataFrame:
-    return scatter(mask, pairs).select(CELL).distinct()
+def on_grid(cells: DataFrame, nx: int | None, ny: int | None) -> DataFrame:
+    return cells if nx is None else cells.where((F.col("row") >= 0) & (F.col("row") < ny) & (F.col("col") >= 0) & (F.col("col") < nx))
 
 
-def erode(mask: DataFrame, pairs) -> DataFrame:
-    """Cells all of whose neighbours under the kernel are set; off the grid counts as not set."""
-    return scatter(mask, pairs).groupBy(CELL).agg(F.count("*").alias("n")).where(F.col("n") == len(pairs)).select(CELL)
+def dilate(mask: DataFrame, pairs, nx: int | None = None, ny: int | None = None) -> DataFrame:
+    """Cells with a set neighbour under the kernel; with nx and ny those of the grid only."""
+    return on_grid(scatter(mask, pairs).select(CELL).distinct(), nx, ny)
 
 
-def opening(mask: DataFrame, pairs) -> DataFrame:
-    return dilate(erode(mask, pairs), pairs)
+def erode(mask: DataFrame, pairs, nx: int | None = None, ny: int | None = None) -> DataFrame:
+    """Cells all of whose neighbours under the kernel are set; off the grid counts as not set, with nx and ny as set."""
+    n = F.count("*")
+    if nx is not None:
+        outside = lambda r, c: (F.col("row") + r < 0) | (F.col("row") + r >= ny) | (F.col("col") + c < 0) | (F.col("col") + c >= nx)
+        beyond = sum((F.when(outside(r, c), 1).otherwise(0) for r, c in pairs), F.lit(0))
+        return on_grid(scatter(mask, pairs).groupBy(CELL).agg(n.alias("n")).where(F.col("n") + beyond == len(pairs)).select(CELL), nx, ny)
+    return scatter(mask, pairs).groupBy(CELL).agg(n.alias("n")).where(F.col("n") == len(pairs)).select(CELL)
 
 
-def closing(mask: DataFrame, pairs) -> DataFrame:
-    return erode(dilate(mask, pairs), pairs)
+def opening(mask: DataFrame, pairs, nx: int | None = None, ny: int | None = None) -> DataFrame:
+    return dilate(erode(mask, pairs, nx, ny), pairs, nx, ny)
+
+
+def closing(mask: DataFrame, pairs, nx: int | None = None, ny: int | None = None) -> DataFrame:
+    return erode(dilate(mask, pairs, nx, ny), pairs, nx, ny)
 
 
 def border(cells: DataFrame) -> DataFrame:
@@ -106,16 +116,25 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def gaussian(cells: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """Separable Gaussian smoothing over the cells that are there (weights renormalised where some are missing)."""
+def gaussian(cells: DataFrame, sigma: float = 1.0, nx: int | None = None, ny: int | None = None) -> DataFrame:
+    """Separable Gaussian smoothing over the cells that are there (weights renormalised where some are missing).
+
+    With nx and ny what lies beyond the edges of the grid is its mirror image, the edge cells repeated; without them it
+    is missing.
+    """
     w = gaussian_weights(sigma)
     k = len(w) // 2
     weights = F.array(*map(F.lit, w))
     out = cells.where("z is not null").select(*CELL, "z")
-    for axis in ("row", "col"):
-        pairs = [(i, 0) if axis == "row" else (0, i) for i in range(-k, k + 1)]
-        s = scatter(out, pairs, "z").withColumn("w", F.element_at(weights, F.col("dr") + F.col("dc") + k + 1))
-        out = s.groupBy(CELL).agg(here().alias("own"), (F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z")).where("own").drop("own")
+    for axis, size in (("row", ny), ("col", nx)):
+        other = "col" if axis == "row" else "row"
+        images = F.array(F.col(axis))
+        if size is not None:
+            none = F.array().cast("array<int>")
+            images = F.concat(images, F.when(F.col(axis) < k, F.array(-1 - F.col(axis))).otherwise(none), F.when(F.col(axis) >= size - k, F.array(2 * size - 1 - F.col(axis))).otherwise(none))
+        s = out.select(other, "z", F.col(axis).alias("at"), F.explode(images).alias("image")).select(other, "z", "at", "image", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("o"))
+        s = s.select(other, "z", (F.col("image") + F.col("o")).alias(axis), F.col("at"), F.element_at(weights, F.col("o") + k + 1).alias("w"))
+        out = s.groupBy(CELL).agg(F.bool_or(F.col("at") == F.col(axis)).alias("own"), (F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z")).where("own").select(*CELL, "z")
     return out
 
 
@@ -205,8 +224,11 @@ def ray_cells(rays_m, res: float, distinct: bool) -> list[int]:
     return sorted(set(steps)) if distinct else steps
 
 
-def ray_edges(labels: DataFrame, cells: DataFrame, rays_m=(2.0, 3.0, 4.0, 5.0), res: float = 1.0, drop: float = 1.0) -> DataFrame:
-    """Crest and toe flags of boundary cells: in some direction the mean height outside the component is lower (crest) or higher (toe) by over ``drop``."""
+def ray_edges(labels: DataFrame, cells: DataFrame, rays_m=(2.0, 3.0, 4.0, 5.0), res: float = 1.0, drop: float = 1.0, boxed: bool = False) -> DataFrame:
+    """Crest and toe flags of boundary cells: in some direction the mean height outside the component is lower (crest) or higher (toe) by over ``drop``.
+
+    boxed: rays see only the cells of the component's bounding box.
+    """
     rays = ray_cells(rays_m, res, False)
     need = max(1, len(rays) // 2)
     both = cells.select(*CELL, "z").join(labels, CELL, "left")
@@ -215,6 +237,9 @@ def ray_edges(labels: DataFrame, cells: DataFrame, rays_m=(2.0, 3.0, 4.0, 5.0),
     e = edge.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("label").alias("own"), F.col("z").alias("zc"), probes)
     e = e.select("r", "c", "own", "zc", "p.dir", (F.col("r") + F.col("p.dr")).alias("row"), (F.col("c") + F.col("p.dc")).alias("col"))
     hit = e.join(both, CELL).where("z is not null and not (label <=> own)")
+    if boxed:
+        box = labels.groupBy(F.col("label").alias("own")).agg(F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))
+        hit = hit.join(box, "own").where("row between row0 and row1 and col between col0 and col1")
     per = hit.groupBy("r", "c", "own", "zc", "dir").agg(F.avg("z").alias("out"), F.count("*").alias("n")).where(F.col("n") >= need)
     flags = per.groupBy(F.col("r").alias("row"), F.col("c").alias("col"), F.col("own").alias("label")).agg(F.bool_or(F.col("zc") - F.col("out") > drop).alias("crest"), F.bool_or(F.col("out") - F.col("zc") > drop).alias("toe"))
     return flags.where("crest or toe")

@@ -60,40 +60,64 @@ def walked(pairs: DataFrame, strict: list[str]) -> DataFrame:
     return cut(numbered.join(kept, F.col("_n") == F.col("n"), "left_semi").select(*pairs.columns))
 
 
-def thin(candidates: DataFrame, radius: float, most: int) -> DataFrame:
-    """Non-maximum suppression: candidates (cid, type, first_line, second_line, mx, my, score) by falling score (ties: cid).
+def thin(candidates: DataFrame, radius: float, most: int, at_once: int = 4096) -> DataFrame:
+    """Non-maximum suppression: candidates (cid, type, first_line, second_line, mx, my, score) by falling score (ties: cid) -> cid, rank.
 
-    Kept: one per pair of lines, none nearer than ``radius`` to a kept one of its type, at most ``most`` in all.  The
-    input is a bounded top list (routed candidates), so a single group decides.
+    Kept: one per pair of lines, none nearer than ``radius`` to a kept one of its type, at most ``most`` in all.  While
+    there are over ``at_once``, rounds take every candidate that is the best of its pair and of the square buckets
+    around it, and what these rule out goes; the rest is decided by one task.  Both give what going down the sorted
+    list gives: who is the best of all that could rule it out is kept in any case.
     """
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", "cid"], ascending=[False, True])
-        kept, pairs, out = {}, set(), []
-        for row in g.itertuples(index=False):
-            pair = tuple(sorted((row.first_line, row.second_line)))
-            near = kept.setdefault(row.type, [])
-            if pair in pairs or any((row.mx - x) ** 2 + (row.my - y) ** 2 < radius * radius for x, y in near):
-                continue
-            near.append((row.mx, row.my))
-            pairs.add(pair)
-            out.append(row.cid)
-            if len(out) >= most:
-                break
-        return pd.DataFrame({"cid": out, "rank": range(1, len(out) + 1)})
-
-    one_group = candidates.select("cid", "type", "first_line", "second_line", "mx", "my", "score").withColumn("all_", F.lit(1))
-    return one_group.groupBy("all_").applyInPandas(one, "cid bigint, rank int")
+    pair = F.struct(F.least("first_line", "second_line").alias("a"), F.greatest("first_line", "second_line").alias("b"))
+    better = F.struct((-F.col("score")).alias("s"), "cid")
+    bucket = lambda c: F.floor(F.col(c) / radius)
+    rest = cut(candidates.select("cid", "type", pair.alias("pair"), "mx", "my", "score", better.alias("place"), bucket("mx").alias("bx"), bucket("my").alias("by")))
+    kept, left = None, rest.count()
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    while left > at_once:
+        best = rest.groupBy("pair").agg(F.min("place").alias("of_pair"))
+        seen = rest.select("type", "place", step.alias("o"), "bx", "by").groupBy("type", (F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by")).agg(F.min("place").alias("around"))
+        won = cut(rest.join(best, "pair").join(seen, ["type", "bx", "by"]).where("place = of_pair and place = around").select(rest.columns))
+        kept = won if kept is None else kept.unionByName(won)
+        w = won.select("type", step.alias("o"), F.col("mx").alias("wx"), F.col("my").alias("wy"), "bx", "by").select("type", (F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by"), "wx", "wy")
+        near = (F.col("mx") - F.col("wx")) * (F.col("mx") - F.col("wx")) + (F.col("my") - F.col("wy")) * (F.col("my") - F.col("wy")) < radius * radius
+        ruled = rest.join(w, ["type", "bx", "by"]).where(near).select("cid")
+        rest = cut(rest.join(won.select("pair"), "pair", "left_anti").join(ruled, "cid", "left_anti"))
+        left = rest.count()
 
-
-def chain(cells: pd.DataFrame, least: int) -> list[np.ndarray]:
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((g["cid"], -g["score"]))
+        kind, of = g["type"].to_numpy()[order], g.groupby(["a", "b"]).ngroup().to_numpy()[order]
+        at, cid = g[["mx", "my"]].to_numpy()[order], g["cid"].to_numpy()[order]
+        open_, won = np.ones(len(g), bool), []
+        while open_.any():
+            k = int(open_.argmax())
+            won.append(cid[k])
+            open_ &= (of != of[k]) & ((kind != kind[k]) | (((at - at[k]) ** 2).sum(axis=1) >= radius * radius))
+            open_[k] = False
+        return pd.DataFrame({"cid": np.array(won, np.int64)})
+
+    last = cut(rest.select("cid", "type", "pair.a", "pair.b", "mx", "my", "score").withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(one, "cid bigint"))
+    found = candidates.select("cid", "score").join(last, "cid")
+    if kept is not None:
+        found = found.unionByName(kept.select("cid", "score"))
+    top = found.orderBy(F.desc("score"), "cid").limit(most)
+    return top.select("cid", F.row_number().over(Window.orderBy(F.desc("score"), "cid")).alias("rank"))  # at most ``most`` rows
+
+
+def chain(cells: pd.DataFrame, least: int, unsorted: bool = False) -> list[np.ndarray]:
     """Chains of cells (row, col): from cells with at most one neighbour first, then the others, in order of (row, col); each step goes to the nearest unvisited cell within two.
 
-    A walk uses its cells up, also where it is too short to be kept.
+    A walk uses its cells up, also where it is too short to be kept.  unsorted: each step goes to the first unvisited
+    one of the neighbours' numbers (by row, col) in the order of a Python set, as in the published figures.
     """
     order = sorted(zip(cells["row"].tolist(), cells["col"].tolist()))
     there = set(order)
     around = sorted(((r * r + c * c, r, c) for r in range(-2, 3) for c in range(-2, 3) if r or c))
     near = {p: [(p[0] + r, p[1] + c) for _, r, c in around if (p[0] + r, p[1] + c) in there] for p in order}
+    if unsorted:
+        number = {p: n for n, p in enumerate(order)}
+        near = {p: [order[n] for n in {number[q] for q in sorted(around)}] for p, around in near.items()}
     seen: set = set()
     out = []
     for p in sorted(order, key=lambda p: (len(near[p]) > 1, p)):
@@ -109,10 +133,10 @@ def chain(cells: pd.DataFrame, least: int) -> list[np.ndarray]:
     return out
 
 
-def chains(cells: DataFrame, keys: list[str], least: int) -> DataFrame:
+def chains(cells: DataFrame, keys: list[str], least: int, unsorted: bool = False) -> DataFrame:
     """(keys, row, col) -> (keys, chain, idx, row, col): the chains of each group, a component's boundary."""
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        found = chain(g, least)
+        found = chain(g, least, unsorted)
         rows = [{**{k: g[k].iloc[0] for k in keys}, "chain": i, "idx": j, "row": int(r), "col": int(c)} for i, w in enumerate(found) for j, (r, c) in enumerate(w)]
         return pd.DataFrame(rows, columns=[*keys, "chain", "idx", "row", "col"])
 

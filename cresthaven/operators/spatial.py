@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import cut
 from .polyline import nearest_on, norm
 
 
@@ -63,20 +67,131 @@ def top_per_endpoint(pairs: DataFrame, k: int, score: str = "pre_score") -> Data
     return pairs.join(ids, ["first", "second"], "left_semi")
 
 
+LARGEST = 4096  # samples of a bucket that one task compares with those around it
+
+
+def _bucketed(samples: DataFrame, radius: float) -> DataFrame:
+    """Samples (line_id, type, k, x, y) dealt for comparison, sorted by group: (type, bx, by, part, side, line_id, k, x, y).
+
+    Side 0 holds a bucket's own samples, side 1 those of the nine buckets around.  The samples of a bucket of over
+    ``LARGEST`` are dealt over parts, and what is around it is copied to each part: no group is unbounded on both sides.
+    """
+    bucket = lambda c: F.floor(F.col(c) / radius)
+    own = samples.select("type", bucket("x").alias("bx"), bucket("y").alias("by"), "line_id", "k", "x", "y")
+    large = cut(own.groupBy("type", "bx", "by").agg(F.count("*").alias("n")).where(F.col("n") > LARGEST).select("type", "bx", "by", F.ceil(F.col("n") / LARGEST).cast("int").alias("parts")))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    near = own.withColumn("o", F.explode(around)).withColumns({"bx": F.col("bx") + F.col("o.i"), "by": F.col("by") + F.col("o.j")}).drop("o")
+    if large.isEmpty():
+        own, near = own.withColumn("part", F.lit(0)), near.withColumn("part", F.lit(0))
+    else:
+        keys = ["type", "bx", "by"]
+        own = own.join(large, keys, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("line_id", "k"), "parts"), F.lit(0)).cast("int")).drop("parts")
+        near = near.join(large, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    both = own.withColumn("side", F.lit(0)).unionByName(near.withColumn("side", F.lit(1)))
+    group = ["type", "bx", "by", "part"]
+    return both.select(*group, "side", "line_id", "k", "x", "y").repartition(*group).sortWithinPartitions(*group, "side")
+
+
+def _close(batches, radius: float, ordered: bool, at_once: int = 1 << 21):
+    """From rows of ``_bucketed`` yield (rows of side 0, rows of side 1, distances, table) of pairs of different lines within the radius.
+
+    Whole groups only; all pairs of a row of side 0 come together.  ordered: only pairs with the lesser line on side 0.
+    """
+    for t in _groups(batches):
+        side, line, x, y = (t[c].to_numpy() for c in ("side", "line_id", "x", "y"))
+        kind = t["type"].combine_chunks().dictionary_encode().indices.to_numpy()
+        group = np.zeros(len(side), np.int64)
+        for v in (kind, *(t[c].to_numpy() for c in ("bx", "by", "part"))):
+            group[1:] |= v[1:] != v[:-1]
+        group = np.cumsum(group)
+        mine = np.flatnonzero(side == 0)
+        others = np.flatnonzero(side == 1)
+        lo, hi = np.searchsorted(group[others], group[mine]), np.searchsorted(group[others], group[mine], side="right")
+        ends = np.cumsum(hi - lo)
+        at = 0
+        while at < len(mine):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + at_once, side="right")))
+            n = (hi - lo)[at:to]
+            a = np.repeat(mine[at:to], n)
+            b = others[np.repeat(lo[at:to] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            pick = line[a] < line[b] if ordered else line[a] != line[b]
+            a, b = a[pick], b[pick]
+            dx, dy = x[b] - x[a], y[b] - y[a]
+            d = np.sqrt(dx * dx + dy * dy)
+            pick = d <= radius
+            yield a[pick], b[pick], d[pick], t
+            at = to
+
+
+def _groups(batches, largest: int = 1 << 18):
+    """Tables of whole groups from sorted batches; rows of the last, perhaps unfinished, group wait for the next batch."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n < largest:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        same = pa.compute.equal(t["type"], t["type"][len(t) - 1])
+        for c in ("bx", "by", "part"):
+            same = pa.compute.and_(same, pa.compute.equal(t[c], t[c][len(t) - 1]))
+        cut_ = len(t) - int(np.argmin(np.append(same.to_numpy()[::-1], False)))
+        if cut_:
+            yield t.slice(0, cut_)
+        held = t.slice(cut_).to_batches()
+        n = sum(x.num_rows for x in held)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def proximity(samples: DataFrame, radius: float) -> DataFrame:
-    """samples (line_id, type, k, x, y) -> unordered pairs (first, second) of lines of a type with samples within ``radius``."""
-    a = samples.select("type", F.col("line_id").alias("al"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = samples.select("type", F.col("line_id").alias("bl"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return near_pairs(a, b, radius, ["type"]).where("al < bl").select(F.col("al").alias("first"), F.col("bl").alias("second")).distinct()
+    """samples (line_id, type, k, x, y) -> unordered pairs (first, second) of lines of a type with samples within ``radius``.
+
+    Samples are compared in Arrow batches, bucket by bucket; a task passes each pair of lines on once per table of whole groups.
+    """
+    schema = pa.schema([("first", pa.int64()), ("second", pa.int64())])
+
+    def run(batches):
+        now, lines, code, found = None, None, None, []
+
+        def emit():
+            keys = np.unique(np.concatenate(found))
+            return pa.RecordBatch.from_arrays([pa.array(lines[keys // len(lines)]), pa.array(lines[keys % len(lines)])], schema=schema)
+
+        for a, b, _, t in _close(batches, radius, True):
+            if t is not now:
+                if found:
+                    yield emit()
+                now, found = t, []
+                lines, code = np.unique(t["line_id"].to_numpy(), return_inverse=True)
+            found.append(np.unique(code[a] * len(lines) + code[b]))
+            if sum(map(len, found)) > 1 << 22:
+                found = [np.unique(np.concatenate(found))]
+        if found:
+            yield emit()
+
+    return _bucketed(samples, radius).mapInArrow(run, "first bigint, second bigint").distinct()
 
 
 def nearest_samples(samples: DataFrame, radius: float) -> DataFrame:
-    """For each sample and each other line of its type within ``radius``: that line's nearest sample (k2) and the distance."""
-    a = samples.select("type", F.col("line_id").alias("first"), F.col("k").alias("k"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = samples.select("type", F.col("line_id").alias("second"), F.col("k").alias("k2"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    p = near_pairs(a, b, radius, ["type"]).where("first != second")
-    g = p.groupBy("type", "first", "k", "second").agg(F.min(F.struct("d", "k2")).alias("m"))
-    return g.select("type", "first", "k", "second", "m.k2", "m.d")
+    """For each sample and each other line of its type within ``radius``: that line's nearest sample (k2; the first of equal ones) and the distance.
+
+    All that is near a sample is in its group, so the nearest is found there; nothing is merged afterwards.
+    """
+    schema = pa.schema([("type", pa.string()), ("first", pa.int64()), ("k", pa.int64()), ("second", pa.int64()), ("k2", pa.int64()), ("d", pa.float64())])
+
+    def run(batches):
+        for a, b, d, t in _close(batches, radius, False):
+            line, k = t["line_id"].to_numpy(), t["k"].to_numpy()
+            order = np.lexsort((k[b], d, line[b], a))
+            a, b, d = a[order], b[order], d[order]
+            fresh = np.ones(len(a), bool)
+            fresh[1:] = (a[1:] != a[:-1]) | (line[b[1:]] != line[b[:-1]])
+            a, b, d = a[fresh], b[fresh], d[fresh]
+            yield pa.RecordBatch.from_arrays([t["type"].combine_chunks().take(pa.array(a)), *(pa.array(v) for v in (line[a], k[a], line[b], k[b], d))], schema=schema)
+
+    return _bucketed(samples, radius).mapInArrow(run, "type string, first bigint, k bigint, second bigint, k2 bigint, d double")
 
 
 def anchors(guides: DataFrame, vertices: DataFrame, heights: DataFrame, max_dist: float = 50.0, max_gap: float = 100.0, max_dz: float | None = None, limits: DataFrame | None = None) -> DataFrame:

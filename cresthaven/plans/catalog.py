@@ -63,8 +63,7 @@ def q_terrace_slope(spark, d):
     from ..operators import grid
 
     cells, meta = grid.build(terrace(spark), 1.0)
-    cells = cells.withColumn("z", F.round("z", 6)).crossJoin(F.broadcast(meta.select("nx", "ny")))
-    s = raster.slope(cells, 1.0)
+    s = raster.slope(raster_queries.sized(cells.withColumn("z", F.round("z", 6)), meta), 1.0)
     return s.select("row", "col", "z", F.round("slope", 4).alias("slope"), (F.coalesce(F.round("slope", 4), F.lit(90.0)) < 10).alias("platform"))
 
 

@@ -50,9 +50,9 @@ def q_jobs_recover(spark, d):
     return recovered(order_jobs(spark, d)).select("id", "status", "error")
 
 
-@_keep("q_jobs_latest", f"WITH {JOBS} SELECT id, status, created_at FROM jobs ORDER BY created_at DESC, id DESC LIMIT 100")
+@_keep("q_jobs_latest", f"WITH {JOBS} SELECT id, status, created_at FROM jobs ORDER BY created_at DESC, id DESC")
 def q_jobs_latest(spark, d):
-    return order_jobs(spark, d).orderBy(F.desc("created_at"), F.desc("id")).limit(100).select("id", "status", "created_at")
+    return order_jobs(spark, d).orderBy(F.desc("created_at"), F.desc("id")).select("id", "status", "created_at")
 
 
 @_keep("q_log_tail", "SELECT user_id, event_id, back FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) back FROM events) WHERE back<=70")

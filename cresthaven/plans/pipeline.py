@@ -6,6 +6,7 @@ line counts and pass decisions reach the driver.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +44,7 @@ class Surface:
         return polyline.to_cells(points, self.xmin, self.ymax, self.res, self.nx, self.ny)
 
     def centre(self, row, col):
-        return F.lit(self.xmin) + (col + 0.5) * self.res, F.lit(self.ymax) - (row + 0.5) * self.res
+        return grid.centre(row, col, self.xmin, self.ymax, self.res)
 
 
 def surface(points: DataFrame, c: Config) -> Surface | None:
@@ -53,10 +54,11 @@ def surface(points: DataFrame, c: Config) -> Surface | None:
     if m is None:
         return None
     cells = cut(cells.select("row", "col", "z"))
-    # three cells around the data are kept; the filters look five cells further
-    filled = raster.fill(cells, 8.0).where(f"row >= 0 and col >= 0 and row < {m.ny} and col < {m.nx}").withColumns({"nx": F.lit(m.nx), "ny": F.lit(m.ny)})
+    # three cells around the data are kept; from there the slope looks one cell on, the smoothing ``reach``, the median one
+    reach = len(raster.gaussian_weights(c.smooth_sigma_cells)) // 2 if c.smooth_sigma_cells > 0 else 0
+    filled = raster.fill(cells, 3.0 + math.ceil(math.sqrt(2) * (reach + 2))).where(f"row >= 0 and col >= 0 and row < {m.ny} and col < {m.nx}").withColumns({"nx": F.lit(m.nx), "ny": F.lit(m.ny)})
     filled = cut(filled)
-    smooth = raster.gaussian(raster.median3(filled), c.smooth_sigma_cells) if c.smooth_sigma_cells > 0 else raster.median3(filled)
+    smooth = raster.gaussian(raster.median3(filled), c.smooth_sigma_cells, m.nx, m.ny) if c.smooth_sigma_cells > 0 else raster.median3(filled)
     kept = filled.where("d2 <= 9").select("row", "col", "nx", "ny").join(smooth, ["row", "col"])
     sloped = raster.slope(kept, c.grid_res_m).withColumns({"nx": F.lit(m.nx), "ny": F.lit(m.ny)})
     return Surface(cut(sloped), c.grid_res_m, m.xmin, m.ymax, m.nx, m.ny)
@@ -76,12 +78,12 @@ def from_chains(chained: DataFrame, s: Surface, c: Config, least: float, source:
 def extract(s: Surface, c: Config, stage: int = 0) -> DataFrame:
     """Platforms, their crest and toe cells, chains and lines; then lines from seeded step edges."""
     mask = s.dsm.where(F.col("slope") < c.platform_slope_deg).select("row", "col")
-    mask = raster.opening(raster.closing(mask, raster.disk(2)), raster.disk(1))
+    mask = raster.opening(raster.closing(mask, raster.disk(2), s.nx, s.ny), raster.disk(1), s.nx, s.ny)
     mask = cut(components.remove_small(cut(mask), c.min_platform_px))
     labels = cut(components.labels(mask))
-    edges = raster.ray_edges(labels, s.dsm, c.ray_m, c.grid_res_m, c.min_step_drop_m)
+    edges = raster.ray_edges(labels, s.dsm, c.ray_m, c.grid_res_m, c.min_step_drop_m, boxed=c.rays_in_box)
     kinds = F.explode(F.array_compact(F.array(F.when(F.col("crest"), "crest"), F.when(F.col("toe"), "toe"))))
-    chained = selection.chains(edges.select("label", kinds.alias("type"), "row", "col"), ["label", "type"], c.min_arc_px)
+    chained = selection.chains(edges.select("label", kinds.alias("type"), "row", "col"), ["label", "type"], c.min_arc_px, c.unsorted_steps)
     ident = (F.lit(stage) * (1 << 56)) + F.col("label") * (1 << 24) + F.col("chain") * 2 + F.when(F.col("type") == "toe", 1).otherwise(0)
     lines = cut(from_chains(chained, s, c, c.min_line_m, "platform_boundary", ident))
     if not c.edge_seed_enabled:
@@ -100,7 +102,7 @@ def extract(s: Surface, c: Config, stage: int = 0) -> DataFrame:
         for kind in ("crest", "toe"):
             part = components.remove_small(fresh.where(F.col("type") == kind).select("row", "col"), get("min_px", c.edge_seed_min_px))
             part = part.withColumns({"label": F.lit(k).cast("bigint"), "type": F.lit(kind)})
-            chained = selection.chains(part, ["label", "type"], get("min_px", c.edge_seed_min_px))
+            chained = selection.chains(part, ["label", "type"], get("min_px", c.edge_seed_min_px), c.unsorted_steps)
             seeded = from_chains(chained, s, c, get("min_line_m", c.edge_seed_min_line_m), "edge_seed", F.lit(1 << 55) + ident)
             lines = cut(lines.unionByName(seeded.withColumn("seed_region", F.lit(k))))
     return lines

@@ -30,6 +30,10 @@ slopes AS (SELECT "row", col, z, round(degrees(atan(sqrt(gx*gx+gy*gy))),4) slope
 MASK = 'mask AS (SELECT "row", col FROM slopes WHERE slope < 10)'
 
 
+FULL = """dims AS (SELECT any_value(nx) nx, any_value(ny) ny FROM cells), full_ AS (SELECT r::INT "row", c::INT col FROM dims, range(ny) a(r), range(nx) b(c))"""
+STEEP = 'steep AS (SELECT "row", col FROM slopes WHERE slope >= 30)'
+
+
 def disk_sql(radius: float) -> str:
     k = int(radius)
     return f"(SELECT dr::INT dr, dc::INT dc FROM range({-k},{k + 1}) a(dr), range({-k},{k + 1}) b(dc) WHERE dr*dr+dc*dc <= {radius * radius})"
@@ -47,7 +51,13 @@ def half(spark, d, colour=False):
 def cells(spark, d):
     """(row, col, z, cnt, nx, ny), heights to the micrometre."""
     c, meta = grid.build(points(spark, d), RES)
-    return c.withColumn("z", F.round("z", 6)).crossJoin(F.broadcast(meta.select("nx", "ny")))
+    return sized(c.withColumn("z", F.round("z", 6)), meta)
+
+
+def sized(cells, meta):
+    """Cells with the grid's nx and ny as literals."""
+    m = meta.first()
+    return cells.withColumns({n: F.lit(m[n] if m else None).cast("int") for n in ("nx", "ny")})
 
 
 def slopes(spark, d):
@@ -91,7 +101,7 @@ def q_cell_count(spark, d):
 
 @register("q_cell_rgb", f'WITH {BASE} SELECT "row", col, round(red,6) red, round(green,6) green, round(blue,6) blue FROM cells')
 def q_cell_rgb(spark, d):
-    out = grid.blocks(half(spark, d, True), True)
+    out, _ = grid.build(points(spark, d), RES, True)
     return out.select("row", "col", *(F.round(c, 6).alias(c) for c in ("red", "green", "blue")))
 
 
@@ -145,6 +155,19 @@ def q_open(spark, d):
     return raster.opening(mask(spark, d), raster.disk(1))
 
 
+_GROW = 'SELECT DISTINCT m."row"-o.dr "row", m.col-o.dc col FROM {m} m, {k} o, dims WHERE m."row"-o.dr BETWEEN 0 AND ny-1 AND m.col-o.dc BETWEEN 0 AND nx-1'
+_SHRINK = 'SELECT "row", col FROM full_ EXCEPT SELECT f."row", f.col FROM full_ f, {k} o, dims WHERE f."row"+o.dr BETWEEN 0 AND ny-1 AND f.col+o.dc BETWEEN 0 AND nx-1 AND (f."row"+o.dr, f.col+o.dc) NOT IN (SELECT ("row", col) FROM {m})'
+
+
+@register("q_clean_mask", f"WITH {BASE}, {SLOPE}, {MASK}, {FULL}, g1 AS ({_GROW.format(m='mask', k=disk_sql(2))}), g2 AS ({_SHRINK.format(m='g1', k=disk_sql(2))}), g3 AS ({_SHRINK.format(m='g2', k=disk_sql(1))}) {_GROW.format(m='g3', k=disk_sql(1))}")
+def q_clean_mask(spark, d):
+    """Closing by two cells, then opening by one, the grid's edges not eroded."""
+    c = components.cut(slopes(spark, d).join(cells(spark, d).select("row", "col", "nx", "ny"), ["row", "col"]))
+    m = c.select("nx", "ny").first()
+    nx, ny = (m.nx, m.ny) if m else (0, 0)
+    return raster.opening(raster.closing(c.where("slope < 10").select("row", "col"), raster.disk(2), nx, ny), raster.disk(1), nx, ny)
+
+
 @register("q_region", f"WITH {BASE} {_DIL.format(m='cells', k=disk_sql(3))}")
 def q_region(spark, d):
     return raster.region(cells(spark, d), 3.0)
@@ -168,15 +191,40 @@ def q_gauss(spark, d):
     return raster.gaussian(cells(spark, d), 1.0).withColumn("z", F.round("z", 5))
 
 
-@register("q_edt", f'WITH {BASE}, {SLOPE}, steep AS (SELECT "row", col FROM slopes WHERE slope >= 30), f AS (SELECT s."row"-o.dr "row", s.col-o.dc col, min(o.dr*o.dr+o.dc*o.dc) d2 FROM steep s, {disk_sql(12)} o GROUP BY 1,2) SELECT c."row", c.col, f.d2::BIGINT d2 FROM cells c LEFT JOIN f ON f."row"=c."row" AND f.col=c.col')
+# per column the nearest set row above and below, then the least over the columns of a row
+APART = """vert AS (SELECT f."row", f.col, max(s."row") OVER (PARTITION BY f.col ORDER BY f."row") up, min(s."row") OVER (PARTITION BY f.col ORDER BY f."row" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) dn FROM full_ f LEFT JOIN {m} s ON s."row"=f."row" AND s.col=f.col),
+pick AS (SELECT "row", col, CASE WHEN up IS NOT NULL AND (dn IS NULL OR "row"-up<=dn-"row") THEN up ELSE dn END sr FROM vert)"""
+
+
+@register("q_edt", f'WITH {BASE}, {SLOPE}, {FULL}, {STEEP}, {APART.format(m="steep")}, f AS (SELECT a."row", a.col, min((b.sr-a."row")*(b.sr-a."row")+(b.col-a.col)*(b.col-a.col)) d2 FROM cells a JOIN pick b ON b."row"=a."row" WHERE b.sr IS NOT NULL GROUP BY 1,2) SELECT c."row", c.col, f.d2::BIGINT d2 FROM cells c LEFT JOIN f ON f."row"=c."row" AND f.col=c.col')
 def q_edt(spark, d):
-    s = slopes(spark, d)
-    every = cells(spark, d).select("row", "col")
-    # the transform needs every cell of the grid, also those without a value
-    meta = cells(spark, d).select("nx", "ny").limit(1)
-    full = meta.select(F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("row"), "nx").select("row", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("col"))
-    out = raster.distance(s.where("slope >= 30"), full, 12)
-    return out.join(every, ["row", "col"], "left_semi").select("row", "col", F.col("d2").cast("bigint").alias("d2"))
+    """Squared distance to the nearest steep cell, however far."""
+    s = components.cut(slopes(spark, d).join(cells(spark, d).select("row", "col", "nx", "ny"), ["row", "col"]))
+    m = s.select("nx", "ny").first()
+    if m is None:
+        return s.select("row", "col", F.lit(None).cast("bigint").alias("d2"))
+    far = raster.nearest(s.where("slope >= 30").select(F.lit(0).alias("kind"), "row", "col"), m.nx, m.ny).select("row", "col", "d2")
+    return s.select("row", "col").join(far, ["row", "col"], "left")
+
+
+@register("q_nearest_any", f'WITH {BASE}, {FULL}, {APART.format(m="cells")}, f AS (SELECT a."row", a.col, min((b.sr-a."row")*(b.sr-a."row")+(b.col-a.col)*(b.col-a.col)) d2, arg_min((b.sr, b.col), ((b.sr-a."row")*(b.sr-a."row")+(b.col-a.col)*(b.col-a.col), b.sr, b.col)) s FROM full_ a JOIN pick b ON b."row"=a."row" WHERE b.sr IS NOT NULL GROUP BY 1,2) SELECT f."row", f.col, f.d2::BIGINT d2, c.z FROM f JOIN cells c ON c."row"=f.s[1] AND c.col=f.s[2]')
+def q_nearest_any(spark, d):
+    """Every cell of the grid with the height of the nearest known one, however far (ties: the least row, col)."""
+    c = components.cut(cells(spark, d))
+    m = c.select("nx", "ny").first()
+    known = c.select("row", "col", "z")
+    if m is None:
+        return known.select("row", "col", F.lit(None).cast("bigint").alias("d2"), "z")
+    near = raster.nearest(known.select(F.lit(0).alias("kind"), "row", "col"), m.nx, m.ny)
+    return near.join(known.select(F.col("row").alias("sr"), F.col("col").alias("sc"), "z"), ["sr", "sc"]).select("row", "col", "d2", "z")
+
+
+@register("q_gauss_mirror", f'WITH {BASE}, o AS (SELECT k::INT k, ({_W})[k+5] w FROM range(-4,5) t(k)), m1 AS (SELECT c."row", c.col, w, CASE WHEN c."row"+k<0 THEN -1-c."row"-k WHEN c."row"+k>=ny THEN 2*ny-1-c."row"-k ELSE c."row"+k END sr FROM cells c, o), g1 AS (SELECT m."row", m.col, sum(w*s.z)/sum(w) z, any_value(s.nx) nx FROM m1 m JOIN cells s ON s."row"=sr AND s.col=m.col GROUP BY 1,2), m2 AS (SELECT c."row", c.col, w, CASE WHEN c.col+k<0 THEN -1-c.col-k WHEN c.col+k>=nx THEN 2*nx-1-c.col-k ELSE c.col+k END sc FROM g1 c, o) SELECT m."row", m.col, round(sum(w*s.z)/sum(w),5) z FROM m2 m JOIN g1 s ON s."row"=m."row" AND s.col=sc GROUP BY 1,2')
+def q_gauss_mirror(spark, d):
+    """Gaussian smoothing with the grid mirrored at its edges."""
+    c = components.cut(cells(spark, d))
+    m = c.select("nx", "ny").first()
+    return raster.gaussian(c, 1.0, m and m.nx, m and m.ny).withColumn("z", F.round("z", 5))
 
 
 RUNS = """runs AS (SELECT "row"*2147483648+min(col) run, "row", min(col) c0, max(col) c1 FROM (SELECT "row", col, col-row_number() OVER (PARTITION BY "row" ORDER BY col) g FROM mask) GROUP BY "row", g),
@@ -208,6 +256,15 @@ def q_component_bbox(spark, d):
     return components.boxes(labelled(spark, d))
 
 
+_RUNS4 = RUNS.replace("a.c0<=b.c1+1 AND b.c0<=a.c1+1", "a.c0<=b.c1 AND b.c0<=a.c1")
+
+
+@register("q_remove_small", f'WITH RECURSIVE {BASE}, {SLOPE}, {MASK}, {_RUNS4} SELECT "row", col FROM labelled WHERE label IN (SELECT label FROM labelled GROUP BY label HAVING count(*)>=80)')
+def q_remove_small(spark, d):
+    """The platforms without 4-connected parts of fewer than 80 cells."""
+    return components.remove_small(components.cut(mask(spark, d)), 80)
+
+
 _NB = "(SELECT dr::INT dr, dc::INT dc FROM range(-1,2) a(dr), range(-1,2) b(dc))"
 _BDY = f'bdy AS (SELECT l."row", l.col, l.label FROM labelled l, {_NB} o JOIN labelled n ON true WHERE n."row"=l."row"+o.dr AND n.col=l.col+o.dc AND n.label=l.label GROUP BY 1,2,3 HAVING count(*)<9)'
 
@@ -231,6 +288,15 @@ def q_ray_edges(spark, d):
     return raster.ray_edges(labelled(spark, d), cells(spark, d), drop=2.0)
 
 
+_BOX = 'box AS (SELECT label, min("row") row0, max("row") row1, min(col) col0, max(col) col1 FROM labelled GROUP BY label)'
+
+
+@register("q_ray_edges_boxed", SQL["q_ray_edges"].replace(", p AS (SELECT b.", f", {_BOX}, p AS (SELECT b.", 1).replace("WHERE l.label IS NULL OR l.label<>p.label", 'JOIN box x ON x.label=p.label WHERE (l.label IS NULL OR l.label<>p.label) AND p.sr BETWEEN x.row0 AND x.row1 AND p.sc BETWEEN x.col0 AND x.col1'))
+def q_ray_edges_boxed(spark, d):
+    """Crest and toe by rays that end at the component's bounding box."""
+    return raster.ray_edges(labelled(spark, d), cells(spark, d), drop=2.0, boxed=True)
+
+
 @register(
     "q_step_edges",
     f"""WITH {BASE}, {SLOPE}, p AS (SELECT c."row", c.col, c.z zc, o.dr, o.dc, c."row"+o.dr*k sr, c.col+o.dc*k sc FROM slopes c, {_DIRS} o, (VALUES (2),(3),(4),(5)) r(k) WHERE c.slope<=25),
@@ -243,6 +309,30 @@ def q_step_edges(spark, d):
     return raster.step_edges(slopes(spark, d), drop=2.0)
 
 
+@register("q_cell_rgb_plain", f'WITH {PTS}, {BND}, {HALF} SELECT "row"//2 "row", col//2 col, round(sum(red/cnt)/4,6) red, round(sum(green/cnt)/4,6) green, round(sum(blue/cnt)/4,6) blue FROM half WHERE "row"<(ny//2)*2 AND col<(nx//2)*2 GROUP BY 1,2')
+def q_cell_rgb_plain(spark, d):
+    """Colour as the plain mean of the four half cells, empty ones as 0."""
+    out, _ = grid.build(points(spark, d), RES, True, compat=True)
+    return out.select("row", "col", *(F.round(c, 6).alias(c) for c in ("red", "green", "blue")))
+
+
+@register("q_cell_centre", f'WITH {BASE} SELECT c."row", c.col, round(xmin+(c.col+0.5)*1.0,6)::DOUBLE x, round(ymax-(c."row"+0.5)*1.0,6)::DOUBLE y FROM cells c, bnd')
+def q_cell_centre(spark, d):
+    """The cells' centres in metres."""
+    c, meta = grid.build(points(spark, d), RES)
+    m = meta.first()
+    x, y = grid.centre(F.col("row"), F.col("col"), m.xmin if m else 0.0, m.ymax if m else 0.0, RES)
+    return c.select("row", "col", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@register("q_seed_fresh", f'WITH {BASE}, {SLOPE}, {STEEP}, around AS (SELECT DISTINCT s."row"-o.dr "row", s.col-o.dc col FROM steep s, {disk_sql(4)} o) SELECT "row", col FROM slopes WHERE slope < 10 EXCEPT SELECT "row", col FROM around')
+def q_seed_fresh(spark, d):
+    """Cells of one mask that are not within four cells of another."""
+    s = components.cut(slopes(spark, d))
+    near = raster.dilate(s.where("slope >= 30").select("row", "col"), raster.disk(4))
+    return s.where("slope < 10").select("row", "col").join(near, ["row", "col"], "left_anti")
+
+
 @register("q_seed_rect", f'WITH {BASE} SELECT "row", col, z FROM cells WHERE "row">=18 AND "row"<74 AND col>=34 AND col<114')
 def q_seed_rect(spark, d):
     return raster.in_rectangle(cells(spark, d), (112.0, 103.8, 32.0, 48.8), -2.0, 121.9, RES).select("row", "col", "z")

@@ -1,4 +1,5 @@
 import heapq
+import math
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cresthaven.operators import components, grid, polyline, raster, routing, selection
+from cresthaven.operators import components, grid, polyline, raster, routing, selection, spatial
 from cresthaven.plans import outputs
 from cresthaven.plans.config import Config, checked_request
 from cresthaven.plans.pipeline import Surface, distances, edt, routed
@@ -139,6 +140,51 @@ def test_thin_keeps_distance(spark):
     assert max(rows, key=lambda x: x[6])[0] in {k[0] for k in kept}
 
 
+def test_thin_in_rounds_equals_the_sorted_walk(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice(["crest", "toe"]), r.randrange(30), 50 + r.randrange(30), r.random() * 150, r.random() * 150, r.randrange(60) / 60) for i in range(400)]
+    df = spark.createDataFrame(rows, "cid bigint, type string, first_line bigint, second_line bigint, mx double, my double, score double")
+    want, pairs = [], set()
+    for i, kind, a, b, x, y, _ in sorted(rows, key=lambda v: (-v[6], v[0])):
+        if (a, b) not in pairs and all(kind != k or np.hypot(x - u, y - v) >= 12 for k, u, v in want_places(want, rows)):
+            want.append(i)
+            pairs.add((a, b))
+    assert [x.cid for x in selection.thin(df, 12.0, 1000).orderBy("rank").collect()] == want
+    assert [x.cid for x in selection.thin(df, 12.0, 20, at_once=30).orderBy("rank").collect()] == want[:20]
+    assert selection.thin(df.limit(0), 12.0, 20).count() == 0
+
+
+def want_places(chosen, rows):
+    return [(rows[i][1], rows[i][4], rows[i][5]) for i in chosen]
+
+
+def test_simplify_of_odd_lines():
+    p = np.array([(0.0, 0), (1, 3), (2, -3), (3, 3), (0, 0)])
+    assert polyline.simplify(p, 0.5).tolist() == [0, 1, 2, 3, 4] and polyline.simplify(p, 100).tolist() == [0, 4]
+    assert polyline.simplify(p[:1], 1).tolist() == [0] and polyline.simplify(p[:0], 1).tolist() == [] and polyline.simplify(p[:2], 1).tolist() == [0, 1]
+    assert polyline.simplify(np.array([(0.0, 0), (1, 2), (2, 2), (3, 0)]), 1.0).tolist() == [0, 1, 3]
+
+
+def test_close_samples_in_dense_buckets(spark, monkeypatch):
+    """Dense buckets are dealt over parts; pairs and nearest samples stay those of a plain search."""
+    r = random.Random(8)
+    rows = [(r.randrange(8), r.choice(["crest", "toe"]), k, r.gauss(0, 6), r.gauss(0, 6)) for k in range(300)]
+    df = spark.createDataFrame(rows, "line_id bigint, type string, k bigint, x double, y double")
+    want, near = set(), {}
+    for a, t, k, x, y in rows:
+        for b, u, k2, v, w in rows:
+            d = math.sqrt((v - x) * (v - x) + (w - y) * (w - y))
+            if t == u and a != b and d <= 2.5:
+                want.add((min(a, b), max(a, b)))
+                near[t, a, k, b] = min(near.get((t, a, k, b), (9.0, 0)), (d, k2))
+    for largest in (4096, 7):
+        monkeypatch.setattr(spatial, "LARGEST", largest)
+        assert {(p.first, p.second) for p in spatial.proximity(df, 2.5).collect()} == want
+        got = spatial.nearest_samples(df, 2.5).collect()
+        assert len(got) == len(near) and {(p.type, p.first, p.k, p.second): (p.d, p.k2) for p in got} == near
+    assert spatial.proximity(df.limit(0), 2.5).count() == 0
+
+
 def test_chain_walks_everything_once():
     cells = pd.DataFrame([(0, c) for c in range(10)] + [(5, c) for c in range(3)], columns=["row", "col"])
     found = selection.chain(cells, 1)
