@@ -40,6 +40,8 @@ FILES = pa.schema([("low", pa.int64()), ("high", pa.int64()), ("name", pa.string
 IDS = [("key", "<u8"), ("id", "<i8")]
 WORDS = [("key", "<u8"), ("count", "<i8"), ("lower", "<f8"), ("backoff", "<f8")]
 BIGRAMS = [("key", "<u8"), ("c", "<u4")]
+WIDE = [("key", "<u8"), ("c", "<u8")]  # of files, named w..., with a count beyond 32 bits
+MOST_WORDS = 2**32 - 2  # numbers of words fit in half of a pair's key
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -118,11 +120,11 @@ def _file_system(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
-def _write(folder: str, columns: list[np.ndarray]) -> pa.RecordBatch:
+def _write(folder: str, columns: list[np.ndarray], prefix: str = "") -> pa.RecordBatch:
     """Write arrays one after the other, keys (sorted) first; the file's name appears when it is whole, so a task that is run again does no harm."""
     fs, path = _file_system(folder)
     fs.create_dir(path, recursive=True)
-    name = uuid.uuid4().hex
+    name = prefix + uuid.uuid4().hex
     with fs.open_output_stream(f"{path}/_{name}") as f:
         for c in columns:
             f.write(memoryview(np.ascontiguousarray(c)).cast("B"))
@@ -197,12 +199,12 @@ def _map(folder: str, name: str, kind) -> dict[str, np.ndarray]:
 
 def look_up(folder: str, files: list, kind, wanted: np.ndarray, fields: list[str], missing: int = 0) -> list[np.ndarray]:
     """For sorted distinct keys the fields' values, ``missing`` where there is none."""
-    out = [np.full(len(wanted), missing, dict(kind)[f]) for f in fields]
+    out = [np.full(len(wanted), missing, dict(WIDE if kind is BIGRAMS else kind)[f]) for f in fields]
     for low, high, name in files:
         lo, hi = np.searchsorted(wanted, np.uint64(low)), np.searchsorted(wanted, np.uint64(high), side="right")
         if lo == hi:
             continue
-        a = _map(folder, name, kind)
+        a = _map(folder, name, WIDE if name.startswith("w") else kind)
         keys = a["key"]
         at = np.minimum(np.searchsorted(keys, wanted[lo:hi]), len(keys) - 1)
         known = keys[at] == wanted[lo:hi]
@@ -266,7 +268,8 @@ def _pair_files(folder: str, width: int):
         zero = np.zeros(len(word), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n), *(pa.array(zero) for _ in range(5)), *(blank(len(word), f.type) for f in FILES)], schema=schema)
         for s, e in _pieces(v // width):
-            file = _write(folder, [key[s:e], np.minimum(c[s:e], 2**32 - 1).astype("<u4")])
+            wide = int(c[s:e].max()) >= 2**32
+            file = _write(folder, [key[s:e], c[s:e].astype("<u8" if wide else "<u4")], "w" if wide else "")
             yield pa.RecordBatch.from_arrays([*(blank(1, pa.int64()) for _ in STATS), *file.columns], schema=schema)
 
     return run
@@ -291,7 +294,7 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Count and write the model of all texts of ``docs`` (text); null counts as empty, no text at all gives an empty model.
 
-    Word numbers have 32 bits: up to four thousand million different words.
+    Word numbers have 32 bits: over ``MOST_WORDS`` different words are refused.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -308,6 +311,8 @@ def train(docs: DataFrame) -> Model:
     pairs = texts.mapInArrow(_pair_counts(folder, ids), "v bigint, w bigint, c bigint")
     top = counted.agg(F.sum("count").alias("tokens"), F.count("*").alias("v")).first()
     vocabulary = top.v or 0
+    if vocabulary > MOST_WORDS:
+        raise ValueError(f"{vocabulary} different words; at most {MOST_WORDS} have numbers")
     width = vocabulary // parts + 1  # numbers 0 (the beginning) to vocabulary, in ``parts`` ranges
     ranged = _dealt(pairs.withColumn("part", F.floor(F.col("v") / width).cast("int")), "part", parts)
     dealt = ranged.mapInArrow(_pair_files(folder, width), "id bigint, n bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint, low bigint, high bigint, name string")

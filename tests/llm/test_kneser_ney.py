@@ -89,3 +89,28 @@ def test_counter_hands_over_and_loses_nothing():
     for a, b in zip(*(c.rest() or ([], []))):
         got[a] += b
     assert got.total() == 5000 and c_seen
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    """A pair counted more often than 32 bits hold keeps its count."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cresthaven.llm import kneser_ney as K
+
+    big = 2**32 + 5
+    rows = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([0, 1, 1], [1, 2, 2], [3, 2**32, 5])], schema=K.PAIRS)
+    out = pa.Table.from_batches(list(K._pair_files(str(tmp_path), 10)(iter([rows])))).to_pylist()
+    (file,) = [(r["low"], r["high"], r["name"]) for r in out if r["name"]]
+    keys = np.array([1, (1 << 32) | 2, (1 << 32) | 3], np.uint64)
+    assert K.look_up(str(tmp_path), [file], K.BIGRAMS, keys, ["c"])[0].tolist() == [3, big, 0]
+
+
+def test_too_many_words_are_refused(spark, monkeypatch):
+    import pytest
+
+    from cresthaven.llm import kneser_ney as K
+
+    monkeypatch.setattr(K, "MOST_WORDS", 3)
+    with pytest.raises(ValueError):
+        K.train(spark.createDataFrame([("a b c d e",)], "text string"))
