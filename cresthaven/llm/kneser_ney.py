@@ -10,8 +10,8 @@ where n(w) is the number of different histories of w (lower order), and V + 1 le
 history never seen passes all its mass to p(w).
 
 1. Tasks count hashed words of their rows, Spark adds the counts up; words get dense numbers by hash range.
-2. Tasks count pairs of word numbers, Spark deals them by history; each task adds its histories' pairs up and writes
-   them as a sorted array.  What follows of histories and words goes into one more sum.
+2. Tasks count pairs of word numbers, Spark deals them by history, those of a history with over a task's share of the
+   tokens by the word that follows too; each task adds its pairs up and writes them as a sorted array.  What follows of histories and words goes into one more sum.
 3. Everything lies as sorted arrays in the shared folder.  Tasks map these files into memory and look up by binary
    search, so that neither the driver nor a worker holds the model.
 """
@@ -24,15 +24,16 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch, held_out, own_dir, release, utf8, written
+from .common import batch, held_out, own_dir, release, written
 
-END, BEGIN = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (b"\n", b"\n\n"))  # no word holds white space
+END = np.uint64(xxhash.xxh64_intdigest(b"\n", 42))  # no word holds white space
 COUNTS = pa.schema([("hash", pa.int64()), ("c", pa.int64())])
 PAIRS = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("c", pa.int64())])
 STATS = pa.schema([("id", pa.int64()), ("n", pa.int64()), *((f"n{k}", pa.int64()) for k in (1, 2, 3, 4)), ("more", pa.int64())])
@@ -41,36 +42,45 @@ IDS = [("key", "<u8"), ("id", "<i8")]
 WORDS = [("key", "<u8"), ("count", "<i8"), ("lower", "<f8"), ("backoff", "<f8")]
 BIGRAMS = [("key", "<u8"), ("c", "<u4")]
 WIDE = [("key", "<u8"), ("c", "<u8")]  # of files, named w..., with a count beyond 32 bits
+LEAST_HOT = 100_000  # a word with fewer tokens is no hot history
 MOST_WORDS = 2**32 - 2  # numbers of words fit in half of a pair's key
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-class Hasher:
-    """Words -> XXH64 (seed 42), remembering up to ``most``."""
-
-    def __init__(self, most: int = 300_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes of all tokens, ends included; the place after each text's end)."""
-        words = [t.lower().split() for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh64_intdigest
-        ends = np.cumsum(np.array([len(w) + 1 for w in words], np.int64))
-        out = np.full(int(ends[-1]) if len(ends) else 0, END, np.uint64)
-        for ws, e in zip(words, ends.tolist()):
-            if ws:
-                try:
-                    h = list(map(known.__getitem__, ws))
-                except KeyError:
-                    for w in set(ws):
-                        if w not in known:
-                            known[w] = digest(w, 42)
-                    h = list(map(known.__getitem__, ws))
-                out[e - 1 - len(ws) : e - 1] = h
-        return out, ends
+def _slices(column: pa.Array, most: int = 8 << 20):
+    """Slices of at most ``most`` bytes of text, or of one text that is longer."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)).astype(np.int64))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, column.slice(at, to - at)
+        at = to
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted XXH64 values (seed 42) of the different tokens, the place among them of every token, ends included; the place after each text's end).
+
+    Arrow lower-cases A-Z, splits at ASCII white space and finds the different words; only these are hashed one by one.
+    """
+    low = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    lists = pc.ascii_split_whitespace(low)
+    offsets = lists.offsets.to_numpy()
+    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    words, codes = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+    empty = pc.equal(low, "").to_numpy(zero_copy_only=False).astype(np.int64)  # an empty text has one word, the empty one
+    if empty.any():
+        codes = codes[codes != words.index(b"")]
+    digest = xxhash.xxh64_intdigest
+    kinds, place = np.unique(np.array([*(digest(w, 42) for w in words), int(END)], np.uint64), return_inverse=True)
+    ends = np.cumsum(np.diff(offsets) - empty + 1)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    last = np.zeros(len(out), bool)
+    last[ends - 1] = True
+    out[last], out[~last] = place[len(words)], place[codes]
+    if empty.any():  # the empty word is no token
+        used = np.unique(out)
+        kinds, out = kinds[used], np.searchsorted(used, out)
+    return kinds, out, ends
 
 
 def _combine(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +97,10 @@ class Counter:
     def __init__(self, most: int = 1 << 21):
         self.keys, self.counts, self.n, self.most = [], [], 0, most
 
-    def add(self, keys: np.ndarray):
-        k, c = np.unique(keys, return_counts=True)
+    def add(self, k: np.ndarray, c: np.ndarray | None = None):
+        """Keys, or different keys with their counts."""
+        if c is None:
+            k, c = np.unique(k, return_counts=True)
         self.keys.append(k)
         self.counts.append(c)
         self.n += len(k)
@@ -105,12 +117,11 @@ class Counter:
 
 
 def _word_counts(batches):
-    hashes, counter = Hasher(), Counter()
+    counter = Counter()
     for b in batches:
-        texts = utf8(b.column("text"))
-        for at in range(0, len(texts), 512):
-            part = hashes(texts[at : at + 512])[0]
-            if len(part) and (full := counter.add(part)):
+        for _, texts in _slices(b.column("text")):
+            kinds, back, _ = tokens(texts)
+            if full := counter.add(kinds, np.bincount(back, minlength=len(kinds))):
                 yield batch(COUNTS, full[0].view(np.int64), full[1])
     if full := counter.rest():
         yield batch(COUNTS, full[0].view(np.int64), full[1])
@@ -224,18 +235,14 @@ def _histories(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _pair_counts(folder: str, files: list):
     def run(batches):
-        hashes, counter = Hasher(), Counter()
+        counter = Counter()
 
         def rows(full):
             return batch(PAIRS, (full[0] >> np.uint64(32)).astype(np.int64), (full[0] & np.uint64(0xFFFFFFFF)).astype(np.int64), full[1])
 
         for b in batches:
-            texts = utf8(b.column("text"))
-            for at in range(0, len(texts), 512):
-                h, ends = hashes(texts[at : at + 512])
-                if not len(h):
-                    continue
-                kinds, back = np.unique(h, return_inverse=True)
+            for _, texts in _slices(b.column("text")):
+                kinds, back, ends = tokens(texts)
                 ids = look_up(folder, files, IDS, kinds, ["id"])[0][back]
                 v, _ = _histories(ids, ends)
                 if full := counter.add(v.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)):
@@ -246,7 +253,35 @@ def _pair_counts(folder: str, files: list):
     return run
 
 
-def _pair_files(folder: str, width: int):
+class Ranges:
+    """Which range a pair belongs to: ranges of histories, and for each hot history ranges of its own of what follows."""
+
+    def __init__(self, width: int, words: int, parts: int, hot: list[tuple[int, int]]):
+        """``hot``: (history, number of its ranges), at most as many as ``parts``."""
+        self.width, self.words, self.hot = width, words, sorted(hot)
+        sizes = np.array([n for _, n in self.hot], np.int64)
+        self.ids, self.sizes, self.first = np.array([i for i, _ in self.hot], np.int64), sizes, parts + np.cumsum(sizes) - sizes
+        self.parts = parts + int(sizes.sum())
+
+    def of(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        out = v // self.width
+        if self.hot:
+            k = np.minimum(np.searchsorted(self.ids, v), len(self.ids) - 1)
+            own = self.ids[k] == v
+            out[own] = self.first[k[own]] + w[own] * self.sizes[k[own]] // (self.words + 1)
+        return out
+
+    def dealt(self, pairs: DataFrame) -> DataFrame:
+        part = F.floor(F.col("v") / self.width)
+        if self.hot:
+            rows = [(int(i), int(f), int(n)) for i, f, n in zip(self.ids, self.first, self.sizes)]
+            hot = F.broadcast(pairs.sparkSession.createDataFrame(rows, "v bigint, _first bigint, _n bigint"))
+            pairs = pairs.join(hot, "v", "left")
+            part = F.coalesce(F.col("_first") + F.expr(f"w * _n div {self.words + 1}"), part)
+        return _dealt(pairs.select("v", "w", "c", part.cast("int").alias("part")), "part", self.parts)
+
+
+def _pair_files(folder: str, ranges: Ranges):
     """Add up a partition's pairs, write them, and pass on: of each history how many pairs it has once, twice, ..., of each word its histories."""
     schema = pa.schema([*STATS, *FILES])
 
@@ -267,7 +302,7 @@ def _pair_files(folder: str, width: int):
         word, n = np.unique(w, return_counts=True)
         zero = np.zeros(len(word), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n), *(pa.array(zero) for _ in range(5)), *(blank(len(word), f.type) for f in FILES)], schema=schema)
-        for s, e in _pieces(v // width):
+        for s, e in _pieces(ranges.of(v, w)):
             wide = int(c[s:e].max()) >= 2**32
             file = _write(folder, [key[s:e], c[s:e].astype("<u8" if wide else "<u4")], "w" if wide else "")
             yield pa.RecordBatch.from_arrays([*(blank(1, pa.int64()) for _ in STATS), *file.columns], schema=schema)
@@ -314,8 +349,14 @@ def train(docs: DataFrame) -> Model:
     if vocabulary > MOST_WORDS:
         raise ValueError(f"{vocabulary} different words; at most {MOST_WORDS} have numbers")
     width = vocabulary // parts + 1  # numbers 0 (the beginning) to vocabulary, in ``parts`` ranges
-    ranged = _dealt(pairs.withColumn("part", F.floor(F.col("v") / width).cast("int")), "part", parts)
-    dealt = ranged.mapInArrow(_pair_files(folder, width), "id bigint, n bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint, low bigint, high bigint, name string")
+    # the beginning has as many tokens as there are texts
+    share = max((top.tokens or 0) // parts, LEAST_HOT)
+    hot = [(r.id, -(-r["count"] // share)) for r in numbered.where(F.col("count") > share).select("id", "count").collect()]  # at most ``parts`` rows
+    begins = counted.where(F.col("hash") == F.lit(int(END.view(np.int64)))).select("count").first()
+    if begins and begins[0] > share:
+        hot.append((0, -(-begins[0] // share)))
+    ranges = Ranges(width, vocabulary, parts, hot)
+    dealt = ranges.dealt(pairs).mapInArrow(_pair_files(folder, ranges), "id bigint, n bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint, low bigint, high bigint, name string")
     found = written(dealt, "pairs")
     files = _files(found.where("name is not null").collect())
     names = ["n", "n1", "n2", "n3", "n4", "more"]
@@ -327,8 +368,7 @@ def train(docs: DataFrame) -> Model:
     floor = freed_low / n / (vocabulary + 1) if vocabulary else 1.0
     cut = F.when(F.col("n") == 1, low[0]).when(F.col("n") == 2, low[1]).otherwise(low[2])
     freed = F.col("n1") * d[0] + F.col("n2") * d[1] + (F.col("n3") + F.col("n4") + F.col("more")) * d[2]
-    documents = counted.where(F.col("hash") == F.lit(int(END.view(np.int64)))).select("count").first()
-    documents = documents[0] if documents else 0
+    documents = begins[0] if begins else 0
     start = sums.where("id = 0").select(freed.alias("b")).first()
     words = numbered.join(sums, "id").select(F.col("id").alias("key"), "count", ((F.col("n") - cut) / n + floor).alias("lower"), F.when(F.col("n1") + F.col("n2") + F.col("n3") + F.col("n4") + F.col("more") > 0, freed / F.col("count")).otherwise(1.0).alias("backoff"))
     word_files = _by_range(words, F.floor(F.col("key") / width).cast("int"), folder, WORDS)
@@ -338,14 +378,11 @@ def train(docs: DataFrame) -> Model:
 
 def _score_rows(model: Model):
     def run(batches):
-        hashes = Hasher()
         base = np.log10(model.train_tokens + model.vocabulary + 1)
         d = np.array([0.0, *model.high])
         for b in batches:
-            texts = utf8(b.column("text"))
-            for at in range(0, len(texts), 512):
-                h, ends = hashes(texts[at : at + 512])
-                kinds, back = np.unique(h, return_inverse=True)
+            for at, texts in _slices(b.column("text")):
+                kinds, back, ends = tokens(texts)
                 kind_ids = look_up(model.folder, model.ids, IDS, kinds, ["id"])[0]
                 order = np.argsort(kind_ids)
                 count, lower, backoff = (np.zeros(len(kinds), x) for x in ("i8", "f8", "f8"))
@@ -367,7 +404,7 @@ def _score_rows(model: Model):
                 log = np.log10(high + weight * lower[back])
                 plain = (np.log10(count + 1.0) - base)[back]
                 add = lambda x: np.add.reduceat(x, starts)
-                yield batch(RESULT, b.column("doc_id").slice(at, 512), ends - starts, add(known[back].astype(np.int64)), add(plain), add(log))
+                yield batch(RESULT, b.column("doc_id").slice(at, len(texts)), ends - starts, add(known[back].astype(np.int64)), add(plain), add(log))
 
     return run
 

@@ -100,7 +100,7 @@ def test_counts_beyond_32_bits(tmp_path):
 
     big = 2**32 + 5
     rows = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([0, 1, 1], [1, 2, 2], [3, 2**32, 5])], schema=K.PAIRS)
-    out = pa.Table.from_batches(list(K._pair_files(str(tmp_path), 10)(iter([rows])))).to_pylist()
+    out = pa.Table.from_batches(list(K._pair_files(str(tmp_path), K.Ranges(10, 9, 1, []))(iter([rows])))).to_pylist()
     (file,) = [(r["low"], r["high"], r["name"]) for r in out if r["name"]]
     keys = np.array([1, (1 << 32) | 2, (1 << 32) | 3], np.uint64)
     assert K.look_up(str(tmp_path), [file], K.BIGRAMS, keys, ["c"])[0].tolist() == [3, big, 0]
@@ -114,3 +114,36 @@ def test_too_many_words_are_refused(spark, monkeypatch):
     monkeypatch.setattr(K, "MOST_WORDS", 3)
     with pytest.raises(ValueError):
         K.train(spark.createDataFrame([("a b c d e",)], "text string"))
+
+
+def test_hot_histories_are_split(spark, monkeypatch):
+    """Ranges of what follows a hot history lie in files of their own; scores stay the same."""
+    import random
+
+    from cresthaven.llm import kneser_ney as K
+
+    r = random.Random(5)
+    docs = spark.createDataFrame([(k, " ".join(r.choice(["the", "the", f"w{r.randrange(60)}"]) for _ in range(r.randrange(30)))) for k in range(120)], "doc_id bigint, text string")
+    plain = K.train(docs)
+    want = {x.doc_id: x.score for x in K.score(docs, plain).collect()}
+    monkeypatch.setattr(K, "LEAST_HOT", 5)
+    split = K.train(docs)
+    assert len(split.pairs) > len(plain.pairs)
+    assert {x.doc_id: x.score for x in K.score(docs, split).collect()} == want
+
+
+def test_tokens_are_words_at_ascii_white_space():
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    from cresthaven.llm import kneser_ney as K
+
+    texts = [" A  b ", "", None, "  ", "x\x0by\x1cz\x85 q r　", "É é a\tB\nb\r\x0c", "one"]
+    for some in (texts, texts[1:4], texts[:1], texts[-1:]):
+        kinds, back, ends = K.tokens(pa.array(some))
+        assert (np.diff(kinds.astype(object)) > 0).all() and set(back.tolist()) == set(range(len(kinds)))
+        want = [w for t in some for w in [*(t or "").encode().lower().split(), b"\n"]]
+        assert kinds[back].tolist() == [xxhash.xxh64_intdigest(w, 42) for w in want]
+        assert ends.tolist() == np.cumsum([len((t or "").encode().split()) + 1 for t in some]).tolist()
+    assert [(at, len(s)) for at, s in K._slices(pa.array(["aaa", None, "bb", "c" * 9, "d"]), 5)] == [(0, 3), (3, 1), (4, 1)]
