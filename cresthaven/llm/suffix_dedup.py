@@ -191,8 +191,8 @@ def multikey_quicksort(words: np.ndarray, small: int = 1024) -> np.ndarray:
     return order
 
 
-def _firsts(strings: list[bytes], owners: list[tuple], length: int):
-    """Every ``length``-byte string of each of ``strings``, with whether it is the first of its kind here.
+def _firsts(strings: list[bytes], doc: np.ndarray, key: np.ndarray, start: np.ndarray, length: int):
+    """Every ``length``-byte string of each of ``strings`` (of which doc, key and start are given), with whether it is the first of its kind here.
 
     Returns (index of the string's owner, offset within it, first).
     """
@@ -216,8 +216,7 @@ def _firsts(strings: list[bytes], owners: list[tuple], length: int):
     same[1:] = (words[order[1:]] == words[order[:-1]]).all(axis=1)
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(~same)
-    doc, key, start = (np.array(c, np.int64)[owner] for c in zip(*owners))
-    rank = np.lexsort((start + offset, key, doc, kind))
+    rank = np.lexsort((start[owner] + offset, key[owner], doc[owner], kind))
     fresh = np.ones(len(rank), bool)
     fresh[1:] = kind[rank[1:]] != kind[rank[:-1]]
     first = np.empty(len(rank), bool)
@@ -230,13 +229,15 @@ def _sorted_bucket(length: int, gram: int, at_once: int = 6000):
 
     def solve(rows, ends):
         strings = [b + s for s, b, *_ in rows]
-        owner, offset, first = _firsts(strings, [r[2:] for r in rows], length)
-        edge = np.fromiter((r[0][:gram] in ends for r in rows), bool, len(rows))[owner]
-        pick = np.flatnonzero(~first | edge)
-        o, x, f = owner[pick].tolist(), offset[pick].tolist(), first[pick].tolist()
+        doc, key, start = (np.array(c, np.int64) for c in zip(*(r[2:] for r in rows)))
+        owner, offset, first = _firsts(strings, doc, key, start, length)
+        places = lambda at: (doc[owner[at]], key[owner[at]], start[owner[at]] + offset[at])
+        again = np.flatnonzero(~first)
+        yield batch(FOUND, np.zeros(len(again), bool), pa.nulls(len(again), pa.binary()), *places(again))
+        edge = np.fromiter((r[0][:gram] in ends for r in rows), bool, len(rows))
+        at = np.flatnonzero(first & edge[owner])
         digest = xxhash.xxh3_128_digest
-        grams = [digest(strings[i][j : j + length]) if g else None for i, j, g in zip(o, x, f)]
-        return batch(FOUND, pa.array(f, pa.bool_()), grams, [rows[i][2] for i in o], [rows[i][3] for i in o], [rows[i][4] + j for i, j in zip(o, x)])
+        yield batch(FOUND, np.ones(len(at), bool), [digest(strings[i][j : j + length]) for i, j in zip(owner[at].tolist(), offset[at].tolist())], *places(at))
 
     def run(batches):
         rows = list({r[2:]: r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))}.values())  # repeated rows once
@@ -249,7 +250,7 @@ def _sorted_bucket(length: int, gram: int, at_once: int = 6000):
             hi = min(lo + at_once, len(rows))
             while hi < len(rows) and rows[hi][0][:gram] == rows[hi - 1][0][:gram]:
                 hi += 1
-            yield solve(rows[lo:hi], ends)
+            yield from solve(rows[lo:hi], ends)
             lo = hi
 
     return run
@@ -287,11 +288,12 @@ def _cut_rows(schema: pa.Schema, length: int, gram: int, keep: bool):
         for b in batches:
             texts = utf8(b.column("text"))
             none = [None] * len(texts)
-            marks = b.column("marks").to_pylist()
+            marks = b.column("marks")
+            values, ends = marks.values.to_numpy(), marks.offsets.to_numpy()
             out = []
-            for text, mark in zip(texts, marks):
-                mark = mark or ()
-                out.append(cut(text, *([m >> 2 for m in mark if m & 3 == k] for k in range(3)), length, gram))
+            for k, text in enumerate(texts):
+                mark = values[ends[k] : ends[k + 1]] if marks[k].is_valid else values[:0]
+                out.append(cut(text, *(mark[mark & 3 == kind] >> 2 for kind in range(3)), length, gram) if len(mark) else (text, 0, 0))
             more = [[None if t is None else k[0].decode("utf-8", "ignore") for t, k in zip(b.column("text").to_pylist(), out)]] if keep else [none]
             rest = [b.column(f.name) for f in list(schema)[:-5]]
             yield batch(schema, *rest, [len(t) for t in texts], [o[1] for o in out], [o[2] for o in out], [hashlib.sha256(o[0]).hexdigest() for o in out], *more)
