@@ -35,6 +35,35 @@ def bridge_score(support: Column, novelty: Column, ratio: Column) -> Column:
     return 0.55 * support + 0.35 * novelty + 0.10 * quality
 
 
+def link_score(cost: Column, gap: Column, cos: Column, edge_fraction: Column, mode: Column) -> Column:
+    """What links are ranked by within a mode: the path's cost a cell, the gap, bends and missing evidence; the least is best."""
+    return cost + 0.015 * gap + 0.35 * (1 - cos) - 0.45 * edge_fraction + F.when(mode == "geometry_inferred", 0.35).otherwise(0.0)
+
+
+def multiscale_confidence(edge_fraction: Column) -> Column:
+    return F.greatest(F.lit(0.20), F.least(F.lit(0.95), 0.62 + 0.30 * edge_fraction))
+
+
+def evidence_class(support: Column, novelty: Column, ratio: Column, c) -> Column:
+    """strong, weak or NULL, by a bridge's edge support, novelty and length ratio; ``c`` is a Config."""
+    limits = lambda a, b, m: (support >= a) & (novelty >= b) & (ratio <= m)
+    strong = limits(c.auto_gap_edge_support_2m_min, c.auto_gap_novelty_min, c.auto_gap_length_ratio_max)
+    weak = limits(c.auto_gap_weak_edge_support_2m_min, c.auto_gap_weak_novelty_min, max(c.auto_gap_length_ratio_max, 1.55))
+    return F.when(strong, "strong").when(weak, "weak")
+
+
+def protected(source: Column, seed_region: Column, regions: list) -> Column:
+    """Seeded lines that linking leaves alone: of the given regions, or of all where none is given."""
+    seeded = F.coalesce(source.isin("edge_seed", "edge_seed_linked"), F.lit(False))
+    return seeded & (F.coalesce(seed_region, F.lit(-1)).isin(*regions) if regions else F.lit(True))
+
+
+def in_regions(pts: Column, regions: list, buffer: float) -> Column:
+    """Whether any vertex lies in any of the rectangles (x, y, x, y; corners in any order), made wider by ``buffer`` on all sides."""
+    boxes = [(min(x0, x1) - buffer, max(x0, x1) + buffer, min(y0, y1) - buffer, max(y0, y1) + buffer) for x0, y0, x1, y1 in regions]
+    return F.exists(pts, lambda p: F.array_contains(F.array(*(p.x.between(x0, x1) & p.y.between(y0, y1) for x0, x1, y0, y1 in boxes)), True))
+
+
 def merged_mode(a: Column, b: Column, now: Column) -> Column:
     """The weakest mode of two parents and their link, in the order below, else the link's."""
     out = now

@@ -11,15 +11,20 @@ from pyspark.sql.window import Window
 from .raster import CELL
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder: lineage ends, lost executors do not matter."""
-    spark: SparkSession = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The context's checkpoint folder in the shared one that spark.checkpoint.dir names; only a local session may do without that setting."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cresthaven-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder: lineage ends, lost executors do not matter."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

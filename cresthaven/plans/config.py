@@ -99,10 +99,9 @@ class Config:
     preview_halo_width: float = 0.0
     enu_origin: dict = field(default_factory=lambda: {"lat": 25.66087416, "lon": 113.34421763, "h": 507.004})
 
-    # our own: rays see only the cells of their component's bounding box, as in the published figures
-    rays_in_box: bool = True
-    # our own: chains step to a neighbour in the order of a Python set instead of the nearest one
-    unsorted_steps: bool = True
+    # our own: as the published figures came about (rays end at their component's bounding box, chains step in the
+    # order of a Python set, crest and toe cells are paired by place)
+    compat: bool = False
 
     def __post_init__(self):
         if self.output_crs not in CRS:

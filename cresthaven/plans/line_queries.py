@@ -42,6 +42,10 @@ PAIRS = """prs AS (SELECT type, a.end_id AS "first", b.end_id AS "second", a.lin
 ENH = """enh AS (SELECT *, gap/100.0+0.35*(1-cs)+0.35*lat/18.0+0.35*dz/9.0-CASE WHEN regular THEN 0.2 ELSE 0 END-CASE WHEN short THEN 0.1 ELSE 0 END pre_score FROM (SELECT *, gap<=30 AND dz<=5 AND cs>=0.35 AND lat<=15 regular, gap<=25 AND dz<=3 AND lat<=18 short, gap<=100 AND dz<=9 AND cs>=0.1 AND lat<=18 inferred FROM
  (SELECT *, greatest(lf,ls) lat, least(cos_first,cos_second) cs FROM prs WHERE gap<=100)) WHERE regular OR short OR inferred)"""
 LINES = f"{V}, {SEG}"
+# down the sorted list, each line once
+MATCHED = f"""{LINES}, {TANGENT}, {PAIRS}, {ENH}, ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY pre_score, first_line, second_line, "first", "second") r FROM enh),
+ walk AS (SELECT 0::BIGINT r, []::BIGINT[] used, false took UNION ALL SELECT n, CASE WHEN ok THEN list_concat(used, [a, b]) ELSE used END, ok FROM (SELECT ranked.r n, used, first_line a, second_line b, NOT (list_contains(used, first_line) OR list_contains(used, second_line)) ok FROM walk JOIN ranked ON ranked.r=walk.r+1)),
+ matched AS (SELECT ranked.* FROM ranked JOIN walk USING (r) WHERE took)"""
 
 
 def vertices(spark, d):
@@ -363,3 +367,92 @@ def q_mode_split(spark, d):
     gap = F.coalesce(F.col("link_mode") == "auto_edge_path", F.lit(False))
     parts = F.explode(F.when(gap, F.array(F.lit("all"), F.lit("auto_gap"))).otherwise(F.array(F.lit("all"), F.lit("without_auto_gap"))))
     return a.select(parts.alias("part"), "length").groupBy("part").agg(F.count("*").alias("n"), F.round(F.sum("length"), 2).alias("length"))
+
+
+# --- bookkeeping of linking ---------------------------------------------------
+from ..operators import selection  # noqa: E402
+from . import pipeline  # noqa: E402
+
+
+def matched(spark, d):
+    return selection.match(enhanced(spark, d), ["pre_score"])
+
+
+@register("q_unlinked", f"WITH RECURSIVE {MATCHED} SELECT DISTINCT line_id FROM v WHERE line_id NOT IN (SELECT first_line FROM matched UNION ALL SELECT second_line FROM matched)")
+def q_unlinked(spark, d):
+    """Lines that no link uses up."""
+    used = matched(spark, d).select(F.explode(F.array("first_line", "second_line")).alias("line_id"))
+    return vertices(spark, d).select("line_id").distinct().join(used, "line_id", "left_anti")
+
+
+_Z = "CASE WHEN {0}.line_id%7=0 THEN NULL ELSE {0}.z END"
+
+
+@register(
+    "q_merge",
+    f"""WITH RECURSIVE {MATCHED}, {_ATTR}, {_MODE.replace('FROM enh', 'FROM matched')}, fl AS (SELECT line_id, count(*) n, arg_min(x,idx) x0, arg_min(y,idx) y0, arg_max(x,idx) x1, arg_max(y,idx) y1 FROM v GROUP BY 1),
+ mg AS (SELECT m.*, a.link_mode ma, b.link_mode mb, coalesce(a.source,'platform_boundary') sa, coalesce(b.source,'platform_boundary') sb, {_Z.format('a')} za, {_Z.format('b')} zb, f.n+g.n n_points, CASE WHEN m."first"%2=0 THEN f.x1 ELSE f.x0 END first_x, CASE WHEN m."first"%2=0 THEN f.y1 ELSE f.y0 END first_y, CASE WHEN m."second"%2=1 THEN g.x0 ELSE g.x1 END last_x, CASE WHEN m."second"%2=1 THEN g.y0 ELSE g.y1 END last_y
+  FROM md m JOIN ln a ON a.line_id=first_line JOIN ln b ON b.line_id=second_line JOIN fl f ON f.line_id=first_line JOIN fl g ON g.line_id=second_line WHERE mode IS NOT NULL)
+ SELECT first_line, second_line, type, n_points, first_x, first_y, last_x, last_y, round(coalesce((za+zb)/2,za,zb),6) z,
+ CASE WHEN sa='edge_seed' AND sb='edge_seed' THEN 'edge_seed' WHEN sa='edge_seed' OR sb='edge_seed' THEN 'edge_seed_linked' WHEN sa='multiscale_seed' AND sb='multiscale_seed' THEN 'multiscale_seed' WHEN sa='multiscale_seed' OR sb='multiscale_seed' THEN 'multiscale_linked' ELSE 'platform_boundary' END source,
+ CASE WHEN 'geometry_inferred' IN (coalesce(ma,''),coalesce(mb,''),mode) THEN 'geometry_inferred' WHEN 'edge_supported_long' IN (coalesce(ma,''),coalesce(mb,''),mode) THEN 'edge_supported_long' WHEN 'edge_supported_short' IN (coalesce(ma,''),coalesce(mb,''),mode) THEN 'edge_supported_short' WHEN 'regular_edge' IN (coalesce(ma,''),coalesce(mb,''),mode) THEN 'regular_edge' ELSE mode END link_mode FROM mg""",
+)
+def q_merge(spark, d):
+    """Matched pairs of attributed lines as the lines they make."""
+    lines = attributed(spark, d).withColumn("z", F.when(F.col("line_id") % 7 != 0, F.col("z"))).join(P.packed(vertices(spark, d)).select("line_id", "pts"), "line_id")
+    end = lambda c: F.when(F.col(c) % 2 == 1, "e").otherwise("s")
+    ef = ((F.col("first") * 37 + F.col("second") * 11) % 101) / 100.0
+    pairs = matched(spark, d).withColumns({"which0": end("first"), "which1": end("second"), "edge_fraction": ef, "path": F.array().cast(pipeline.POINTS), "confidence": F.lit(1.0)})
+    pairs = pairs.withColumn("mode", L.link_mode(F.col("edge_fraction"), 0.7, F.col("regular"), F.col("short"), F.col("inferred"))).where("mode is not null")
+    m = pipeline.merge(pairs, lines)
+    ids = pairs.select("first_line", "second_line", F.xxhash64("first_line", "second_line", F.lit(0)).alias("line_id"))
+    first, last = F.element_at("pts", 1), F.element_at("pts", -1)
+    return ids.join(m, "line_id").select("first_line", "second_line", "type", F.size("pts").cast("bigint").alias("n_points"), first.x.alias("first_x"), first.y.alias("first_y"), last.x.alias("last_x"), last.y.alias("last_y"), F.round("z", 6).alias("z"), "source", "link_mode")
+
+
+@register("q_local_lines", f"WITH {V} SELECT DISTINCT line_id FROM v WHERE (x BETWEEN 115 AND 145 AND y BETWEEN 195 AND 245) OR (x BETWEEN 375 AND 425 AND y BETWEEN 135 AND 165)")
+def q_local_lines(spark, d):
+    """Lines with a vertex in one of two buffered rectangles."""
+    return P.packed(vertices(spark, d)).where(L.in_regions(F.col("pts"), [(140.0, 240.0, 120.0, 200.0), (380.0, 140.0, 420.0, 160.0)], 5.0)).select("line_id")
+
+
+@register("q_long_lines", f"WITH {LINES} SELECT line_id, n, length FROM len WHERE n >= 8 AND length >= 2500")
+def q_long_lines(spark, d):
+    """Lines of eight vertices and 2500 m or more."""
+    return P.lengths(vertices(spark, d)).where("n >= 8 and length >= 2500").select("line_id", "n", "length")
+
+
+@register("q_protected", f"WITH {LINES}, {_ATTR} SELECT line_id FROM ln WHERE NOT coalesce(source='edge_seed_linked' AND line_id%3 IN (0,2), false)")
+def q_protected(spark, d):
+    """Lines that linking may use: seeded ones of two regions are protected."""
+    a = attributed(spark, d).withColumn("seed_region", (F.col("line_id") % 3).cast("int"))
+    return a.where(~L.protected(F.col("source"), F.col("seed_region"), [0, 2])).select("line_id")
+
+
+@register("q_line_height", f'WITH {BASE}, {LINES}, {resample_sql("s", 25.0, "always")}, g AS (SELECT line_id, {_ON} FROM s) SELECT line_id, round(median(z),6) z FROM g LEFT JOIN cells USING ("row", col) GROUP BY 1')
+def q_line_height(spark, d):
+    """The median height of the cells that a line's samples fall into; samples off the data do not count."""
+    g = on_grid(P.resample(vertices(spark, d), 25.0, "always")).join(cells(spark, d).select("row", "col", "z"), ["row", "col"], "left")
+    return rounded(g.groupBy("line_id").agg(F.median("z").alias("z")))
+
+
+Q["q_relief_lines"] = lambda spark, d: q_relief(spark, d).where("relief >= 0.0252").select("line_id")
+SQL["q_relief_lines"] = f"SELECT line_id FROM ({SQL['q_relief']}) WHERE relief >= 0.0252"
+
+
+@register(
+    "q_link_score",
+    f"""WITH {LINES}, {TANGENT}, {PAIRS}, {ENH}, {_MODE} SELECT "first", "second", round(1+dz+0.015*gap+0.35*(1-cs)-0.45*ef+CASE WHEN mode='geometry_inferred' THEN 0.35 ELSE 0 END,6)::DOUBLE score, round(greatest(0.2,least(0.95,0.62+0.30*ef)),6)::DOUBLE confidence,
+ CASE WHEN ef>=0.75 AND gap/100.0>=0.75 AND 1+dz/10<=1.5 THEN 'strong' WHEN ef>=0.7 AND gap/100.0>=0.65 AND 1+dz/10<=1.55 THEN 'weak' END evidence_class FROM md WHERE mode IS NOT NULL""",
+)
+def q_link_score(spark, d):
+    """Scores of links and the evidence class that a bridge with such values would have."""
+    m, ef = moded(spark, d), F.col("edge_fraction")
+    return m.select("first", "second", F.round(L.link_score(1 + F.col("dz"), F.col("gap"), F.col("cos"), ef, F.col("mode")), 6).alias("score"), F.round(L.multiscale_confidence(ef), 6).alias("confidence"), L.evidence_class(ef, F.col("gap") / 100, 1 + F.col("dz") / 10, LINK).alias("evidence_class"))
+
+
+@register("q_longest_first", f"WITH {LINES} SELECT line_id, length, row_number() OVER (PARTITION BY type ORDER BY length DESC, line_id) AS \"rank\" FROM len")
+def q_longest_first(spark, d):
+    """Lines of each type by falling length, the order in which they are accepted."""
+    w = Window.partitionBy("type").orderBy(F.desc("length"), "line_id")
+    return P.lengths(vertices(spark, d)).where("n > 1").select("line_id", "length", F.row_number().over(w).alias("rank"))

@@ -75,15 +75,28 @@ def from_chains(chained: DataFrame, s: Surface, c: Config, least: float, source:
     return lines_like(polyline.packed(simple).join(long, "line_id").join(z, "line_id", "left").withColumn("source", F.lit(source)))
 
 
+def paired(edges: DataFrame) -> DataFrame:
+    """(label, type, row, col): the n-th component with crest cells goes with the n-th with toe cells; those beyond the shorter list go."""
+    there = edges.select("label", "type").distinct()
+    n = {r.type: r.n for r in there.groupBy("type").agg(F.count("*").alias("n")).collect()}  # two rows
+    most = min(n.get("crest", 0), n.get("toe", 0))
+    places = None
+    for kind in ("crest", "toe"):
+        one = components.numbered(there.where(F.col("type") == kind).select("label"), "label", "place").where(F.col("place") <= most).select("label", F.lit(kind).alias("type"))
+        places = one if places is None else places.unionByName(one)
+    return edges.join(places, ["label", "type"], "left_semi")
+
+
 def extract(s: Surface, c: Config, stage: int = 0) -> DataFrame:
     """Platforms, their crest and toe cells, chains and lines; then lines from seeded step edges."""
     mask = s.dsm.where(F.col("slope") < c.platform_slope_deg).select("row", "col")
     mask = raster.opening(raster.closing(mask, raster.disk(2), s.nx, s.ny), raster.disk(1), s.nx, s.ny)
     mask = cut(components.remove_small(cut(mask), c.min_platform_px))
     labels = cut(components.labels(mask))
-    edges = raster.ray_edges(labels, s.dsm, c.ray_m, c.grid_res_m, c.min_step_drop_m, boxed=c.rays_in_box)
+    edges = raster.ray_edges(labels, s.dsm, c.ray_m, c.grid_res_m, c.min_step_drop_m, boxed=c.compat)
     kinds = F.explode(F.array_compact(F.array(F.when(F.col("crest"), "crest"), F.when(F.col("toe"), "toe"))))
-    chained = selection.chains(edges.select("label", kinds.alias("type"), "row", "col"), ["label", "type"], c.min_arc_px, c.unsorted_steps)
+    edges = edges.select("label", kinds.alias("type"), "row", "col")
+    chained = selection.chains(paired(cut(edges)) if c.compat else edges, ["label", "type"], c.min_arc_px, c.compat)
     ident = (F.lit(stage) * (1 << 56)) + F.col("label") * (1 << 24) + F.col("chain") * 2 + F.when(F.col("type") == "toe", 1).otherwise(0)
     lines = cut(from_chains(chained, s, c, c.min_line_m, "platform_boundary", ident))
     if not c.edge_seed_enabled:
@@ -102,7 +115,7 @@ def extract(s: Surface, c: Config, stage: int = 0) -> DataFrame:
         for kind in ("crest", "toe"):
             part = components.remove_small(fresh.where(F.col("type") == kind).select("row", "col"), get("min_px", c.edge_seed_min_px))
             part = part.withColumns({"label": F.lit(k).cast("bigint"), "type": F.lit(kind)})
-            chained = selection.chains(part, ["label", "type"], get("min_px", c.edge_seed_min_px), c.unsorted_steps)
+            chained = selection.chains(part, ["label", "type"], get("min_px", c.edge_seed_min_px), c.compat)
             seeded = from_chains(chained, s, c, get("min_line_m", c.edge_seed_min_line_m), "edge_seed", F.lit(1 << 55) + ident)
             lines = cut(lines.unionByName(seeded.withColumn("seed_region", F.lit(k))))
     return lines
@@ -132,7 +145,7 @@ def multiscale(lines: DataFrame, s: Surface, c: Config) -> DataFrame:
     samples = samples.join(near, ["type", "row", "col"], "left").select("line_id", "type", "length", "k", "row", "col", (F.sqrt("d2") * s.res).alias("d_edge"))
     taken = s.place(polyline.resample(polyline.unpacked(lines), s.res))
     accepted = selection.accept(samples, taken, c)
-    added = relaxed.drop("edge_fraction").join(accepted, "line_id").withColumns({"source": F.lit("multiscale_seed"), "confidence": F.greatest(F.lit(0.20), F.least(F.lit(0.95), 0.62 + 0.30 * F.col("edge_fraction")))})
+    added = relaxed.drop("edge_fraction").join(accepted, "line_id").withColumns({"source": F.lit("multiscale_seed"), "confidence": L.multiscale_confidence(F.col("edge_fraction"))})
     return cut(lines.unionByName(lines_like(added)))
 
 
@@ -207,6 +220,23 @@ def along(d, f, x, y):
     return np.clip(((x - f.x0) * vx + (y - f.y0) * vy) / max(vx * vx + vy * vy, 1e-9), 0, 1)
 
 
+def merge(pairs: DataFrame, lines: DataFrame, number: int = 0, enhanced: bool = True) -> DataFrame:
+    """Pairs (first_line, which0, second_line, which1, type, path, mode, confidence, edge_fraction) -> the lines they make, without their lengths.
+
+    Each runs along the first line to its end which0, along the path, and along the second from its end which1 on.
+    Heights are the mean of the known ones; source, mode and confidence are those of the weakest part.
+    """
+    one = lambda k, name: lines.select(F.col("line_id").alias(name), *(F.col(n).alias(f"{n}_{k}") for n in ("pts", "z", "link_mode", "confidence", "source")))
+    m = pairs.withColumnsRenamed({"confidence": "new_confidence"}).join(one("a", "first_line"), "first_line").join(one("b", "second_line"), "second_line")
+    front = F.when(F.col("which0") == "s", F.reverse("pts_a")).otherwise(F.col("pts_a"))
+    rear = F.when(F.col("which1") == "e", F.reverse("pts_b")).otherwise(F.col("pts_b"))
+    base = lambda x: F.coalesce(x, F.lit("platform_boundary"))
+    parts = [F.lit("linked").alias("link_mode")]
+    if enhanced:
+        parts = [L.merged_source(base(F.col("source_a")), base(F.col("source_b"))).alias("source"), L.merged_mode(F.col("link_mode_a"), F.col("link_mode_b"), F.col("mode")).alias("link_mode"), F.least(F.coalesce("confidence_a", F.lit(1.0)), F.coalesce("confidence_b", F.lit(1.0)), "new_confidence").alias("confidence"), "edge_fraction"]
+    return m.select(F.xxhash64("first_line", "second_line", F.lit(number)).alias("line_id"), "type", F.concat(front, "path", rear).alias("pts"), L.mean_known(F.col("z_a"), F.col("z_b")).alias("z"), *parts)
+
+
 def link(lines: DataFrame, s: Surface, c: Config, enhanced: bool = True) -> DataFrame:
     """Join fragments end to end along least-cost paths, one-to-one, for up to ``link_passes`` passes."""
     if c.link_gap_m <= 0:
@@ -224,9 +254,7 @@ def link(lines: DataFrame, s: Surface, c: Config, enhanced: bool = True) -> Data
         ends = s.place(polyline.tangents(v)).join(filled.select("row", "col", "z"), ["row", "col"])
         ends = ends.withColumn("end_id", F.xxhash64("line_id", "which"))
         if enhanced and c.edge_seed_protect_links:
-            regions = c.edge_seed_protected_region_indices
-            guarded = F.col("source").isin("edge_seed", "edge_seed_linked") & (F.coalesce("seed_region", F.lit(-1)).isin(*regions) if regions else F.lit(True))
-            ends = ends.join(lines.where(guarded).select("line_id"), "line_id", "left_anti")
+            ends = ends.join(lines.where(L.protected(F.col("source"), F.col("seed_region"), c.edge_seed_protected_region_indices)).select("line_id"), "line_id", "left_anti")
         ends = cut(ends)
         if enhanced:
             pairs = spatial.top_per_endpoint(cut(spatial.link_pairs_enhanced(ends, c)), max(1, int(c.link_max_candidates_per_endpoint)))
@@ -245,18 +273,13 @@ def link(lines: DataFrame, s: Surface, c: Config, enhanced: bool = True) -> Data
         if enhanced:
             scored = scored.withColumn("mode", L.link_mode(F.col("edge_fraction"), c.link_edge_min_fraction, F.col("regular"), F.col("short"), F.col("inferred"))).where("mode is not null")
             scored = scored.withColumns({"rank": L.mode_rank(F.col("mode")), "confidence": L.link_confidence(F.col("mode"), F.col("edge_fraction"), F.col("gap"), c.link_infer_gap_m)})
-            scored = scored.withColumn("score", per + 0.015 * F.col("gap") + 0.35 * (1 - F.col("cos")) - 0.45 * F.col("edge_fraction") + F.when(F.col("mode") == "geometry_inferred", 0.35).otherwise(0.0))
+            scored = scored.withColumn("score", L.link_score(per, F.col("gap"), F.col("cos"), F.col("edge_fraction"), F.col("mode")))
         else:
             scored = scored.withColumns({"mode": F.lit(None).cast("string"), "rank": F.lit(0), "confidence": F.lit(None).cast("double"), "score": per + 0.02 * F.col("gap")})
         taken_pairs = cut(selection.match(cut(scored), ["rank", "score"]))
         if taken_pairs.isEmpty():
             break
-        one = lambda k, name: lines.select(F.col("line_id").alias(name), *(F.col(n).alias(f"{n}_{k}") for n in ("pts", "z", "link_mode", "confidence", "source")))
-        m = taken_pairs.withColumnsRenamed({"confidence": "new_confidence"}).join(one("a", "first_line"), "first_line").join(one("b", "second_line"), "second_line")
-        front = F.when(F.col("which0") == "s", F.reverse("pts_a")).otherwise(F.col("pts_a"))
-        rear = F.when(F.col("which1") == "e", F.reverse("pts_b")).otherwise(F.col("pts_b"))
-        base = lambda x: F.coalesce(x, F.lit("platform_boundary"))
-        m = m.select(F.xxhash64("first_line", "second_line", F.lit(number)).alias("line_id"), "type", F.concat(front, "path", rear).alias("pts"), L.mean_known(F.col("z_a"), F.col("z_b")).alias("z"), *([L.merged_source(base(F.col("source_a")), base(F.col("source_b"))).alias("source"), L.merged_mode(F.col("link_mode_a"), F.col("link_mode_b"), F.col("mode")).alias("link_mode"), F.least(F.coalesce("confidence_a", F.lit(1.0)), F.coalesce("confidence_b", F.lit(1.0)), "new_confidence").alias("confidence"), "edge_fraction"] if enhanced else [F.lit("linked").alias("link_mode")]))
+        m = merge(taken_pairs, lines, number, enhanced)
         m = cut(m)
         m = m.join(polyline.lengths(polyline.unpacked(m)).select("line_id", "length"), "line_id")
         used = taken_pairs.select(F.explode(F.array("first_line", "second_line")).alias("line_id"))
@@ -269,10 +292,7 @@ def link_local(lines: DataFrame, s: Surface, c: Config) -> DataFrame:
     regions = [r for r in c.edge_seed_regions if r]
     if not (c.edge_seed_local_link_enabled and regions):
         return lines
-    b = c.edge_seed_local_link_buffer_m
-    boxes = [(min(x0, x1) - b, max(x0, x1) + b, min(y0, y1) - b, max(y0, y1) + b) for x0, y0, x1, y1 in regions]
-    near = F.exists("pts", lambda p: F.array_contains(F.array(*(p.x.between(x0, x1) & p.y.between(y0, y1) for x0, x1, y0, y1 in boxes)), True))
-    inside = cut(lines.where(near))
+    inside = cut(lines.where(L.in_regions(F.col("pts"), regions, c.edge_seed_local_link_buffer_m)))
     gap = c.edge_seed_local_link_gap_m
     local = c.but(link_gap_m=gap, link_infer_gap_m=gap, link_dz_max_m=c.edge_seed_local_link_dz_max_m, link_infer_dz_max_m=c.edge_seed_local_link_dz_max_m, link_min_cos=c.edge_seed_local_link_min_cos, link_infer_min_cos=c.edge_seed_local_link_min_cos, link_lateral_max_m=c.edge_seed_local_link_lateral_max_m, link_infer_lateral_max_m=c.edge_seed_local_link_lateral_max_m, edge_seed_protect_links=False)
     return cut(lines.join(inside.select("line_id"), "line_id", "left_anti").unionByName(link(inside, s, local)))
@@ -329,10 +349,8 @@ def bridge(lines: DataFrame, s: Surface, c: Config) -> DataFrame:
 
     paths = routed(cand, s, distances(edges, s, "edge"), distances(taken, s, "line"), filled, F.lit(int(20.0 / s.res) + 4), cost, 2.0 / s.res, None)
     r = cand.join(paths, "cid").withColumn("ratio", F.col("path_length") / F.greatest("gap", F.lit(1e-9)))
-    limits = lambda a, b, m: (F.col("edge_fraction") >= a) & (F.col("novelty") >= b) & (F.col("ratio") <= m)
-    strict = limits(c.auto_gap_edge_support_2m_min, c.auto_gap_novelty_min, c.auto_gap_length_ratio_max)
-    weak = limits(c.auto_gap_weak_edge_support_2m_min, c.auto_gap_weak_novelty_min, max(c.auto_gap_length_ratio_max, 1.55))
-    r = r.where(strict | weak).withColumns({"evidence_class": F.when(strict, "strong").otherwise("weak"), "score": L.bridge_score(F.col("edge_fraction"), F.col("novelty"), F.col("ratio"))})
+    r = r.withColumn("evidence_class", L.evidence_class(F.col("edge_fraction"), F.col("novelty"), F.col("ratio"), c)).where("evidence_class is not null")
+    r = r.withColumn("score", L.bridge_score(F.col("edge_fraction"), F.col("novelty"), F.col("ratio")))
     r = cut(r.withColumnsRenamed({"first": "first_line", "second": "second_line"}))
     kept = selection.thin(r, c.auto_gap_nms_radius_m, max(1, int(c.auto_gap_max_bridges)))
     point = lambda p: F.array(F.struct(F.col(f"x{p}").alias("x"), F.col(f"y{p}").alias("y")))

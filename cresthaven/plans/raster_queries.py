@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import components, grid, raster
@@ -117,8 +119,10 @@ def q_slope(spark, d):
 
 @register("q_slope_summary", f"WITH {BASE}, {SLOPE} SELECT round(quantile_cont(slope,0.5),4) median, round(quantile_cont(slope,0.9),4) p90, count(slope) n FROM slopes")
 def q_slope_summary(spark, d):
-    s = slopes(spark, d).where("slope is not null")
-    return s.agg(F.round(F.percentile("slope", 0.5), 4).alias("median"), F.round(F.percentile("slope", 0.9), 4).alias("p90"), F.count("*").alias("n"))
+    # the exact percentiles of rounded slopes (at most 900,001 values), each with its number
+    s = slopes(spark, d).where("slope is not null").groupBy("slope").agg(F.count("*").alias("n"))
+    at = lambda p: F.round(F.percentile("slope", p, F.col("n")), 4)
+    return s.agg(at(0.5).alias("median"), at(0.9).alias("p90"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 @register("q_platform", f'WITH {BASE}, {SLOPE}, {MASK} SELECT "row", col FROM mask')
@@ -291,10 +295,10 @@ def q_ray_edges(spark, d):
 _BOX = 'box AS (SELECT label, min("row") row0, max("row") row1, min(col) col0, max(col) col1 FROM labelled GROUP BY label)'
 
 
-@register("q_ray_edges_boxed", SQL["q_ray_edges"].replace(", p AS (SELECT b.", f", {_BOX}, p AS (SELECT b.", 1).replace("WHERE l.label IS NULL OR l.label<>p.label", 'JOIN box x ON x.label=p.label WHERE (l.label IS NULL OR l.label<>p.label) AND p.sr BETWEEN x.row0 AND x.row1 AND p.sc BETWEEN x.col0 AND x.col1'))
+@register("q_ray_edges_boxed", SQL["q_ray_edges"].replace(", p AS (SELECT b.", f", {_BOX}, p AS (SELECT b.", 1).replace("WHERE l.label IS NULL OR l.label<>p.label", 'JOIN box x ON x.label=p.label WHERE (l.label IS NULL OR l.label<>p.label) AND p.sr BETWEEN x.row0 AND x.row1 AND p.sc BETWEEN x.col0 AND x.col1').replace(">2.0", ">0.0123"))
 def q_ray_edges_boxed(spark, d):
     """Crest and toe by rays that end at the component's bounding box."""
-    return raster.ray_edges(labelled(spark, d), cells(spark, d), drop=2.0, boxed=True)
+    return raster.ray_edges(labelled(spark, d), cells(spark, d), drop=0.0123, boxed=True)
 
 
 @register(
@@ -336,3 +340,17 @@ def q_seed_fresh(spark, d):
 @register("q_seed_rect", f'WITH {BASE} SELECT "row", col, z FROM cells WHERE "row">=18 AND "row"<74 AND col>=34 AND col<114')
 def q_seed_rect(spark, d):
     return raster.in_rectangle(cells(spark, d), (112.0, 103.8, 32.0, 48.8), -2.0, 121.9, RES).select("row", "col", "z")
+
+
+@register("q_ply_round_trip", f"WITH {PTS} SELECT round(x,6) x, round(y,6) y, round(z,6) z, red, green, blue, count(*) n FROM pts GROUP BY ALL")
+def q_ply_round_trip(spark, d):
+    """Points written as a folder of PLY files and read back from all of them."""
+    from ..sources.pointcloud import PointCloud
+
+    folder = f"{components.shared(spark)}/clouds-{uuid.uuid4().hex}"
+    spark.dataSource.register(PointCloud)
+    colours = [F.col(c).cast("smallint").alias(c) for c in ("red", "green", "blue")]
+    points(spark, d).select("x", "y", "z", *colours).write.format("pointcloud").mode("append").save(folder)
+    back = spark.read.format("pointcloud").option("pieceRecords", 20_000).load(folder)
+    keys = [*(F.round(c, 6).alias(c) for c in "xyz"), *(F.col(c).cast("int").alias(c) for c in ("red", "green", "blue"))]
+    return back.groupBy(*keys).agg(F.count("*").alias("n"))

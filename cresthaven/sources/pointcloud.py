@@ -2,11 +2,12 @@
 
 ``spark.dataSource.register(PointCloud)``, then ``spark.read.format("pointcloud").load(path)``: a file, a folder (with
 its subfolders) or an archive.  Files are cut into byte ranges of whole records, so a large file is read by many tasks;
-archive members are read by one task each.
+archive members are read by one task each.  Paths may be URIs of a remote store.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 import zipfile
@@ -14,7 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyarrow import fs
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "src string, x double, y double, z double, red smallint, green smallint, blue smallint"
 ARROW = pa.schema([("src", pa.string()), *((c, pa.float64()) for c in "xyz"), *((c, pa.int16()) for c in ("red", "green", "blue"))])
@@ -25,16 +27,24 @@ PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short":
 COLOURS = {"red": ("red", "diffuse_red", "r"), "green": ("green", "diffuse_green", "g"), "blue": ("blue", "diffuse_blue", "b")}
 
 
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path (local, or by its URI any that pyarrow knows: hdfs, s3, gs, ...) and the path in it."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 def discover(path: str) -> list[tuple[str, str | None]]:
-    """(file, archive member or None) of every cloud under a path, sorted, each once."""
-    if os.path.isdir(path):
-        files = sorted({os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.lower().endswith((*SUFFIXES, ".zip"))})
+    """(file, archive member or None) of every cloud under a path, sorted, each once; files as paths in the path's own file system."""
+    files_in, top = store(path)
+    if files_in.get_file_info(top).type == fs.FileType.Directory:
+        files = sorted(i.path for i in files_in.get_file_info(fs.FileSelector(top, recursive=True)) if i.is_file and i.path.lower().endswith((*SUFFIXES, ".zip")))
     else:
-        files = [path]
+        files = [top]
     found: list[tuple[str, str | None]] = []
     for f in files:
         if f.lower().endswith(".zip"):
-            with zipfile.ZipFile(f) as z:
+            with opened(files_in, f) as raw, zipfile.ZipFile(raw) as z:
                 found += [(f, n) for n in sorted(z.namelist()) if n.lower().endswith(SUFFIXES)]
         elif f.lower().endswith(SUFFIXES):
             found.append((f, None))
@@ -43,8 +53,13 @@ def discover(path: str) -> list[tuple[str, str | None]]:
     return found
 
 
-def open_member(file: str, member: str | None):
-    return open(file, "rb") if member is None else zipfile.ZipFile(file).open(member)
+def opened(files_in: fs.FileSystem, file: str):
+    return io.BufferedReader(files_in.open_input_file(file), 1 << 20)
+
+
+def open_member(files_in: fs.FileSystem, file: str, member: str | None):
+    raw = opened(files_in, file)
+    return raw if member is None else zipfile.ZipFile(raw).open(member)
 
 
 @dataclass
@@ -129,8 +144,8 @@ def las_layout(f) -> Layout:
     return Layout(start, count, np.dtype(fields), struct.unpack_from("<3d", h, 131), struct.unpack_from("<3d", h, 155))
 
 
-def layout(file: str, member: str | None) -> Layout:
-    with open_member(file, member) as f:
+def layout(files_in: fs.FileSystem, file: str, member: str | None) -> Layout:
+    with open_member(files_in, file, member) as f:
         return (ply_layout if (member or file).lower().endswith(".ply") else las_layout)(f)
 
 
@@ -144,20 +159,22 @@ class Reader(DataSourceReader):
         self.path, self.piece = path, piece
 
     def partitions(self):
+        files_in, _ = store(self.path)
         out = []
         for file, member in discover(self.path):
-            l = layout(file, member)
+            l = layout(files_in, file, member)
             if member is None:  # records that the file really holds
-                l.count = min(l.count, max(0, os.path.getsize(file) - l.start) // l.record.itemsize)
+                l.count = min(l.count, max(0, files_in.get_file_info(file).size - l.start) // l.record.itemsize)
             step = self.piece if member is None else max(l.count, 1)
             out += [Piece(file, member, at, min(step, l.count - at)) for at in range(0, max(l.count, 1), step)]
         return out
 
     def read(self, p: Piece):
-        l = layout(p.file, p.member)
-        src = p.member or os.path.basename(p.file)
+        files_in, _ = store(self.path)
+        l = layout(files_in, p.file, p.member)
+        src = p.member or p.file.rpartition("/")[2]
         size = l.record.itemsize
-        with open_member(p.file, p.member) as f:
+        with open_member(files_in, p.file, p.member) as f:
             if p.member is None:
                 f.seek(l.start + p.first * size)
             else:
@@ -172,22 +189,32 @@ class Reader(DataSourceReader):
                 left -= n
 
 
-class PlyWriter(DataSourceWriter):
-    """Each task's points as one PLY file in the folder; a name appears when its file is whole."""
+class PlyWriter(DataSourceArrowWriter):
+    """Each task's points as one PLY file in the folder, written batch by batch; a name appears when its file is whole, so a task that runs again does no harm."""
 
     def __init__(self, path: str):
         self.path = path
 
-    def write(self, rows):
+    def write(self, batches):
         from pyspark import TaskContext
 
-        a = np.array([(r.x, r.y, r.z, r.red or 0, r.green or 0, r.blue or 0) for r in rows], dtype=[(c, "<f8") for c in "xyz"] + [(c, "u1") for c in COLOURS])
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.ply")
-        with open(f"{name}.tmp", "wb") as f:
-            f.write(ply_header(len(a), "double"))
-            f.write(a.tobytes())
-        os.replace(f"{name}.tmp", name)
+        files_in, folder = store(self.path)
+        files_in.create_dir(folder, recursive=True)
+        name = f"{folder}/part-{TaskContext.get().partitionId():05d}"
+        count = 0
+        with files_in.open_output_stream(f"{name}.body") as f:
+            for b in batches:
+                a = np.empty(b.num_rows, dtype=[(c, "<f8") for c in "xyz"] + [(c, "u1") for c in COLOURS])
+                for c in a.dtype.names:
+                    a[c] = b.column(c).fill_null(0).to_numpy(zero_copy_only=False)
+                f.write(a.tobytes())
+                count += len(a)
+        with files_in.open_output_stream(f"{name}.tmp") as f, files_in.open_input_stream(f"{name}.body") as body:
+            f.write(ply_header(count, "double"))
+            while part := body.read(1 << 22):
+                f.write(part)
+        files_in.delete_file(f"{name}.body")
+        files_in.move(f"{name}.tmp", f"{name}.ply")
         return WriterCommitMessage()
 
 

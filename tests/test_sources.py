@@ -4,6 +4,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cresthaven.operators import grid
 from cresthaven.plans import job_queries, outputs, pipeline
@@ -79,7 +80,7 @@ def test_without_colour(cloud, tmp_path):
 def test_bad_files(tmp_path, name, data):
     (tmp_path / name).write_bytes(data)
     with pytest.raises(ValueError):
-        C.layout(str(tmp_path / name), None)
+        C.layout(C.fs.LocalFileSystem(), str(tmp_path / name), None)
 
 
 def test_nothing_found(tmp_path):
@@ -94,6 +95,16 @@ def test_round_trip(spark, cloud, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_paths_are_uris(spark, cloud, tmp_path):
+    """A folder by its URI, as in a remote store; colours that are missing are written as 0."""
+    df = terrace(spark).limit(300).withColumn("red", F.lit(None).cast("smallint")).repartition(3)
+    uri = (tmp_path / "far").as_uri()
+    df.write.format("pointcloud").mode("append").save(uri)
+    back = cloud(uri, pieceRecords=40)
+    assert back.count() == 300 and back.select("src").distinct().count() == 3
+    assert sorted(map(tuple, back.drop("src").collect())) == sorted(map(tuple, df.fillna(0, ["red"]).collect()))
+
+
 def test_jobs_from_files(spark, tmp_path):
     for i, status in enumerate(["running", "succeeded", "queued"]):
         outputs.write_job({"id": f"SLOPE-{i}", "status": status, "logs": ["a"]}, str(tmp_path))
