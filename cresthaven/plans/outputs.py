@@ -43,13 +43,23 @@ def write_collection(lines: DataFrame, path: str, crs: str = "ENU", origin: dict
     os.replace(f"{path}.tmp", path)
 
 
+MOST_IN_FILE = 200_000  # lines that go through the driver into one file
+
+
 def write_outputs(lines: DataFrame, c: Config) -> dict[str, str]:
-    """The three parts in the configured coordinates (or both) beside ``output``; name -> path."""
+    """The three parts in the configured coordinates (or both) beside ``output``; name -> path.
+
+    Over ``MOST_IN_FILE`` lines do not pass the driver: each part is then a folder ``....features`` of text files, a
+    feature a line, written by the tasks.
+    """
     out, base = {}, c.output.removesuffix(".geojson")
+    large = lines.count() > MOST_IN_FILE
     for crs in ("ENU", "WGS84") if c.output_crs == "BOTH" else (c.output_crs,):
         for name in PARTS:
             path = base + ("" if name == "all" else f".{name}") + (f".{crs.lower()}" if c.output_crs == "BOTH" else "") + ".geojson"
-            write_collection(part(lines, name), path, crs, c.enu_origin)
+            if large:
+                path = path.removesuffix(".geojson") + ".features"
+            (write_features if large else write_collection)(part(lines, name), path, crs, c.enu_origin)
             out[f"{name}.{crs}"] = path
     return out
 

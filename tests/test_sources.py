@@ -125,6 +125,19 @@ def test_running_cells_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("cells").select("row", "col", "z", "cnt").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_many_lines_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    rows = [(k, "crest", [(0.0, float(k)), (5.0, float(k))], 5.0, "auto_edge_path" if k == 0 else None) for k in range(9)]
+    lines = pipeline.lines_like(spark.createDataFrame(rows, f"line_id bigint, type string, pts {pipeline.POINTS}, length double, link_mode string"))
+    c = Config(output=str(tmp_path / "l.geojson"), output_crs="ENU")
+    whole = outputs.write_outputs(lines, c)
+    monkeypatch.setattr(outputs, "MOST_IN_FILE", 5)
+    parts = outputs.write_outputs(lines, c)
+    for name, path in whole.items():
+        want = json.loads(open(path, encoding="utf-8").read())["features"]
+        got = [json.loads(r.value) for r in spark.read.text(parts[name]).collect()]
+        assert sorted(map(json.dumps, got)) == sorted(map(json.dumps, want)) and len(want) == {"all": 9, "without_auto_gap": 8, "auto_gap": 1}[name.split(".")[0]]
+
+
 def test_terrace_end_to_end(spark, tmp_path):
     c = Config(output=str(tmp_path / "lines.geojson"), output_crs="BOTH", guided_links=[{"type": "crest", "guide": [[40.0, 60.0], [60.0, 60.0], [84.0, 60.0]], "max_dz_m": 50, "id": "g"}])
     lines = pipeline.lines_of(terrace(spark, wavy=True), c)
