@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import batch, written
+from .common import batch, sliced, written
 
 LONG = 64
 LEAF, FAR = 1 << 13, 1 << 15  # symbols of a task's leaf; of a piece from which on tasks share it
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 RESULT = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids string, decoded string"
 PIECES = pa.schema([("text_key", pa.binary()), ("piece", pa.binary()), ("leaf", pa.int64()), ("ids", pa.list_(pa.int32()))])
 # The normaliser of the supported tokenizer files.
@@ -249,7 +249,7 @@ def far_pieces(texts: DataFrame, source) -> DataFrame:
 def _encode_rows(source, schema: pa.Schema, carry: int, keep: bool):
     def run(batches):
         encode = _encoder(source)
-        for b in batches:
+        for b in sliced(batches, 2048):
             texts = b.column("text").to_pylist()
             known = b.column("known").to_pylist()
             step = 500 if keep else len(texts)
@@ -269,6 +269,8 @@ def _encode_rows(source, schema: pa.Schema, carry: int, keep: bool):
                     for c, v in zip(out, row):
                         c.append(v)
                 yield batch(schema, *(b.column(k).slice(at, step) for k in range(carry)), *out)
+        encode.ids.clear()  # workers live on; what they remember need not
+        encode.texts.clear()
 
     return run
 

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, held_out
+from .common import batch, held_out, sliced
 
 WINDOW, WIDTHS, EMBED, FILTERS = 96, (2, 3, 4), 8, 16
 TAIL = max(WIDTHS) - 1
@@ -151,7 +151,7 @@ def _predict_rows(shared):
     def run(batches):
         net = shared.value
         tables = net.tables() if net else None
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column("text").to_pylist()
             langs, scores = [], []
             for at in range(0, len(texts), 64):
@@ -190,7 +190,7 @@ def _keep_rows(shared, least: float):
     inner = _predict_rows(shared)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             t = pa.Table.from_batches([b])
             named = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text")], names=["doc_id", "text"])
             p = next(inner(iter([named])))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, batch, release, utf8, wrapped, written
+from .common import NO_ID, batch, release, sliced, utf8, written
 
 GRAM = 32
 MOST_BITS = 1 << 29
@@ -285,7 +285,7 @@ def cut(text: bytes, suspects, firsts, repeats, length: int = 100, gram: int = G
 
 def _cut_rows(schema: pa.Schema, length: int, gram: int, keep: bool):
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = utf8(b.column("text"))
             none = [None] * len(texts)
             marks = b.column("marks")
@@ -375,7 +375,8 @@ def dedup_documents(docs: DataFrame, length: int = 100) -> DataFrame:
     Null texts stay null and empty ones empty, both stay; rows that repeat id and text each keep what their document
     keeps; an empty table stays empty.  No other column is read or changed, whatever its name.
     """
-    rows = wrapped(docs, doc=F.coalesce("doc_id", F.lit(NO_ID)), key=F.xxhash64("text"), text=F.col("text"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))  # the text is carried once
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("key"), "text", rest.alias("row"))
     out = _removed(rows, ["row"], length, True, GRAM)
     out = out.where(F.col("kept_text").rlike(r"\S") | (F.col("n_removed") == 0))
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
