@@ -172,13 +172,13 @@ def q_endpoint_pairs(spark, d):
     return rounded(S.link_pairs(ends(spark, d), 30.0).select("type", "first", "second", "gap", "dz", "cos_first", "cos_second", "lateral_first"))
 
 
-def enhanced(spark, d):
-    return S.link_pairs_enhanced(ends(spark, d), LINK)
+def enhanced(spark, d, columns=None):
+    return S.link_pairs_enhanced(ends(spark, d), LINK, columns)
 
 
 @register("q_endpoint_pairs_enh", f'WITH {LINES}, {TANGENT}, {PAIRS}, {ENH} SELECT "first", "second", regular, short, inferred, round(pre_score,6) pre_score FROM enh')
 def q_endpoint_pairs_enh(spark, d):
-    return rounded(enhanced(spark, d).select("first", "second", "regular", "short", "inferred", "pre_score"))
+    return rounded(enhanced(spark, d, ["first", "second", "regular", "short", "inferred", "pre_score"]))
 
 
 @register(
@@ -286,8 +286,9 @@ def q_relief(spark, d):
 _ED = "((\"first\"*37+\"second\"*11)%101)/100.0::DOUBLE"
 
 
-def moded(spark, d):
-    e = enhanced(spark, d).withColumn("edge_fraction", ((F.col("first") * 37 + F.col("second") * 11) % 101) / 100.0)
+def moded(spark, d, *more):
+    """Enhanced candidates with a mode: what it takes to tell it, and ``more`` columns."""
+    e = enhanced(spark, d, ["first", "second", "regular", "short", "inferred", *more]).withColumn("edge_fraction", ((F.col("first") * 37 + F.col("second") * 11) % 101) / 100.0)
     return e.withColumn("mode", L.link_mode(F.col("edge_fraction"), 0.7, F.col("regular"), F.col("short"), F.col("inferred"))).where("mode is not null")
 
 
@@ -305,7 +306,7 @@ def q_link_mode(spark, d):
  round(0.55*ef+0.35*least(gap/100.0,1.0)+0.10*(1-least(greatest(1+dz/10.0-1,0)/0.7,1.0)),6)::DOUBLE score FROM md WHERE mode IS NOT NULL""",
 )
 def q_confidence(spark, d):
-    m = moded(spark, d)
+    m = moded(spark, d, "gap", "dz")
     return rounded(m.select("first", "second", L.link_confidence(F.col("mode"), F.col("edge_fraction"), F.col("gap"), 100.0).alias("confidence"), L.bridge_score(F.col("edge_fraction"), F.least(F.col("gap") / 100, F.lit(1.0)), 1 + F.col("dz") / 10).alias("score")))
 
 
@@ -447,7 +448,7 @@ SQL["q_relief_lines"] = f"SELECT line_id FROM ({SQL['q_relief']}) WHERE relief >
 )
 def q_link_score(spark, d):
     """Scores of links and the evidence class that a bridge with such values would have."""
-    m, ef = moded(spark, d), F.col("edge_fraction")
+    m, ef = moded(spark, d, "gap", "dz", "cos"), F.col("edge_fraction")
     return m.select("first", "second", F.round(L.link_score(1 + F.col("dz"), F.col("gap"), F.col("cos"), ef, F.col("mode")), 6).alias("score"), F.round(L.multiscale_confidence(ef), 6).alias("confidence"), L.evidence_class(ef, F.col("gap") / 100, 1 + F.col("dz") / 10, LINK).alias("evidence_class"))
 
 

@@ -1,8 +1,12 @@
 """Linking, local linking, protection and bridges on the straight terraces, with lines laid by hand along a crest."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from cresthaven.operators import spatial
 from cresthaven.plans import pipeline
 from cresthaven.plans.config import Config
 from cresthaven.sources.frames import terrace
@@ -72,3 +76,48 @@ def test_validation_needs_relief(spark, ground):
     on_flat = lines(spark, (5, 60)).withColumn("pts", F.transform("pts", lambda p: F.struct((p.x + 20).alias("x"), p.y.alias("y"))))
     assert pipeline.validate(lines(spark, (5, 60)), ground, Config()).count() == 1
     assert pipeline.validate(on_flat, ground, Config()).count() == 0
+
+
+def crowd(n=90, seed=3):
+    """Line ends close together: (end_id, line_id, type, x, y, tx, ty, z)."""
+    r = random.Random(seed)
+    angle = [r.uniform(0, 6.283) for _ in range(n)]
+    return [(i, i // 2, r.choice(["crest", "toe"]), r.uniform(0, 150), r.expovariate(1 / 40), math.cos(a), math.sin(a), r.uniform(0, 6)) for i, a in enumerate(angle)]
+
+
+ENDS = "end_id bigint, line_id bigint, type string, x double, y double, tx double, ty double, z double"
+
+
+def plain_pairs(rows, c):
+    """Enhanced candidates by comparing every end with every other: (first, second) -> (classes, score)."""
+    found = {}
+    for i, l, t, x, y, tx, ty, z in rows:
+        for j, m, u, v, w, sx, sy, q in rows:
+            d = math.sqrt((v - x) * (v - x) + (w - y) * (w - y))
+            if i >= j or l == m or t != u or not 0.5 <= d <= c.link_infer_gap_m:
+                continue
+            ux, uy, dz = (v - x) / d, (w - y) / d, abs(z - q)
+            cos, off = min(tx * ux + ty * uy, -(sx * ux + sy * uy)), max(abs(ux * ty - uy * tx) * d, abs(ux * sy - uy * sx) * d)
+            kinds = (d <= c.link_gap_m and dz <= 5 and cos >= 0.35 and off <= 15, d <= 25 and dz <= 3 and off <= 18, d <= 100 and dz <= 9 and cos >= 0.1 and off <= 18)
+            if any(kinds):
+                found[i, j] = (kinds, d / 100 + 0.35 * (1 - cos) + 0.35 * off / 18 + 0.35 * dz / 9 - 0.2 * kinds[0] - 0.1 * kinds[1])
+    return found
+
+
+@pytest.mark.parametrize("at_once, small", [(2048, 4096), (7, 1), (2048, 1)])
+def test_enhanced_pairs_in_dense_buckets(spark, monkeypatch, at_once, small):
+    """Dealt over parts, by products or one by one, with a bound on the score or with few wanted ends: the pairs of a plain search."""
+    monkeypatch.setattr(spatial, "ENDS", at_once)
+    monkeypatch.setattr(spatial, "SMALL", small)
+    rows, c = crowd(), Config(link_gap_m=30.0)
+    want = plain_pairs(rows, c)
+    ends = spark.createDataFrame(rows, ENDS)
+    names = ["first", "second", "regular", "short", "inferred", "pre_score"]
+    read = lambda df: {(p.first, p.second): ((p.regular, p.short, p.inferred), p.pre_score) for p in df.collect()}
+    got = read(spatial.link_pairs_enhanced(ends, c, names))
+    assert len(want) > 100 and got.keys() == want.keys()
+    assert all(got[p][0] == want[p][0] and got[p][1] == pytest.approx(want[p][1], abs=1e-9) for p in want)
+    for most in (-0.2, 0.0, 0.4):
+        assert read(spatial.link_pairs_enhanced(ends, c, names, most)).keys() == {p for p, (_, score) in want.items() if score <= most}
+    some = ends.withColumn("wanted", ends.end_id % 5 == 0)
+    assert read(spatial.link_pairs_enhanced(some, c, names)).keys() == {p for p in want if p[0] % 5 == 0 or p[1] % 5 == 0}
