@@ -9,21 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected, cut
+from .spatial import link_pairs_enhanced
 
 
-def match(pairs: DataFrame, order: list[str], most: int = 100) -> DataFrame:
+def match(pairs: DataFrame, order: list[str], most: int = 100, at_once: int = 1 << 18) -> DataFrame:
     """Greedy one-to-one matching of lines: pairs (first_line, second_line, ...) in a strict total ``order``, each line once.
 
     Round by round a pair is taken if it is the best of both its lines, and what it uses is removed; with a strict
     order that is what going down the sorted list gives, but distributed.  Where rounds take little (chains of ever
-    better pairs) or ``most`` are done, what is left is walked in order, each connected part by itself.
+    better pairs) or ``most`` are done, what is left is walked in order, each connected part by itself; ``at_once`` pairs
+    or fewer are walked by one task.
     """
     strict = [*order, "first_line", "second_line", "first", "second"]
     strict = [c for c in strict if c in pairs.columns]
     rest, taken = cut(pairs.where("first_line is not null and second_line is not null")), None
     left = rest.count()
     for _ in range(most):
-        if not left:
+        if left <= at_once:
             break
         key = F.struct(*strict)
         lines = rest.select(F.explode(F.array("first_line", "second_line")).alias("line"), key.alias("key")).groupBy("line").agg(F.min("key").alias("best"))
@@ -37,12 +39,37 @@ def match(pairs: DataFrame, order: list[str], most: int = 100) -> DataFrame:
         if left * 10 > before * 9:
             break
     if left:
-        taken = taken.unionByName(walked(rest, strict)) if taken is not None else walked(rest, strict)
+        last = walked(rest, strict, left <= at_once)
+        taken = taken.unionByName(last) if taken is not None else last
     return taken if taken is not None else pairs.limit(0)
 
 
-def walked(pairs: DataFrame, strict: list[str]) -> DataFrame:
-    """The greedy matching, each connected part of the lines walked in order by one task; a part's rows are four numbers each."""
+def match_links(ends: DataFrame, c, few: int = 5000, crowd: int = 200_000) -> DataFrame:
+    """``match`` of all of enhanced linking's candidates by their preliminary score, without making them all.
+
+    Band by band: the pairs of lines still free that score at most so much are made and matched, which is how far down
+    the sorted list this goes; the lines that they use need no pairs of higher score.  The last band has no bound.
+    """
+    rest, taken, width = cut(ends), None, 0.08
+    left = rest.count()
+    width *= min(1.0, (crowd / max(left, 1)) ** 0.5)
+    while left:
+        most = width - 0.3 if left > few and width < 1 else None
+        now = match(link_pairs_enhanced(rest, c, most=most), ["pre_score"])
+        taken = now if taken is None else taken.unionByName(now)
+        if most is None:
+            break
+        used = now.select(F.explode(F.array("first_line", "second_line")).alias("line_id"))
+        rest = cut(rest.join(used, "line_id", "left_anti"))
+        left, width = rest.count(), width * 2.5
+    return taken if taken is not None else link_pairs_enhanced(rest, c)
+
+
+def walked(pairs: DataFrame, strict: list[str], few: bool = False) -> DataFrame:
+    """The greedy matching, each connected part of the lines walked in order by one task; a part's rows are four numbers each.
+
+    few: so few pairs that one task may walk them all, without looking for parts.
+    """
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("rank")
         used, out = set(), []
@@ -53,8 +80,11 @@ def walked(pairs: DataFrame, strict: list[str]) -> DataFrame:
         return pd.DataFrame({"n": out})
 
     numbered = cut(pairs.withColumn("_n", F.monotonically_increasing_id()))
-    roots = connected(numbered.select(F.col("first_line").alias("a"), F.col("second_line").alias("b")))
-    named = numbered.join(roots, F.col("first_line") == F.col("node"), "left").withColumn("root", F.coalesce("root", "first_line"))
+    if few:
+        named = numbered.withColumn("root", F.lit(0).cast("bigint"))
+    else:
+        roots = connected(numbered.select(F.col("first_line").alias("a"), F.col("second_line").alias("b")))
+        named = numbered.join(roots, F.col("first_line") == F.col("node"), "left").withColumn("root", F.coalesce("root", "first_line"))
     ranked = named.select("root", "first_line", "second_line", F.col("_n").alias("n"), F.row_number().over(Window.partitionBy("root").orderBy(*strict)).alias("rank"))
     kept = ranked.groupBy("root").applyInPandas(one, "n bigint")
     return cut(numbered.join(kept, F.col("_n") == F.col("n"), "left_semi").select(*pairs.columns))

@@ -24,14 +24,14 @@ def q_simplify(spark, d):
 
 def q_match(spark, d):
     """Greedy one-to-one matching of the enhanced candidates."""
-    return selection.match(line_queries.enhanced(spark, d), ["pre_score"]).select("first", "second", "first_line", "second_line", F.round("pre_score", 6).alias("pre_score"))
+    return line_queries.matched(spark, d).select("first", "second", "first_line", "second_line", F.round("pre_score", 6).alias("pre_score"))
 
 
 def q_route(spark, d):
     """Least-cost paths over the cells between matched line ends; cost: 1 and the height difference to the start."""
     ends = line_queries.on_grid(line_queries.ends(spark, d)).select("end_id", "row", "col")
     side = lambda n, k: ends.select(F.col("end_id").alias(n), F.col("row").alias(f"r{k}"), F.col("col").alias(f"c{k}"))
-    pairs = selection.match(line_queries.enhanced(spark, d), ["pre_score"]).join(side("first", 0), "first").join(side("second", 1), "second")
+    pairs = line_queries.matched(spark, d).join(side("first", 0), "first").join(side("second", 1), "second")
     c = pairs.select(F.xxhash64("first", "second").alias("cid"), "first", "second", "r0", "c0", "r1", "c1")
     w = routing.windows(c, raster_queries.cells(spark, d).select("row", "col", "z"), F.lit(4))
     out = routing.route(w.withColumn("cost", 1 + F.abs(F.col("z"))))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cresthaven.operators import spatial
+from cresthaven.operators import selection, spatial
 from cresthaven.plans import pipeline
 from cresthaven.plans.config import Config
 from cresthaven.sources.frames import terrace
@@ -121,3 +121,18 @@ def test_enhanced_pairs_in_dense_buckets(spark, monkeypatch, at_once, small):
         assert read(spatial.link_pairs_enhanced(ends, c, names, most)).keys() == {p for p, (_, score) in want.items() if score <= most}
     some = ends.withColumn("wanted", ends.end_id % 5 == 0)
     assert read(spatial.link_pairs_enhanced(some, c, names)).keys() == {p for p in want if p[0] % 5 == 0 or p[1] % 5 == 0}
+
+
+@pytest.mark.parametrize("few", [5000, 0])
+def test_bands_of_the_score_match_and_rank_as_the_whole_list(spark, few):
+    """At once or band by band: the greedy matching, and the two best of each end, of all candidates."""
+    rows, c = crowd(), Config(link_gap_m=30.0)
+    want, used, taken = plain_pairs(rows, c), set(), set()
+    for i, j in sorted(want, key=lambda p: (want[p][1], p)):
+        if not {i // 2, j // 2} & used:
+            used |= {i // 2, j // 2}
+            taken.add((i, j))
+    ends = spark.createDataFrame(rows, ENDS)
+    assert {(p.first, p.second) for p in selection.match_links(ends, c, few).collect()} == taken
+    best = {p for i, *_ in rows for p in sorted((p for p in want if i in p), key=lambda p: (round(want[p][1], 9), p))[:2]}
+    assert sorted((p.first, p.second) for p in spatial.top_links(ends, c, 2, few=few).collect()) == sorted(best)
