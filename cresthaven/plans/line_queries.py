@@ -188,7 +188,7 @@ def q_endpoint_pairs_enh(spark, d):
  k AS (SELECT DISTINCT f, s FROM (SELECT *, row_number() OVER (PARTITION BY en ORDER BY p, f, s) n FROM e) WHERE n<=2) SELECT f AS "first", s AS "second" FROM k""",
 )
 def q_topk_endpoint(spark, d):
-    return S.top_per_endpoint(enhanced(spark, d).withColumn("pre_score", F.round("pre_score", 9)), 2).select("first", "second")
+    return S.top_links(ends(spark, d), LINK, 2)
 
 
 _PROX = f"{resample_sql('s', 50.0, 'reached')}, near_ AS (SELECT a.type, a.line_id fl, a.k, b.line_id sl, b.k k2, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) d FROM s a JOIN s b ON a.type=b.type AND a.line_id<>b.line_id AND b.x BETWEEN a.x-5 AND a.x+5 AND b.y BETWEEN a.y-5 AND a.y+5)"
