@@ -40,9 +40,9 @@ def q_route(spark, d):
 
 def q_nms(spark, d):
     """Non-maximum suppression of the 2000 best gap candidates."""
-    c = line_queries.candidates(spark, d).withColumns({"first_line": F.col("first"), "second_line": F.col("second"), "cid": (F.col("first") * 100000 + F.col("second")) * 100000 + F.col("k"), "score": F.round(1 / (1 + F.col("d")), 9)})
-    best = c.orderBy(F.desc("score"), "cid").limit(2000)
-    return selection.thin(best, 20.0, 60)
+    cid, score = (F.col("first") * 100000 + F.col("second")) * 100000 + F.col("k"), F.round(1 / (1 + F.col("d")), 9)
+    best = line_queries.best_candidates(spark, d, lambda r: score > 1 / (1 + r) + 1e-8, [F.desc(score), cid])
+    return selection.thin(best.withColumns({"first_line": F.col("first"), "second_line": F.col("second"), "cid": cid, "score": score}), 20.0, 60)
 
 
 def q_multiscale(spark, d):
