@@ -274,8 +274,9 @@ def q_key_dedup(spark, d):
 
 @register("q_topk_quick", f'WITH {LINES}, {_CAND} SELECT fl AS "first", sl AS "second", k, round(round(d+3.0*abs(mx-my)/100.0,9),6) quick_score FROM kd ORDER BY round(d+3.0*abs(mx-my)/100.0,9), fl, sl, k LIMIT 2000')
 def q_topk_quick(spark, d):
-    c = candidates(spark, d).withColumn("quick_score", F.round(F.col("d") + 3.0 * F.abs(F.col("mx") - F.col("my")) / 100.0, 9))
-    return c.orderBy("quick_score", "first", "second", "k").limit(2000).select("first", "second", "k", F.round("quick_score", 6).alias("quick_score"))
+    score = F.round(F.col("d") + 3.0 * F.abs(F.col("mx") - F.col("my")) / 100.0, 9)
+    c = best_candidates(spark, d, lambda r: score < r - 1e-8, [score, "first", "second", "k"])
+    return c.select("first", "second", "k", F.round(score, 6).alias("quick_score"))
 
 
 _ON = 'greatest(0,least(123,CAST(trunc((122.0-y)) AS INT))) "row", greatest(0,least(183,CAST(trunc((x+2.0)) AS INT))) col'
