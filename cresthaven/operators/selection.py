@@ -50,7 +50,7 @@ def match_links(ends: DataFrame, c, few: int = 5000, crowd: int = 200_000) -> Da
     Band by band: the pairs of lines still free that score at most so much are made and matched, which is how far down
     the sorted list this goes; the lines that they use need no pairs of higher score.  The last band has no bound.
     """
-    rest, taken, width = cut(ends), None, 0.08
+    rest, taken, width = cut(ends), None, 0.04
     left = rest.count()
     width *= min(1.0, (crowd / max(left, 1)) ** 0.5)
     while left:
@@ -61,7 +61,7 @@ def match_links(ends: DataFrame, c, few: int = 5000, crowd: int = 200_000) -> Da
             break
         used = now.select(F.explode(F.array("first_line", "second_line")).alias("line_id"))
         rest = cut(rest.join(used, "line_id", "left_anti"))
-        left, width = rest.count(), width * 2.5
+        left, width = rest.count(), width * 2
     return taken if taken is not None else link_pairs_enhanced(rest, c)
 
 
