@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from cresthaven.operators import polyline as P
+from cresthaven.operators import spatial as S
 
 
 def lines_of(spark, seed=3, lines=30, n=6, side=60.0):
@@ -24,22 +25,15 @@ def nearest(rows, kind, qx, qy):
     return out
 
 
-@pytest.mark.parametrize("best", [None, 3])
-def test_nearest_lines_in_parts(spark, monkeypatch, best):
+def test_nearest_lines_in_parts(spark, monkeypatch):
     monkeypatch.setattr(P, "QUERIES", 4)
     monkeypatch.setattr(P, "SEGMENTS", 20)
     rows, v = lines_of(spark)
     asked = [(i, "toe" if i % 3 else "crest", i * 3.0, i * 2.0) for i in range(15)]
-    q = spark.createDataFrame(asked, "query_id bigint, type string, qx double, qy double")
-    got = P.nearest_lines(q, v, best).collect()
+    got = P.nearest_lines(spark.createDataFrame(asked, "query_id bigint, type string, qx double, qy double"), v).collect()
     for i, kind, x, y in asked:
         want, mine = nearest(rows, kind, x, y), {r.line_id: r.distance for r in got if r.query_id == i}
-        assert all(abs(want[n] - d) < 1e-9 for n, d in mine.items())
-        if best is None:
-            assert mine.keys() == want.keys()
-        else:  # what is not there lies beyond
-            bound = min(r.beyond for r in got if r.query_id == i if r.beyond is not None)
-            assert all(d >= bound - 1e-9 for n, d in want.items() if n not in mine)
+        assert mine.keys() == want.keys() and all(abs(want[n] - d) < 1e-9 for n, d in mine.items())
 
 
 def test_nearest_point_where_a_vertex_has_no_place(spark):
@@ -47,3 +41,32 @@ def test_nearest_point_where_a_vertex_has_no_place(spark):
     q = spark.createDataFrame([(7, "toe", 6.0, 4.0)], "query_id bigint, type string, qx double, qy double")
     got = {r.line_id: r.distance for r in P.nearest_on(q, v).collect()}
     assert got == {1: 1.0, 2: np.sqrt(34), 3: None}
+
+
+@pytest.mark.parametrize("max_dist,max_gap,max_dz", [(50.0, 100.0, None), (30.0, 40.0, 1.0), (60.0, 30.0, 0.5)])
+def test_anchors_are_the_best_of_all_pairs(spark, monkeypatch, max_dist, max_gap, max_dz):
+    monkeypatch.setattr(S, "GUIDES", 5)
+    rows, v = lines_of(spark, lines=24, n=3, side=120.0)
+    z = {i: i * 7 % 11 / 4 if i % 5 else None for i in range(24)}
+    rng = np.random.default_rng(8)
+    guides = [(i, "toe" if i % 3 else "crest", *map(float, rng.uniform(0, 120, 4).round(1))) for i in range(24)]
+    g = spark.createDataFrame(guides, "guide_id bigint, type string, sx double, sy double, ex double, ey double")
+    got = {r.guide_id: r for r in S.anchors(g, v, spark.createDataFrame(list(z.items()), "line_id bigint, z double"), max_dist, max_gap, max_dz).collect()}
+    points = {(r.query_id, r.line_id): r for r in P.nearest_on(spark.createDataFrame([(i * 2 + k, kind, *((sx, sy), (ex, ey))[k]) for i, kind, sx, sy, ex, ey in guides for k in (0, 1)], "query_id bigint, type string, qx double, qy double"), v).collect()}
+    want = {}
+    for i, *_ in guides:
+        for (p, n), a in points.items():
+            for (q, m), b in points.items():
+                if p == i * 2 and q == i * 2 + 1 and n != m and max(a.distance, b.distance) <= max_dist:
+                    gap = float(np.hypot(a.x - b.x, a.y - b.y))
+                    if 1 <= gap <= max_gap and (max_dz is None or None in (z[n], z[m]) or abs(z[n] - z[m]) <= max_dz):
+                        now = (round(a.distance + b.distance + 0.03 * gap, 9), n, m)
+                        want[i] = min(want.get(i, now), now)
+    assert want and {i: (round(r.score, 9), r.start_line, r.end_line) for i, r in got.items()} == want
+
+
+def test_anchors_of_close_scores_go_by_line(spark):
+    """Scores equal to nine digits are ties, as in the SQL."""
+    v = spark.createDataFrame([(line, "toe", k, 1e-11 * (9 - line) + x, 100.0 * k) for line, x in ((3, 1.0), (4, 1.0), (5, 30.0)) for k in (-1, 1)], "line_id bigint, type string, idx bigint, x double, y double")
+    g = spark.createDataFrame([(1, "toe", 0.0, 0.0, 31.0, 0.0)], "guide_id bigint, type string, sx double, sy double, ex double, ey double")
+    assert S.anchors(g, v, spark.createDataFrame([(3, 0.0)], "line_id bigint, z double")).first().start_line == 3
