@@ -77,7 +77,7 @@ def walked(pairs: DataFrame, strict: list[str], few: bool = False) -> DataFrame:
             if a not in used and b not in used:
                 used.update((a, b))
                 out.append(n)
-        return pd.DataFrame({"n": out})
+        return pd.DataFrame({"_kept": out})
 
     numbered = cut(pairs.withColumn("_n", F.monotonically_increasing_id()))
     if few:
@@ -86,8 +86,8 @@ def walked(pairs: DataFrame, strict: list[str], few: bool = False) -> DataFrame:
         roots = connected(numbered.select(F.col("first_line").alias("a"), F.col("second_line").alias("b")))
         named = numbered.join(roots, F.col("first_line") == F.col("node"), "left").withColumn("root", F.coalesce("root", "first_line"))
     ranked = named.select("root", "first_line", "second_line", F.col("_n").alias("n"), F.row_number().over(Window.partitionBy("root").orderBy(*strict)).alias("rank"))
-    kept = ranked.groupBy("root").applyInPandas(one, "n bigint")
-    return cut(numbered.join(kept, F.col("_n") == F.col("n"), "left_semi").select(*pairs.columns))
+    kept = ranked.groupBy("root").applyInPandas(one, "_kept bigint")
+    return cut(numbered.join(kept, F.col("_n") == F.col("_kept"), "left_semi").select(*pairs.columns))
 
 
 def thin(candidates: DataFrame, radius: float, most: int, at_once: int = 4096) -> DataFrame:
