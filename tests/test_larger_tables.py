@@ -98,3 +98,19 @@ def test_pairs_of_lines_in_tiles(spark, monkeypatch, tile, matrix, side):
     if tile == 1024:
         got = [tuple(r) for r in S.proximity(df, 5.0).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_close_samples_come_by_line_and_k():
+    """So that the nearest of each line is found without sorting pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = [(int(side), int(line), int(k), float(x)) for side, line, k, x in zip([0] * 5 + [1] * 60, rng.integers(0, 6, 65), rng.integers(0, 50, 65), rng.uniform(0, 4, 65))]
+    t = pa.RecordBatch.from_pylist([{"type": "toe", "bx": 0, "by": 0, "part": 0, "side": s, "line_id": n, "k": k, "x": x, "y": 0.0} for s, n, k, x in rows])
+    seen = 0
+    for a, b, d, table in S._close(iter([t]), 1.0):
+        line, k = table["line_id"].to_numpy(), table["k"].to_numpy()
+        order = list(zip(a.tolist(), line[b].tolist(), k[b].tolist()))
+        assert order == sorted(order) and (line[a] != line[b]).all() and (d <= 1.0).all()
+        seen += len(a)
+    assert seen == sum(p[0] == 0 and q[0] == 1 and p[1] != q[1] and abs(p[3] - q[3]) <= 1.0 for p in rows for q in rows)
