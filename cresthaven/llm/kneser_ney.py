@@ -47,7 +47,7 @@ MOST_WORDS = 2**32 - 2  # numbers of words fit in half of a pair's key
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _slices(column: pa.Array, most: int = 8 << 20):
+def _slices(column: pa.Array, most: int = 4 << 20):
     """Slices of at most ``most`` bytes of text, or of one text that is longer."""
     ends = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)).astype(np.int64))
     at = 0

@@ -147,3 +147,14 @@ def test_tokens_are_words_at_ascii_white_space():
         assert kinds[back].tolist() == [xxhash.xxh64_intdigest(w, 42) for w in want]
         assert ends.tolist() == np.cumsum([len((t or "").encode().split()) + 1 for t in some]).tolist()
     assert [(at, len(s)) for at, s in K._slices(pa.array(["aaa", None, "bb", "c" * 9, "d"]), 5)] == [(0, 3), (3, 1), (4, 1)]
+
+
+def test_texts_are_split_into_words_four_megabytes_at_a_time():
+    """What a worker holds follows the slice, not the batch."""
+    import pyarrow as pa
+
+    from cresthaven.llm import kneser_ney
+
+    column = pa.array(["a " * (1 << 19)] * 11 + [None, "b " * (3 << 20)])
+    sizes = [sum(len(t or "") for t in texts.to_pylist()) for _, texts in kneser_ney._slices(column)]
+    assert sum(sizes) == (11 << 20) + (6 << 20) and sorted(sizes)[-1] == 6 << 20 and sorted(sizes)[-2] <= 4 << 20
