@@ -18,6 +18,7 @@ history never seen passes all its mass to p(w).
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -94,7 +95,7 @@ def _combine(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 class Counter:
     """Adds up keys in numpy; hands sums over when they hold ``most`` keys, which bounds memory."""
 
-    def __init__(self, most: int = 1 << 21):
+    def __init__(self, most: int = 1 << 20):
         self.keys, self.counts, self.n, self.most = [], [], 0, most
 
     def add(self, k: np.ndarray, c: np.ndarray | None = None):
@@ -116,15 +117,33 @@ class Counter:
         return _combine(self.keys, self.counts) if self.keys else None
 
 
+def _lean(run):
+    """The task; at its end the worker, which lives on beside those of later stages, gives back what its allocators keep."""
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
+
+    return task
+
+
+def _rows(columns, most: int = 1 << 16):
+    """Columns in slices of at most ``most`` rows: the JVM holds a whole batch outside its heap."""
+    for at in range(0, len(columns[0]), most):
+        yield [c[at : at + most] for c in columns]
+
+
 def _word_counts(batches):
     counter = Counter()
     for b in batches:
         for _, texts in _slices(b.column("text")):
             kinds, back, _ = tokens(texts)
             if full := counter.add(kinds, np.bincount(back, minlength=len(kinds))):
-                yield batch(COUNTS, full[0].view(np.int64), full[1])
+                yield from (batch(COUNTS, k.view(np.int64), c) for k, c in _rows(full))
     if full := counter.rest():
-        yield batch(COUNTS, full[0].view(np.int64), full[1])
+        yield from (batch(COUNTS, k.view(np.int64), c) for k, c in _rows(full))
 
 
 def _file_system(uri: str):
@@ -183,7 +202,7 @@ def _files(rows) -> list[tuple[int, int, str]]:
 
 def _by_range(rows: DataFrame, part: Column, folder: str, kind) -> list[tuple[int, int, str]]:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _files(_dealt(rows.withColumn("part", part), "part", parts).mapInArrow(_writer(folder, kind), "low bigint, high bigint, name string").collect())
+    return _files(_dealt(rows.withColumn("part", part), "part", parts).mapInArrow(_lean(_writer(folder, kind)), "low bigint, high bigint, name string").collect())
 
 
 _mapped: dict[str, dict[str, np.ndarray]] = {}
@@ -238,7 +257,8 @@ def _pair_counts(folder: str, files: list):
         counter = Counter()
 
         def rows(full):
-            return batch(PAIRS, (full[0] >> np.uint64(32)).astype(np.int64), (full[0] & np.uint64(0xFFFFFFFF)).astype(np.int64), full[1])
+            for k, c in _rows(full):
+                yield batch(PAIRS, (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64), c)
 
         for b in batches:
             for _, texts in _slices(b.column("text")):
@@ -246,9 +266,9 @@ def _pair_counts(folder: str, files: list):
                 ids = look_up(folder, files, IDS, kinds, ["id"])[0][back]
                 v, _ = _histories(ids, ends)
                 if full := counter.add(v.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)):
-                    yield rows(full)
+                    yield from rows(full)
         if full := counter.rest():
-            yield rows(full)
+            yield from rows(full)
 
     return run
 
@@ -298,10 +318,12 @@ def _pair_files(folder: str, ranges: Ranges):
         total = lambda x: np.add.reduceat(x.astype(np.int64), first)
         zero = np.zeros(len(first), np.int64)
         blank = lambda n, kind: pa.nulls(n, kind)
-        yield pa.RecordBatch.from_arrays([pa.array(v[first]), pa.array(zero), *(pa.array(total(c == k)) for k in (1, 2, 3, 4)), pa.array(total(c > 4)), *(blank(len(first), f.type) for f in FILES)], schema=schema)
+        for part in _rows([v[first], zero, *(total(c == k) for k in (1, 2, 3, 4)), total(c > 4)]):
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in part), *(blank(len(part[0]), f.type) for f in FILES)], schema=schema)
         word, n = np.unique(w, return_counts=True)
-        zero = np.zeros(len(word), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n), *(pa.array(zero) for _ in range(5)), *(blank(len(word), f.type) for f in FILES)], schema=schema)
+        for part in _rows([word, n]):
+            zero = np.zeros(len(part[0]), np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in part), *(pa.array(zero) for _ in range(5)), *(blank(len(zero), f.type) for f in FILES)], schema=schema)
         for s, e in _pieces(ranges.of(v, w)):
             wide = int(c[s:e].max()) >= 2**32
             file = _write(folder, [key[s:e], c[s:e].astype("<u8" if wide else "<u4")], "w" if wide else "")
@@ -335,7 +357,7 @@ def train(docs: DataFrame) -> Model:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = f"{own_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
     texts = docs.select("text")
-    counted = texts.mapInArrow(_word_counts, "hash bigint, c bigint").groupBy("hash").agg(F.sum("c").alias("count"))
+    counted = texts.mapInArrow(_lean(_word_counts), "hash bigint, c bigint").groupBy("hash").agg(F.sum("c").alias("count"))
     counted = written(counted.withColumn("part", F.floor(F.shiftrightunsigned("hash", 40) * F.lit(parts) / F.lit(float(1 << 24))).cast("int")), "words")
     # dense numbers from 1: ranges of the hash in order, then the order within a range;
     per = counted.groupBy("part").agg(F.count("*").alias("rows"))
@@ -343,7 +365,7 @@ def train(docs: DataFrame) -> Model:
     numbered = counted.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("hash")))
     numbered = written(numbered.join(F.broadcast(before), "part").select("hash", "count", "part", (F.col("before") + F.col("place")).alias("id")), "numbers")
     ids = _by_range(numbered.select(F.col("hash").alias("key"), "id", "part"), F.col("part"), folder, IDS)
-    pairs = texts.mapInArrow(_pair_counts(folder, ids), "v bigint, w bigint, c bigint")
+    pairs = texts.mapInArrow(_lean(_pair_counts(folder, ids)), "v bigint, w bigint, c bigint")
     top = counted.agg(F.sum("count").alias("tokens"), F.count("*").alias("v")).first()
     vocabulary = top.v or 0
     if vocabulary > MOST_WORDS:
@@ -356,7 +378,7 @@ def train(docs: DataFrame) -> Model:
     if begins and begins[0] > share:
         hot.append((0, -(-begins[0] // share)))
     ranges = Ranges(width, vocabulary, parts, hot)
-    dealt = ranges.dealt(pairs).mapInArrow(_pair_files(folder, ranges), "id bigint, n bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint, low bigint, high bigint, name string")
+    dealt = ranges.dealt(pairs).mapInArrow(_lean(_pair_files(folder, ranges)), "id bigint, n bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint, low bigint, high bigint, name string")
     found = written(dealt, "pairs")
     files = _files(found.where("name is not null").collect())
     names = ["n", "n1", "n2", "n3", "n4", "more"]
@@ -414,7 +436,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null text counts as empty: one token, the end.  Ids may be null or repeat; extra columns are ignored.
     """
-    out = docs.select("doc_id", "text").mapInArrow(_score_rows(model), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = docs.select("doc_id", "text").mapInArrow(_lean(_score_rows(model)), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 

@@ -158,3 +158,24 @@ def test_texts_are_split_into_words_four_megabytes_at_a_time():
     column = pa.array(["a " * (1 << 19)] * 11 + [None, "b " * (3 << 20)])
     sizes = [sum(len(t or "") for t in texts.to_pylist()) for _, texts in kneser_ney._slices(column)]
     assert sum(sizes) == (11 << 20) + (6 << 20) and sorted(sizes)[-1] == 6 << 20 and sorted(sizes)[-2] <= 4 << 20
+
+
+def test_sums_are_sent_in_small_batches(tmp_path):
+    """A batch lies in the JVM outside its heap, whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cresthaven.llm import kneser_ney as K
+
+    n = 150_000
+    texts = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{k}" for k in range(at, at + 1000)) for at in range(0, n, 1000)]})
+    words = list(K._lean(K._word_counts)(iter([texts])))
+    assert max(b.num_rows for b in words) <= 1 << 16 and sum(b.num_rows for b in words) == n + 1
+    t = pa.Table.from_batches(words)
+    keys = t["hash"].to_numpy().view(np.uint64)
+    assert (keys[1:] > keys[:-1]).all() and t["c"].to_numpy()[keys == K.END] == n // 1000
+    file = K._write(str(tmp_path), [keys, np.arange(1, n + 2, dtype=np.int64)])
+    pairs = list(K._pair_counts(str(tmp_path), K._files([type("File", (), {c: file[c][0].as_py() for c in ("low", "high", "name")})]))(iter([texts])))
+    assert max(b.num_rows for b in pairs) <= 1 << 16 and sum(b.num_rows for b in pairs) == sum(sum(b["c"].to_pylist()) for b in pairs) == n + n // 1000
+    out = list(K._pair_files(str(tmp_path), K.Ranges(n + 2, n + 1, 1, []))(iter(pairs)))
+    assert max(b.num_rows for b in out) <= 1 << 16
