@@ -114,3 +114,31 @@ def test_close_samples_come_by_line_and_k():
         assert order == sorted(order) and (line[a] != line[b]).all() and (d <= 1.0).all()
         seen += len(a)
     assert seen == sum(p[0] == 0 and q[0] == 1 and p[1] != q[1] and abs(p[3] - q[3]) <= 1.0 for p in rows for q in rows)
+
+
+@pytest.mark.parametrize("crowd,at_once", [(1 << 14, 1 << 22), (40, 1)])
+def test_first_of_each_pair_of_lines_and_cell(spark, monkeypatch, crowd, at_once):
+    """As taken from all rows of nearest samples, which q_key_dedup would have to join and sort."""
+    from pyspark.sql import functions as F
+
+    from cresthaven.plans import line_queries as Q
+
+    rng = np.random.default_rng(11)
+    side = 45.0
+    rows = [(i * 3 - 20, "toe" if i % 2 else "crest", k, float(x), float(y)) for i in range(24) for k, (x, y) in enumerate(rng.integers(-side, side, (25, 2)) * 0.5)]
+    rows += [(1000, "toe", 0, None, 1.0), (1001, "toe", 0, 2.0, None)]
+    s = spark.createDataFrame(rows, "line_id bigint, type string, k bigint, x double, y double")
+    want = S.first_per_key(Q.middles(S.nearest_samples(s, 5.0), s), [*Q.place().values()], ["first", "k"]).select("first", "second", "k", "k2")
+    monkeypatch.setattr(S, "CROWD", crowd)
+    monkeypatch.setattr(S._block_firsts, "__defaults__", (at_once,))
+    got = [tuple(r) for r in S.first_nearest(s, 5.0).collect()]
+    assert len(got) > 500 and sorted(got) == sorted(tuple(r) for r in want.collect())
+    with pytest.raises(ValueError):
+        S.first_nearest(s, 5.0, 9.0)
+
+
+def test_key_dedup_makes_no_row_of_nearest_samples(spark, monkeypatch):
+    from cresthaven.plans import line_queries as Q
+
+    monkeypatch.setattr(S, "nearest_samples", None)
+    assert Q.q_key_dedup(spark, "/root/testdata/sf0.001").columns == ["first", "second", "k", "k2"]
