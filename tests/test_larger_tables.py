@@ -142,3 +142,36 @@ def test_key_dedup_makes_no_row_of_nearest_samples(spark, monkeypatch):
 
     monkeypatch.setattr(S, "nearest_samples", None)
     assert Q.q_key_dedup(spark, "/root/testdata/sf0.001").columns == ["first", "second", "k", "k2"]
+
+
+@pytest.mark.parametrize("nearby,at_once,small", [(1 << 14, 1 << 17, 1 << 12), (40, 50, 0), (40, 1, 1 << 12)])
+def test_nearest_samples_leave_arrow_as_lists(spark, monkeypatch, nearby, at_once, small):
+    """By brute force: ties, crowded blocks, lists in several rows, samples without a type or place."""
+    rng = np.random.default_rng(17)
+    rows = [(i * 3 - 20, "toe" if i % 2 else "crest", k, float(x), float(y)) for i in range(24) for k, (x, y) in enumerate(rng.integers(-25, 25, (14, 2)) * 0.5)]
+    rows += [(1000 + i, kind, 0, x, 1.0) for i, (kind, x) in enumerate([("toe", None), ("toe", np.nan), ("toe", np.inf), (None, 1.0)])]
+    want = {}
+    for a in rows[:-4]:
+        for b in rows[:-4]:
+            d = float(np.sqrt((b[3] - a[3]) ** 2 + (b[4] - a[4]) ** 2))
+            if a[1] == b[1] and a[0] != b[0] and d <= 5.0:
+                key = a[1], a[0], a[2], b[0]
+                want[key] = min(want.get(key, (d, b[2])), (d, b[2]))
+    want = sorted((*key, k2, round(d, 6)) for key, (d, k2) in want.items())
+    df = spark.createDataFrame([(*r[:3], *(None if v is None else float(v) for v in r[3:])) for r in rows], "line_id bigint, type string, k bigint, x double, y double")
+    monkeypatch.setattr(S, "NEARBY", nearby)
+    monkeypatch.setattr(S, "SMALL", small)
+    dealt = S._in_blocks(df, 5.0).toArrow().to_batches()
+    lists = [r for b in S._nearest_lists(iter(dealt), 5.0, 6, at_once) for r in b.to_pylist()]
+    assert all(0 < len(r["seconds"]) <= at_once for r in lists)
+    assert sorted((r["type"], r["first"], r["k"], *v) for r in lists for v in zip(r["seconds"], r["k2s"], r["ds"])) == want
+    if not small:
+        got = S.nearest_samples(df, 5.0, digits=6).select("type", "first", "k", "second", "k2", "d")
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_knn1_has_no_row_of_a_pair_before_the_jvm(spark, monkeypatch):
+    from cresthaven.plans import line_queries as Q
+
+    monkeypatch.setattr(S, "_bucketed", None)
+    assert Q.q_knn1(spark, "/root/testdata/sf0.001").columns == ["first", "k", "second", "k2", "d"]
